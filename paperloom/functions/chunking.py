@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fixed
+from .json_rules import let
 
 
 def chunks(text: Column, max_chars: int) -> Column:
@@ -14,48 +15,46 @@ def chunks(text: Column, max_chars: int) -> Column:
     ``max_chars`` characters is cut at its last blank line when that lies
     behind 85% of the window, else at its end.
 
-    Finding a character offset costs time in proportion to the offset, so the
-    loop reads the text block by block (about the square root of text times
-    window long) instead of from its start for every window.
+    Finding a character offset costs time in proportion to the offset. The text
+    is therefore first split into segments of ``max_chars``: a window touches at
+    most two of them, so the work stays proportional to the text.
     """
     threshold = int(max_chars * fixed.CHUNK_CUT_RATIO)
-    n = F.char_length(text)
-    windows = F.ceil(n / F.lit(float(threshold + 1))).cast("int") + 1
-    block_size = (F.ceil(F.sqrt(n.cast("double") * max_chars)) + max_chars).cast("int")
-
-    start = F.struct(
-        F.lit(0).alias("at"),  # characters consumed
-        F.lit(0).alias("from_"),  # offset of the block
-        F.substring(text, F.lit(1), block_size).alias("block"),
-        F.array().cast("array<string>").alias("pieces"),
-    )
-
-    def step(state: Column, _: Column) -> Column:
-        at, from_, block = state["at"], state["from_"], state["block"]
-        stale = (at + max_chars > from_ + block_size) & (from_ + block_size < n)
-
-        def cut(view: Column) -> Column:
-            base = view["from_"]
-            window = F.substring(view["block"], at - base + 1, F.lit(max_chars))
-            size = F.char_length(window)
-            back = F.locate("\n\n", F.reverse(window))
-            border = F.when(back > 0, size - back - 1).otherwise(-1)
-            length = F.when(border > threshold, border).otherwise(size)
-            return F.struct(
-                (at + length).alias("at"),
-                base.alias("from_"),
-                view["block"].alias("block"),
-                F.concat(
-                    state["pieces"], F.array(F.substring(window, F.lit(1), length))
-                ).alias("pieces"),
-            )
-
-        view = F.when(
-            stale,
-            F.struct(at.alias("from_"), F.substring(text, at + 1, block_size).alias("block")),
-        ).otherwise(F.struct(from_.alias("from_"), block.alias("block")))
-        advanced = F.get(F.transform(F.array(view), cut), F.lit(0))
-        return F.when(at >= n, state).otherwise(advanced)
-
-    pieces = F.aggregate(F.sequence(F.lit(1), windows), start, step, lambda s: s["pieces"])
-    return F.when(n <= max_chars, F.array(text)).otherwise(pieces)
+    segments = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{max_chars}}}"), F.lit(0))
+    most_windows = F.ceil(F.char_length(text) / F.lit(float(threshold + 1))).cast("int") + 1
+
+    def cut_length(window: Column) -> Column:
+        # What follows the last blank line; the whole window when there is none.
+        size = F.char_length(window)
+        border = size - F.char_length(F.substring_index(window, "\n\n", -1)) - 2
+        return let(border, lambda b: F.when(b > threshold, b).otherwise(size))
+
+    def walk(parts: Column) -> Column:
+        def window(start: Column, size: Column) -> Column:
+            first = F.floor(start / max_chars).cast("int")
+            both = F.concat(F.get(parts, first), F.coalesce(F.get(parts, first + 1), F.lit("")))
+            return F.substring(both, start - first * max_chars + 1, size)
+
+        def step(state: Column, _: Column) -> Column:
+            at, chars = state["at"], state["chars"]
+
+            def advanced(size: Column) -> Column:
+                cut = F.struct(at.alias("start"), size.alias("size"))
+                return F.struct(
+                    (at + size).alias("at"),
+                    chars.alias("chars"),
+                    F.concat(state["cuts"], F.array(cut)).alias("cuts"),
+                )
+
+            size = let(window(at, F.lit(max_chars)), cut_length)
+            return F.when(at >= chars, state).otherwise(let(size, advanced))
+
+        start = F.struct(
+            F.lit(0).alias("at"),
+            F.char_length(text).alias("chars"),
+            F.array().cast("array<struct<start:int,size:int>>").alias("cuts"),
+        )
+        cuts = F.aggregate(F.sequence(F.lit(1), most_windows), start, step, lambda s: s["cuts"])
+        return F.transform(cuts, lambda cut: window(cut["start"], cut["size"]))
+
+    return F.when(F.char_length(text) <= max_chars, F.array(text)).otherwise(let(segments, walk))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_strict(text: Column, closing: str = "}") -> Column:
     """VARIANT of ``text`` when it is exactly one JSON value, else NULL.
 
@@ -16,18 +21,18 @@ def parse_strict(text: Column, closing: str = "}") -> Column:
     brackets early; texts holding ``closing``, ``]``, ``]`` in a row get a
     second look inside an object, which such leftovers cannot close.
     """
-    boxed = F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("[["), text, F.lit("]]"))), "$", "array<array<variant>>"
-    )
+    boxed = F.try_parse_json(F.concat(F.lit("[["), text, F.lit("]]")))
     suspicious = text.rlike(rf"\{closing}\s*\]\s*\]")
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    single = F.filter(
-        F.array(boxed),
-        lambda box: (F.size(box) == 1)
-        & (F.size(F.get(box, F.lit(0))) == 1)
-        & (~suspicious | in_object),
-    )
-    return F.get(F.get(F.get(single, F.lit(0)), F.lit(0)), F.lit(0))
+
+    def at(box: Column, path: str) -> Column:
+        return F.try_variant_get(box, path, "variant")
+
+    def content(box: Column) -> Column:
+        alone = at(box, "$[1]").isNull() & at(box, "$[0][1]").isNull()
+        return F.when(alone & (~suspicious | in_object), at(box, "$[0][0]"))
+
+    return let(boxed, content)
 
 
 def member(doc: Column, name: str) -> Column:
@@ -36,16 +41,15 @@ def member(doc: Column, name: str) -> Column:
 
 
 def kind(value: Column) -> Column:
-    """JSON kind of a VARIANT: string, null, boolean, array, object or number."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name == "STRING", "string")
-        .when(name == "VOID", "null")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name.startswith("OBJECT"), "object")
-        .when(name.isNotNull(), "number")
-    )
+    """JSON kind of a VARIANT: STRING, VOID (null), BOOLEAN, ARRAY, OBJECT or a number type."""
+    return F.split_part(F.schema_of_variant(value), F.lit("<"), F.lit(1))
+
+
+def is_number(kind_name: Column) -> Column:
+    return ~kind_name.isin("STRING", "VOID", "BOOLEAN", "ARRAY", "OBJECT")
+
+
+_KIND_OF_TYPE = {"string": "STRING", "null": "VOID", "array": "ARRAY"}
 
 
 def violations(doc: Column, types: Mapping[str, Sequence[str]], required: Sequence[str]) -> Column:
@@ -54,11 +58,15 @@ def violations(doc: Column, types: Mapping[str, Sequence[str]], required: Sequen
     Rules are ``required`` (absent), ``type`` (wrong kind) and, for a
     well-typed ``id``, ``empty``.
     """
-    checks = []
-    for name, allowed in types.items():
-        found = kind(member(doc, name))
-        if name in required:
-            checks.append(F.when(found.isNull(), F.lit(f"{name}:required")))
-        checks.append(F.when(~found.isin(*allowed), F.lit(f"{name}:type")))
-    checks.append(F.when(F.try_variant_get(doc, "$.id", "string") == "", F.lit("id:empty")))
-    return F.sort_array(F.filter(F.array(*checks), lambda c: c.isNotNull()))
+    kinds = F.array(*[kind(member(doc, name)) for name in types])
+
+    def broken(found: Column) -> Column:
+        checks = [F.when(F.try_variant_get(doc, "$.id", "string") == "", F.lit("id:empty"))]
+        for position, (name, allowed) in enumerate(types.items()):
+            own = F.get(found, F.lit(position))
+            absent = F.lit(f"{name}:required") if name in required else F.lit(None)
+            fits = own.isin(*[_KIND_OF_TYPE[t] for t in allowed])
+            checks.append(F.when(own.isNull(), absent).when(~fits, F.lit(f"{name}:type")))
+        return F.sort_array(F.array_compact(F.array(*checks)))
+
+    return let(kinds, broken)

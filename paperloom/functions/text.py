@@ -14,9 +14,8 @@ def strip(text: Column) -> Column:
 
 def strip_code_fence(text: Column) -> Column:
     """Body of a text that is one fenced block; any other text only stripped."""
-    bare = strip(text)
-    body = F.regexp_extract(bare, fixed.FENCE_PATTERN, 1)
-    return F.when(bare.rlike(fixed.FENCE_PATTERN), strip(body)).otherwise(bare)
+    # The body of a match is never NULL; texts that do not match come back unchanged.
+    return strip(F.regexp_replace(strip(text), fixed.FENCE_PATTERN, "$1"))
 
 
 def user_prompt(question: Column, title: Column, abstract: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fixed
-from .json_rules import kind, member, parse_strict
+from .json_rules import is_number, kind, let, member, parse_strict
 from .text import strip
 
 
@@ -20,16 +20,18 @@ def _entries(versions: Column) -> Column:
 def max_version(versions: Column) -> Column:
     """Highest version number as BIGINT; 1 when nothing usable is found."""
 
-    def number(entry: Column) -> Column:
-        value = member(entry, "version")
+    def number(value: Column) -> Column:
         text = strip(F.try_variant_get(value, "$", "string"))
         digits = F.regexp_extract(text, fixed.VERSION_NUMBER_PATTERN, 1)
-        return F.when(kind(value) == "string", digits.try_cast("bigint")).when(
-            kind(value) == "number", F.try_variant_get(value, "$", "bigint")
+        return let(
+            kind(value),
+            lambda k: F.when(k == "STRING", digits.try_cast("bigint")).when(
+                is_number(k), F.try_variant_get(value, "$", "bigint")
+            ),
         )
 
-    highest = F.array_max(F.transform(_entries(versions), number))
-    return F.greatest(F.lit(1).cast("bigint"), highest)
+    values = F.transform(_entries(versions), lambda entry: member(entry, "version"))
+    return F.greatest(F.lit(1).cast("bigint"), F.array_max(F.transform(values, number)))
 
 
 def last_version_id(base_id: Column, versions: Column) -> Column:
@@ -37,27 +39,30 @@ def last_version_id(base_id: Column, versions: Column) -> Column:
 
     def is_set(value: Column) -> Column:
         text = F.try_variant_get(value, "$", "string")
-        number = F.try_variant_get(value, "$", "double")
-        return (
-            F.when(kind(value) == "string", text != "")
-            .when(kind(value) == "boolean", text == "true")
-            .when(kind(value) == "number", number != 0)
-            .otherwise(kind(value).isin("array", "object") & ~text.isin("[]", "{}"))
+        return let(
+            kind(value),
+            lambda k: F.when(k == "STRING", text != "")
+            .when(k == "BOOLEAN", text == "true")
+            .when(is_number(k), F.try_variant_get(value, "$", "double") != 0)
+            .otherwise(k.isin("ARRAY", "OBJECT") & ~text.isin("[]", "{}")),
         )
 
+    def named(entry: Column) -> Column:
+        return let(
+            member(entry, "version"),
+            lambda v: F.when(F.coalesce(is_set(v), F.lit(False)), v).otherwise(member(entry, "v")),
+        )
+
+    def text(value: Column) -> Column:
+        return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
     def suffix(entry: Column) -> Column:
-        version, fallback = member(entry, "version"), member(entry, "v")
-        chosen = F.when(
-            kind(entry) == "object",
-            F.when(F.coalesce(is_set(version), F.lit(False)), version).otherwise(fallback),
-        ).otherwise(entry)
-        text = F.when(kind(chosen) == "string", F.try_variant_get(chosen, "$", "string"))
-        usable = F.when((kind(entry) == "string") | (text != ""), text)
-        return F.when(usable.startswith("v"), usable).otherwise(F.concat(F.lit("v"), usable))
-
-    last = F.slice(_entries(versions), -1, 1)
-    found = F.get(F.transform(F.when(F.size(last) > 0, last), suffix), F.lit(0))
-    return F.concat(base_id, F.coalesce(found, F.lit("v1")))
+        # A bare text counts even when empty, a member of an object only with content.
+        given = F.when(kind(entry) == "OBJECT", F.nullif(text(named(entry)), F.lit(""))).otherwise(text(entry))
+        return let(given, lambda t: F.when(t.startswith("v"), t).otherwise(F.concat(F.lit("v"), t)))
+
+    last = F.transform(F.slice(_entries(versions), -1, 1), suffix)
+    return F.concat(base_id, F.coalesce(F.get(last, F.lit(0)), F.lit("v1")))
 
 
 def previous_version_id(paper_id: Column) -> Column:

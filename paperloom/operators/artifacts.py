@@ -7,7 +7,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import is_unsafe_member, last_segment
 from ..functions.versions import previous_version_id
@@ -95,7 +95,7 @@ def main_file(files: DataFrame) -> DataFrame:
     )
 
 
-_LISTING = "array<struct<path:string,size:bigint>>"
+_LISTING = T.ArrayType(T.StructType().add("path", "string").add("size", "long"))
 
 
 def list_members(archives: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def list_members(archives: DataFrame) -> DataFrame:
     ``members`` lists every entry; only files have a size. All entries of an
     archive arrive with its row, so the checks on them need no shuffle.
     """
-    schema = archives.schema.add("members", _LISTING).add("error", "string")
+    schema = T.StructType([*archives.schema.fields]).add("members", _LISTING).add("error", "string")
     member_type = pa.list_(pa.struct([("path", pa.string()), ("size", pa.int64())]))
 
     def listing(content: bytes | None) -> tuple[list[dict] | None, str | None]:

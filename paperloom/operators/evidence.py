@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed_values as fixed
 from ..functions.json_rules import kind, parse_strict
 from ..functions.text import strip_code_fence
+from .shared import with_computed
 
 
 def evidence_records(replies: DataFrame) -> DataFrame:
@@ -15,10 +16,12 @@ def evidence_records(replies: DataFrame) -> DataFrame:
     ``valid``: an object whose evidence type is one of the known ones, or that
     reports nothing found.
     """
-    text = strip_code_fence(F.col("reply"))
-    is_object = F.coalesce(kind(parse_strict(text)) == "object", F.lit(False))
-    record = F.when(is_object, F.from_json(text, fixed.EVIDENCE_DDL))
-    rows = replies.select("id", is_object.alias("_object"), record.alias("_record"))
+    bodies = with_computed(replies.select("id", "reply"), "_body", strip_code_fence(F.col("reply")))
+    is_object = F.coalesce(kind(parse_strict(F.col("_body"))) == "OBJECT", F.lit(False))
+    record = F.when(is_object, F.from_json("_body", fixed.EVIDENCE_DDL))
+    rows = with_computed(bodies, "_record", record).select(
+        "id", F.col("_record").isNotNull().alias("_object"), "_record"
+    )
     known = F.coalesce(F.col("_record.type_bewijs").isin(*fixed.EVIDENCE_TYPES), F.lit(False))
     found = F.coalesce(F.col("_record.bewijs_gevonden"), F.lit(False))
     return rows.select("id", "_record.*", (F.col("_object") & (known | ~found)).alias("valid"))

@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fixed
 from ..functions.json_rules import kind, parse_strict, violations
 from ..functions.text import strip
-from .shared import dense_ids, first_n, first_per_key, max_id
+from .shared import dense_ids, first_n, first_per_key, max_id, with_computed
 
 
 def json_lines(lines: DataFrame, order: list[str], max_records: int | None = None) -> DataFrame:
     """Stripped non-blank lines; the cap takes the first ones by ``order``."""
-    text = lines.withColumn("value", strip(F.col("value"))).filter("value <> ''")
+    raw = lines.withColumnRenamed("value", "_raw")
+    text = with_computed(raw, "value", strip(F.col("_raw"))).drop("_raw").filter("value <> ''")
     return first_n(text, order, max_records)
 
 
@@ -21,11 +22,11 @@ def validate(lines: DataFrame) -> DataFrame:
 
     A line that is not one JSON object has the single violation ``record:object``.
     """
-    parsed = lines.withColumn("doc", parse_strict(F.col("value")))
-    is_object = F.coalesce(kind(F.col("doc")) == "object", F.lit(False))
+    parsed = with_computed(lines, "doc", parse_strict(F.col("value")))
+    is_object = F.coalesce(kind(F.col("doc")) == "OBJECT", F.lit(False))
     found = violations(F.col("doc"), fixed.METADATA_FIELD_TYPES, fixed.METADATA_REQUIRED)
-    return parsed.withColumn(
-        "violations", F.when(is_object, found).otherwise(F.array(F.lit("record:object")))
+    return with_computed(
+        parsed, "violations", F.when(is_object, found).otherwise(F.array(F.lit("record:object")))
     )
 
 
@@ -55,7 +56,11 @@ def metadata_rows(accepted: DataFrame, as_of: Column, keep: tuple[str, ...] = ()
     def text(name: str) -> Column:
         return F.try_variant_get(doc, f"$['{name}']", "string")
 
-    return accepted.select(
+    # One pass over the line gives the text of both lists.
+    lists = accepted.select(
+        "*", F.json_tuple("value", "versions", "authors_parsed").alias("versions", "authors_parsed")
+    )
+    return lists.select(
         text("id").alias("id"),
         text("submitter").alias("submitter"),
         text("authors").alias("authors"),
@@ -67,9 +72,9 @@ def metadata_rows(accepted: DataFrame, as_of: Column, keep: tuple[str, ...] = ()
         text("categories").alias("categories"),
         text("license").alias("license"),
         text("abstract").alias("abstract"),
-        F.get_json_object("value", "$.versions").alias("versions"),
+        "versions",
         text("update_date").try_cast("date").alias("update_date"),
-        F.get_json_object("value", "$.authors_parsed").alias("authors_parsed"),
+        "authors_parsed",
         as_of.alias("created_at"),
         as_of.alias("updated_at"),
         *keep,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,51 +24,45 @@ UNIQUE = (("labels", ("name",)), ("questions", ("name", "label_id")))
 
 def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, rule, key, rows): every key that breaks a rule, with its row count."""
-    checks = []
-    for name, df in tables.items():
-        schema, key = TABLES[name]
-        checks.append(_repeated(name, df, "primary key", key))
-        checks += [_repeated(name, df, "unique", list(cols)) for t, cols in UNIQUE if t == name]
-        required = [f.name for f in schema.fields if not f.nullable]
-        checks.append(_nulls(name, df, key, required))
+    checks = [_row_rules(name, df) for name, df in tables.items()]
     for child, column, parent in FOREIGN_KEYS:
         if child in tables and parent in tables:
             checks.append(_orphans(child, tables[child], column, tables[parent]))
-    if "download_queue" in tables:
-        status = F.col("download_status")
-        outside = tables["download_queue"].filter(~status.isin(*fixed.QUEUE_STATUSES))
-        checks.append(_report("download_queue", "check download_status", outside, ["arxiv_id"]))
-    if "labels" in tables:
-        long = tables["labels"].filter(F.char_length("name") > fixed.LABEL_NAME_MAX_CHARS)
-        checks.append(_report("labels", "length name", long, ["id"]))
     return reduce(DataFrame.unionByName, checks)
 
 
-def _key(columns: list[str]) -> Column:
+def _key(columns: Sequence[str]) -> Column:
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns]
-    return F.concat_ws("|", *texts).alias("key")
+    return F.concat_ws("|", *texts)
 
 
-def _report(table: str, rule: str, bad: DataFrame, key: list[str]) -> DataFrame:
-    return bad.groupBy(_key(key)).agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "key", "rows"
-    )
-
-
-def _repeated(table: str, df: DataFrame, rule: str, key: list[str]) -> DataFrame:
-    return _report(table, f"{rule} {'+'.join(key)}", df, key).filter("rows > 1")
+def _row_rules(table: str, df: DataFrame) -> DataFrame:
+    """Key, NOT NULL, domain and length rules of a table in one scan and one shuffle.
 
-
-def _nulls(table: str, df: DataFrame, key: list[str], required: list[str]) -> DataFrame:
-    """One scan for all NOT NULL columns of a table."""
-    broken = F.filter(
-        F.array(*[F.when(F.col(c).isNull(), F.lit(f"not null {c}")) for c in required]),
-        lambda rule: rule.isNotNull(),
+    Each row names the rules it takes part in; a uniqueness rule is broken by
+    keys seen more than once, any other rule by every row that names it.
+    """
+    schema, key = TABLES[table]
+    uniques = {f"primary key {'+'.join(key)}": key}
+    uniques |= {f"unique {'+'.join(cols)}": cols for t, cols in UNIQUE if t == table}
+    broken = {f"not null {f.name}": F.col(f.name).isNull() for f in schema.fields if not f.nullable}
+    if table == "download_queue":
+        broken["check download_status"] = ~F.col("download_status").isin(*fixed.QUEUE_STATUSES)
+    if table == "labels":
+        broken["length name"] = F.char_length("name") > fixed.LABEL_NAME_MAX_CHARS
+
+    def entry(rule: str, columns: Sequence[str]) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), _key(columns).alias("key"))
+
+    named = [entry(rule, columns) for rule, columns in uniques.items()]
+    named += [F.when(test, entry(rule, key)) for rule, test in broken.items()]
+    counted = (
+        df.select(F.inline(F.array_compact(F.array(*named))))
+        .groupBy("rule", "key")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
-    return (
-        df.select(_key(key), F.explode(broken).alias("rule"))
-        .groupBy("rule", "key").agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit(table).alias("table_name"), "rule", "key", "rows")
+    return counted.filter((F.col("rows") > 1) | ~F.col("rule").isin(*uniques)).select(
+        F.lit(table).alias("table_name"), "rule", "key", "rows"
     )
 
 

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import fixed_values as fixed
 from ..functions.replies import parse_reply
 from ..functions.text import is_blank_input, user_prompt
 from .queues import JOB_KEY
+from .shared import with_computed
 
 # A model call: chat messages in, reply text out. It must be picklable.
 ChatModel = Callable[[list[dict[str, str]]], str]
@@ -62,7 +63,8 @@ def ask_model(
     Select only what is needed first: all columns travel to Python and back.
     """
     source = df.repartition(parallelism) if parallelism else df
-    result = df.drop(prompt).schema.add("reply", "string").add("error", "string")
+    kept_fields = [f for f in df.schema.fields if f.name != prompt]
+    result = T.StructType(kept_fields).add("reply", "string").add("error", "string")
     preamble = [{"role": "system", "content": system}] if system is not None else []
 
     def call(text: str | None) -> tuple[str | None, str | None]:
@@ -116,7 +118,7 @@ def judge_replies(replies: DataFrame) -> DataFrame:
 
     A missing or failed call answers False; skipped jobs have no answer.
     """
-    parsed = replies.withColumn("_parsed", parse_reply(F.col("reply")))
+    parsed = with_computed(replies, "_parsed", parse_reply(F.col("reply")))
     return parsed.select(
         *JOB_KEY,
         "label_id",

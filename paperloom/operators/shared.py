@@ -47,6 +47,15 @@ def first_n(df: DataFrame, order: Sequence[str], n: int | None, unlimited: bool
     return whole.select(df.columns).unionByName(border.select(df.columns))
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections do not compute again.
+
+    A plain projection is merged into what follows (a filter on it is pushed
+    below and repeats the expression); rows made by a generator are not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def dense_ids(df: DataFrame, key: str, start: Column, id_column: str = "id") -> DataFrame:
     """Number rows with distinct ``key`` values ``start + 1, start + 2, ...``.
 

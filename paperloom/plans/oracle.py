@@ -198,17 +198,17 @@ parsed AS (
 def _chunk_sql(max_chars: int) -> str:
     """Recursive statement of the cutting rule."""
     least = int(max_chars * fixed.CHUNK_CUT_RATIO)
-    window = f"substr(text, CAST(at + 1 AS BIGINT), {max_chars})"
+    window = f"substr(text, CAST(done + 1 AS BIGINT), {max_chars})"
     return f"""
 walk AS (
-  SELECT id, text, length(text) AS n, CAST(0 AS BIGINT) AS at, CAST(-1 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS chunk FROM texts
+  SELECT id, text, length(text) AS n, CAST(0 AS BIGINT) AS done, CAST(-1 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS chunk FROM texts
   UNION ALL
-  SELECT id, text, n, at + length(piece), pos + 1, piece FROM (
-    SELECT id, text, n, at, pos, CASE WHEN n <= {max_chars} THEN text
+  SELECT id, text, n, done + length(piece), pos + 1, piece FROM (
+    SELECT id, text, n, done, pos, CASE WHEN n <= {max_chars} THEN text
       WHEN border > {least} THEN substr(w, 1, border) ELSE w END AS piece
     FROM (SELECT *, CASE WHEN strpos(reverse(w), chr(10) || chr(10)) > 0
           THEN length(w) - strpos(reverse(w), chr(10) || chr(10)) - 1 ELSE -1 END AS border
-      FROM (SELECT *, {window} AS w FROM walk WHERE at < n OR (n = 0 AND pos = -1))))),
+      FROM (SELECT *, {window} AS w FROM walk WHERE done < n OR (n = 0 AND pos = -1))))),
 pieces AS (SELECT id, CAST(pos AS INT) AS pos, chunk FROM walk WHERE pos >= 0)"""
 
 

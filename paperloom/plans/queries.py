@@ -23,7 +23,7 @@ from ..operators import (
 )
 from ..session import shared_folder
 from ..streaming.labeling import reply_log, start_labeling
-from .views import view
+from .views import BASE_TABLES, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -649,9 +649,9 @@ def label_jobs(v):
 
 def label_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue read as a stream over the documents; same result as ``label_jobs``."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     documents = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+        spark.readStream.schema(BASE_TABLES["documents"])
+        .option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     )
     folder = shared_folder(spark, "label-stream")
     stream = start_labeling(

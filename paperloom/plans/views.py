@@ -237,9 +237,24 @@ VIEWS: dict[str, str] = {
 }
 
 
-def _sql(name: str, table: dict[str, str] | None, stamp: str) -> str:
-    text = VIEWS[name].replace("@TS", stamp)
-    return re.sub(r"@(\w+)", lambda m: table[m[1]] if table else m[1], text)
+# Columns of the base tables that the views read; a given schema saves Spark the
+# job that looks it up in a file footer.
+BASE_TABLES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(BASE_TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _tables_of(name: str) -> set[str]:
+    return set(re.findall(r"@(\w+)", VIEWS[name])) - {"TS"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
@@ -247,13 +262,12 @@ def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> Dat
 
     ``given`` replaces base tables by DataFrames, e.g. by a stream.
     """
-    names = set(re.findall(r"@(\w+)", VIEWS[name])) - {"TS"}
-    tables = {t: f"parquet.`{sf_dir.rstrip('/')}/{t}.parquet`" for t in names}
-    tables |= {t: f"{{{t}}}" for t in given}
-    return spark.sql(_sql(name, tables, "TIMESTAMP_NTZ"), **given)
+    text = VIEWS[name].replace("@TS", "TIMESTAMP_NTZ").replace("{", "{{").replace("}", "}}")
+    frames = {t: given.get(t) or base_table(spark, sf_dir, t) for t in _tables_of(name)}
+    return spark.sql(re.sub(r"@(\w+)", r"{\1}", text), **frames)
 
 
 def ansi_views(*names: str) -> str:
     """``WITH`` clause of the views for the SQL check."""
-    parts = ",\n".join(f"{name} AS ({_sql(name, None, 'TIMESTAMP')})" for name in names)
-    return f"WITH RECURSIVE {parts}\n"
+    texts = {name: re.sub(r"@(\w+)", r"\1", VIEWS[name].replace("@TS", "TIMESTAMP")) for name in names}
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({text})" for name, text in texts.items()) + "\n"
