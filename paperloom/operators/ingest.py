@@ -86,8 +86,15 @@ def dated(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("update_date").isNotNull())
 
 
-def undated(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("update_date").isNull())
+def reviewed(rows: DataFrame) -> DataFrame:
+    """Rows that carry ``value`` and ``violations``: also blame dates that are none.
+
+    Only bad rows keep their ``value``, for the quarantine.
+    """
+    no_date = (F.size("violations") == 0) & F.col("update_date").isNull()
+    blamed = F.when(no_date, F.array(F.lit("update_date:date"))).otherwise(F.col("violations"))
+    judged = rows.withColumn("violations", blamed)
+    return judged.withColumn("value", F.when(F.size("violations") > 0, F.col("value")))
 
 
 def absent_metadata(current: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:

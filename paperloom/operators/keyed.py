@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fixed
-from .shared import dense_ids, first_per_key, max_id
+from .shared import dense_ids, first_per_key, max_id, only_for
 
 LABEL_KEY = ["metadata_id", "label_id"]
 
@@ -30,7 +30,7 @@ def latest_labels(changes: DataFrame) -> DataFrame:
 
 def changed_labels(current: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
     """The rows an upsert writes: new ones, and old ones with their created_at kept."""
-    old = current.select(*LABEL_KEY, "created_at")
+    old = only_for(current.select(*LABEL_KEY, "created_at"), changes, LABEL_KEY)
     return latest_labels(changes).join(old, LABEL_KEY, "left").select(
         *LABEL_KEY,
         "confidence_score",

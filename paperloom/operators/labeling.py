@@ -12,7 +12,7 @@ from .. import fixed_values as fixed
 from ..functions.replies import parse_reply
 from ..functions.text import is_blank_input, user_prompt
 from .queues import JOB_KEY
-from .shared import with_computed
+from .shared import only_for, with_computed
 
 # A model call: chat messages in, reply text out. It must be picklable.
 ChatModel = Callable[[list[dict[str, str]]], str]
@@ -28,6 +28,7 @@ def enrich_jobs(jobs: DataFrame, questions: DataFrame, metadata: DataFrame) -> D
     papers = metadata.select(
         F.col("id").alias("metadata_id"), "title", "abstract", F.lit(True).alias("_stored")
     )
+    papers = only_for(papers, jobs, ["metadata_id"])
     no_key = (F.coalesce("metadata_id", F.lit("")) == "") | F.col("question_id").isNull()
     return (
         jobs.select(*JOB_KEY)

@@ -56,6 +56,16 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def only_for(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of a large table whose key occurs in ``keys``, before an outer join with it.
+
+    An outer join cannot broadcast its small left side, so it would shuffle the
+    whole table; this semi join can. When ``keys`` is large, too, both joins
+    share one shuffle of the table.
+    """
+    return table.join(keys.select(*on), list(on), "left_semi")
+
+
 def dense_ids(df: DataFrame, key: str, start: Column, id_column: str = "id") -> DataFrame:
     """Number rows with distinct ``key`` values ``start + 1, start + 2, ...``.
 

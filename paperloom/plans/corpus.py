@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fixed
 from ..operators import artifacts, catalog, conversion, ingest, integrity, keyed, labeling, queues
+from ..operators.shared import only_for
 from ..schemas import TABLES
 from ..sources import files
 from ..sources.changelog import ChangeLog
@@ -56,29 +57,28 @@ class Corpus:
     ) -> dict[str, int]:
         """Validate a JSON Lines dump and add the papers that are not stored yet.
 
-        Bad records go to the quarantine folder with their violations;
-        ``failfast`` writes nothing at the first bad record.
+        The lines are parsed once, into a folder of the run. Bad records stay
+        there with their violations; ``failfast`` fails at the first one and
+        leaves the table alone.
         """
         lines = ingest.json_lines(files.read_json_lines(self.spark, path), files.LINE_ORDER, max_records)
         checked = ingest.validate(lines)
-        rows = ingest.metadata_rows(ingest.accept(checked, mode), _time(as_of), tuple(files.LINE_ORDER))
-        bad = ingest.quarantined(checked).unionByName(
-            ingest.undated(rows).select(
-                F.col("id").alias("value"), F.array(F.lit("update_date:date")).alias("violations")
-            )
-        )
-        if mode == "failfast":
-            dated = rows.withColumn(
-                "update_date",
-                F.coalesce("update_date", F.raise_error(F.lit("invalid record: update_date:date"))),
-            )
-            rejected = 0
-        else:
-            dated = ingest.dated(rows)
-            rejected = self._stored(bad, "quarantine", run_id).count()
-        new = ingest.absent_metadata(self.table("metadata", run_id), dated, files.LINE_ORDER)
-        self.log("metadata").append(new, run_id)
-        return {"inserted": self.log("metadata").written(run_id).count(), "rejected": rejected}
+        extra = (*files.LINE_ORDER, "value", "violations")
+        rows = ingest.reviewed(ingest.metadata_rows(checked, _time(as_of), extra))
+        if mode != "quarantine":
+            rows = ingest.accept(rows, mode)
+        records = self._stored(rows, "records", run_id)
+        good = ingest.accept(records).drop("value", "violations")
+        stored = only_for(self.table("metadata", run_id).select("id"), good, ["id"])
+        self.log("metadata").append(ingest.absent_metadata(stored, good, files.LINE_ORDER), run_id)
+        return {
+            "inserted": self.log("metadata").written(run_id).count(),
+            "rejected": self.quarantine(run_id).count(),
+        }
+
+    def quarantine(self, run_id: int) -> DataFrame:
+        """(value, violations) of the records an import rejected."""
+        return ingest.quarantined(self.spark.read.parquet(f"{self.root}/_runs/{run_id}/records"))
 
     def import_taxonomy(self, path: str, run_id: int, as_of: str) -> dict[str, int]:
         """Seed labels and questions from JSON files; what is stored stays as it is."""

@@ -576,7 +576,8 @@ def oracle_sql() -> dict[str, str]:
             CAST(sum(metrics) AS BIGINT) AS metrics
           FROM verified WHERE valid AND bewijs_gevonden GROUP BY 1, 2""",
         "labeling_flagship": views(*_LABELING_VIEWS) + f""",
-          jobs AS (SELECT id AS metadata_id, {QUESTION_ID} AS question_id FROM metadata m
+          jobs AS (SELECT metadata_id, question_id FROM labeling_queue
+            UNION ALL SELECT id AS metadata_id, {QUESTION_ID} AS question_id FROM metadata m
             WHERE list_has_any(string_split(categories, ' '), ['cs.AI', 'cs.SE']) AND update_date > DATE '2025-09-01'
               AND NOT EXISTS (SELECT 1 FROM labeling_queue q WHERE q.metadata_id = m.id AND q.question_id = {QUESTION_ID})),
           {_JUDGED}, {_UPSERTED}

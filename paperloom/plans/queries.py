@@ -719,7 +719,8 @@ def evidence_summary(v):
 def labeling_flagship(v):
     """Select, enqueue, drain and upsert in one plan; label totals come out."""
     attempts = queues.enqueue_labeling(v("metadata"), v("labeling_queue"), QUESTION_ID)
-    jobs = attempts.filter("is_new").select("metadata_id", "question_id")
+    new = attempts.filter("is_new").select("metadata_id", "question_id")
+    jobs = v("labeling_queue").unionByName(new)
     enriched = labeling.enrich_jobs(jobs, v("questions"), v("metadata"))
     judged = labeling.judge_replies(labeling.classify_jobs(enriched, rule_model()))
     labels = keyed.upsert_labels(v("metadata_labels"), labeling.positive_labels(judged), _as_of())

@@ -75,11 +75,11 @@ VIEWS: dict[str, str] = {
           CAST(item_id % 21 + 1 AS INT) AS label_id, @TS '2025-10-01 00:00:00' AS created_at
         FROM @benchmark""",
     "metadata_labels": f"""
-        SELECT {_ID} AS metadata_id, 1 AS label_id, CAST(0.90 AS DECIMAL(3,2)) AS confidence_score,
+        SELECT {_ID} AS metadata_id, CAST(quality AS INT) AS label_id, CAST(0.90 AS DECIMAL(3,2)) AS confidence_score,
           @TS '2025-10-02 00:00:00' AS created_at, @TS '2025-10-02 00:00:00' AS updated_at
         FROM @labels WHERE quality = 1
         UNION ALL
-        SELECT {_ID}, 2, CAST(0.75 AS DECIMAL(3,2)),
+        SELECT {_ID}, CAST(toxic + 1 AS INT), CAST(0.75 AS DECIMAL(3,2)),
           @TS '2025-10-02 00:00:00', @TS '2025-10-02 00:00:00'
         FROM @labels WHERE toxic = 1""",
     "labeling_queue": f"""

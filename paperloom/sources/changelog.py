@@ -68,7 +68,7 @@ class ChangeLog:
         return T.StructType([T.StructField(f.name, f.dataType, True) for f in self.schema.fields])
 
     def _log(self) -> DataFrame:
-        schema = self._nullable().add("run", "long").add("deleted", "int")
+        schema = self._nullable().add("run", "long").add("deleted", "integer")
         return self.spark.read.schema(schema).parquet(self.path)
 
     def _write(self, rows: DataFrame, run_id: int, deleted: int) -> None:
