@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import is_unsafe_member, last_segment
 from ..functions.versions import previous_version_id
+from .shared import only_for
 
 # candidate order of a download: (rank, which version, kind)
 CANDIDATES = ((1, "own", "src"), (2, "own", "pdf"), (3, "previous", "src"), (4, "previous", "pdf"))
@@ -30,7 +31,7 @@ def already_downloaded(ids: DataFrame, files: DataFrame, literal_prefix: bool =
         known = files.filter(F.char_length(name) > 0).select(F.explode(prefix).alias("arxiv_id"))
     else:
         known = files.select(archive_id(F.col("path")).alias("arxiv_id"))
-    return ids.join(known, "arxiv_id", "left_semi")
+    return only_for(ids, known, ["arxiv_id"])
 
 
 def archive_id(path: Column) -> Column:

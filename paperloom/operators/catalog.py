@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fixed
 from ..functions.json_rules import parse_strict
-from .shared import first_n
+from .shared import first_n, only_for
 
 
 def existing(keys: DataFrame, table: DataFrame, key: str, table_key: str | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def missing(keys: DataFrame, table: DataFrame, key: str, table_key: str | None =
 def lookup(table: DataFrame, key: str, ids: DataFrame | str | int) -> DataFrame:
     """Rows by id: one literal id, or every id of a DataFrame with column ``key``."""
     if isinstance(ids, DataFrame):
-        return table.join(ids.select(key), key, "left_semi")
+        return only_for(table, ids, [key])
     return table.filter(F.col(key) == F.lit(ids))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fixed
-from ..functions.json_rules import kind, parse_strict, violations
+from ..functions.json_rules import boxed, kind, kinds, parse_strict, unboxed, violations
 from ..functions.text import strip
 from .shared import dense_ids, first_n, first_per_key, max_id, with_computed
 
@@ -22,12 +22,20 @@ def validate(lines: DataFrame) -> DataFrame:
 
     A line that is not one JSON object has the single violation ``record:object``.
     """
-    parsed = with_computed(lines, "doc", parse_strict(F.col("value")))
-    is_object = F.coalesce(kind(F.col("doc")) == "OBJECT", F.lit(False))
-    found = violations(F.col("doc"), fixed.METADATA_FIELD_TYPES, fixed.METADATA_REQUIRED)
-    return with_computed(
-        parsed, "violations", F.when(is_object, found).otherwise(F.array(F.lit("record:object")))
+    # Each step is a column of its own: computed once, and in generated code.
+    box = with_computed(lines, "_box", boxed(F.col("value")))
+    parsed = with_computed(box, "doc", unboxed(F.col("_box"), F.col("value"))).drop("_box")
+    names = list(fixed.METADATA_FIELD_TYPES)
+    typed = with_computed(parsed, "_kinds", kinds(F.col("doc"), names))
+    found = violations(
+        F.col("_kinds"),
+        F.try_variant_get(F.col("doc"), "$.id", "string"),
+        fixed.METADATA_FIELD_TYPES,
+        fixed.METADATA_REQUIRED,
     )
+    is_object = F.coalesce(kind(F.col("doc")) == "OBJECT", F.lit(False))
+    no_object = F.array(F.lit("record:object"))
+    return with_computed(typed, "violations", F.when(is_object, found).otherwise(no_object)).drop("_kinds")
 
 
 def accept(validated: DataFrame, mode: str = "quarantine") -> DataFrame:

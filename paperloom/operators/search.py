@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fixed
 from ..functions.text import last_segment, strip
-from .shared import first_n
+from .shared import first_n, only_for
 
 
 def normalise_results(entries: DataFrame) -> DataFrame:
@@ -60,4 +60,4 @@ def search_papers(
 
 def search_by_ids(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """Results for a list of ids (column arxiv_id)."""
-    return normalise_results(entries).join(ids.select("arxiv_id"), "arxiv_id", "left_semi")
+    return only_for(normalise_results(entries), ids, ["arxiv_id"])

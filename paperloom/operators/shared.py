@@ -57,13 +57,14 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def only_for(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of a large table whose key occurs in ``keys``, before an outer join with it.
+    """Rows of a table whose key occurs in ``keys``.
 
-    An outer join cannot broadcast its small left side, so it would shuffle the
-    whole table; this semi join can. When ``keys`` is large, too, both joins
-    share one shuffle of the table.
+    Copies of a key are folded before they are shuffled; the join then needs no
+    shuffle of its own for them. Also of use in front of an outer join, which
+    cannot broadcast a small left side and would shuffle the whole table: this
+    semi join can. When ``keys`` is large, too, both joins share one shuffle.
     """
-    return table.join(keys.select(*on), list(on), "left_semi")
+    return table.join(keys.select(*on).distinct(), list(on), "left_semi")
 
 
 def dense_ids(df: DataFrame, key: str, start: Column, id_column: str = "id") -> DataFrame:
