@@ -106,11 +106,42 @@ def reviewed(rows: DataFrame) -> DataFrame:
 
 
 def absent_metadata(current: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows to append: ids not stored yet, the first row of each id by ``order``."""
+    """Rows to append: ids not stored yet, the first row of each id by ``order``.
+
+    One pass over ``rows``, which are shuffled whole. For rows that are already
+    written, :func:`conflicting_ids` and :func:`without_conflicts` do the same
+    and only shuffle ids.
+    """
     single = first_per_key(rows, ["id"], [F.col(c) for c in order])
     return single.join(current.select("id"), "id", "left_anti").drop(*order)
 
 
+def conflicting_ids(current: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """(id, first): ids that cannot simply be appended, usually a few.
+
+    ``first`` is the ``order`` of the row to keep, NULL when the id is stored.
+    """
+    place = F.struct(*order)
+    counted = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_rows"), F.min(place).alias("first"))
+    stored = current.select("id", F.lit(True).alias("_stored"))
+    return (
+        counted.join(stored, "id", "left")
+        .filter("_stored OR _rows > 1")
+        .select("id", F.when(F.col("_stored").isNull(), F.col("first")).alias("first"))
+    )
+
+
+def without_conflicts(rows: DataFrame, conflicts: DataFrame, order: list[str]) -> DataFrame:
+    """Rows to append, given the written :func:`conflicting_ids`.
+
+    A small conflict table is broadcast (Spark knows the size of its files),
+    and the rows with their long texts stay where they are.
+    """
+    known = conflicts.withColumn("_conflict", F.lit(True))
+    keep = F.col("_conflict").isNull() | F.coalesce(F.struct(*order) == F.col("first"), F.lit(False))
+    return rows.join(known, "id", "left").filter(keep).drop(*order, "first", "_conflict")
+
+
 def metadata_conflicts(current: DataFrame, rows: DataFrame) -> DataFrame:
     """Ids that a strict insert must refuse, with the reason."""
     repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))

@@ -70,7 +70,11 @@ class Corpus:
         records = self._stored(rows, "records", run_id)
         good = ingest.accept(records).drop("value", "violations")
         stored = only_for(self.table("metadata", run_id).select("id"), good, ["id"])
-        self.log("metadata").append(ingest.absent_metadata(stored, good, files.LINE_ORDER), run_id)
+        conflicts = self._stored(
+            ingest.conflicting_ids(stored, good, files.LINE_ORDER), "conflicts", run_id
+        )
+        new = ingest.without_conflicts(good, conflicts, files.LINE_ORDER)
+        self.log("metadata").append(new, run_id)
         return {
             "inserted": self.log("metadata").written(run_id).count(),
             "rejected": self.quarantine(run_id).count(),

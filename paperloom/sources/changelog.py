@@ -2,7 +2,9 @@
 
 Every run writes the rows it changes into a folder of its own; the newest row of
 a key is its current one. Repeating a run replaces that folder only, so a job
-that died half way is simply run again with the same number.
+that died half way is simply run again with the same number. Run 0 is the
+compacted base: its keys are unique, so reading it needs no shuffle as long as
+the changes since then are few enough to broadcast.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ class ChangeLog:
 
     def append(self, rows: DataFrame, run_id: int) -> None:
         """Store new and changed rows; columns that ``rows`` lacks become NULL."""
+        _check_run(run_id)
         columns = [
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in self.schema.fields
@@ -40,6 +43,7 @@ class ChangeLog:
         """Store the keys of removed rows."""
         if self.insert_only:
             raise ValueError("rows of an insert-only table cannot be removed")
+        _check_run(run_id)
         self._write(keys.select(self.keys), run_id, deleted=1)
 
     def current(self, before: int | None = None) -> DataFrame:
@@ -47,9 +51,12 @@ class ChangeLog:
         log = self._log()
         if before is not None:
             log = log.filter(F.col("run") < before)
-        if not self.insert_only:
-            log = first_per_key(log, self.keys, [F.desc("run"), F.desc("deleted")]).filter("deleted = 0")
-        return log.select(self.schema.fieldNames())
+        columns = self.schema.fieldNames()
+        if self.insert_only:
+            return log.select(columns)
+        newest = first_per_key(log.filter("run > 0"), self.keys, [F.desc("run"), F.desc("deleted")])
+        untouched = log.filter("run = 0").join(newest.select(self.keys), self.keys, "left_anti")
+        return untouched.select(columns).unionByName(newest.filter("deleted = 0").select(columns))
 
     def written(self, run_id: int) -> DataFrame:
         """The rows that one run stored."""
@@ -58,10 +65,10 @@ class ChangeLog:
         )
 
     def compact(self, path: str) -> ChangeLog:
-        """Write the current rows as the first run of a new log; this one stays as it is."""
+        """Write the current rows as the base of a new log; this one stays as it is."""
         target = ChangeLog(self.spark, path, self.schema, self.keys, self.insert_only)
         target.create()
-        target.append(self.current(), 0)
+        target._write(self.current(), 0, deleted=0)
         return target
 
     def _nullable(self) -> T.StructType:
@@ -73,3 +80,8 @@ class ChangeLog:
 
     def _write(self, rows: DataFrame, run_id: int, deleted: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/run={run_id}/deleted={deleted}")
+
+
+def _check_run(run_id: int) -> None:
+    if run_id < 1:
+        raise ValueError("run numbers start at 1")

@@ -92,6 +92,12 @@ def test_whole_run(spark, corpus, tmp_path):
     assert corpus.integrity_report().count() == 0
     compacted = corpus.log("download_queue").compact(str(tmp_path / "compacted"))
     assert rows(compacted.current()) == rows(corpus.table("download_queue"))
+    compacted.remove(failed.select("arxiv_id"), 1)
+    compacted.append(offers.select(F.lit("new").alias("arxiv_id"), F.lit("FAILED").alias("download_status")).limit(1), 2)
+    compacted.append(corpus.table("download_queue").filter("arxiv_id = '25.001v2'").withColumn("download_status", F.lit("FAILED")), 3)
+    assert rows(compacted.current().filter("download_status = 'FAILED'"), "arxiv_id") == [("25.001v2",), ("new",)]
+    assert compacted.current().count() == 6
+    assert rows(compacted.current(before=1)) == rows(corpus.table("download_queue"))
 
 
 def test_failfast_writes_nothing(corpus, tmp_path):

@@ -100,6 +100,10 @@ def test_append_is_idempotent_and_first_line_wins(spark):
     assert rows(stored, "id", "title") == [("a", "first"), ("b", "t")]
     assert rows(stored.filter("id = 'a'"), "versions", "authors_parsed") == [('[{"version":"v1"}]', "[]")]
     assert ingest.absent_metadata(stored, new, ["row"]).count() == 0
+    for current in (empty, stored, stored.filter("id = 'a'")):
+        conflicts = ingest.conflicting_ids(current, new, ["row"])
+        narrow = ingest.without_conflicts(new, conflicts, ["row"])
+        assert rows(narrow) == rows(ingest.absent_metadata(current, new, ["row"]))
     assert rows(ingest.metadata_conflicts(stored.filter("id='b'"), new)) == [
         ("a", 2, "repeated"), ("b", 1, "stored"),
     ]
