@@ -187,3 +187,18 @@ def test_stream_equals_batch(spark, tmp_path):
         labeling.classify_jobs(labeling.enrich_jobs(jobs, questions, papers), rule_model())
     )
     assert rows(streamed) == rows(batch)
+
+
+def test_jobs_from_the_shell(spark, tmp_path, capsys, monkeypatch):
+    from paperloom import __main__ as shell
+
+    monkeypatch.setattr(shell, "build_session", lambda: spark)
+    dump = write_dump(tmp_path / "d.jsonl", [record(1), record(2)])
+    where = ["--root", str(tmp_path / "c"), "--as-of", WHEN]
+    shell.main([*where, "create"])
+    shell.main([*where, "--run-id", "1", "import-metadata", dump, "--max-records", "1"])
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"inserted": 1, "rejected": 0}
+    shell.main([*where, "metadata-stats"])
+    assert "total_metadata" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="start at 1"):
+        shell.main([*where, "prepare-papers"])
