@@ -157,6 +157,14 @@ def metadata_conflicts(current: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
+def insert_strict(current: DataFrame, rows: DataFrame) -> DataFrame:
+    """All rows, or a failed job if an id is stored already or occurs twice."""
+    refused = metadata_conflicts(current, rows).select("id", "reason")
+    message = F.concat(F.lit("duplicate id "), F.col("id"), F.lit(": "), F.col("reason"))
+    checked = F.when(F.col("reason").isNull(), F.col("id")).otherwise(F.raise_error(message))
+    return rows.join(refused, "id", "left").withColumn("id", checked).select(rows.columns)
+
+
 def taxonomy_items(documents: DataFrame, order: str) -> DataFrame:
     """(label, question, prompt, seq...) rows of seed documents.
 

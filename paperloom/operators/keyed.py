@@ -109,6 +109,25 @@ def set_queue_status(queue: DataFrame, changes: DataFrame, as_of: Column) -> Dat
     return apply_updates(queue, checked, "arxiv_id", ["download_status"], as_of)
 
 
+PAPER_FIELDS = ["download_status", "download_type", "llm_check_status", "metadata_id"]
+
+
+def update_papers(papers: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
+    """Next state of the papers after field changes (see :func:`apply_updates`).
+
+    A download type that a change sets must be inside its domain.
+    """
+    fields = [f for f in PAPER_FIELDS if f in changes.columns]
+    if "download_type" in fields:
+        kind = F.coalesce("download_type", F.lit("NULL"))
+        bad = F.array_contains("set_fields", "download_type") & ~kind.isin(*fixed.DOWNLOAD_TYPES)
+        message = F.concat(F.lit("invalid download_type: "), kind)
+        changes = changes.withColumn(
+            "download_type", F.when(bad, F.raise_error(message)).otherwise(F.col("download_type"))
+        )
+    return apply_updates(papers, changes, "arxiv_id", fields, as_of)
+
+
 def get_or_create_labels(labels: DataFrame, names: DataFrame) -> DataFrame:
     """(id, name, created) for every distinct name; empty names are an error."""
     wanted = _non_empty(names.select("name"), "name").distinct()

@@ -8,6 +8,7 @@ through the driver; it only receives counts.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -107,6 +108,20 @@ class Corpus:
         self.log("papers").append(new, run_id)
         return self.log("papers").written(run_id).count()
 
+    def insert_papers(self, incoming: DataFrame, run_id: int, as_of: str) -> int:
+        """Add papers that are not stored: arxiv_id, metadata_id and any statuses."""
+        new = keyed.new_papers(
+            self.table("papers", run_id), incoming, self.table("metadata", run_id), _time(as_of)
+        )
+        self.log("papers").append(new, run_id)
+        return self.log("papers").written(run_id).count()
+
+    def update_papers(self, changes: DataFrame, run_id: int, as_of: str) -> int:
+        """Set fields of stored papers; returns how many there were."""
+        touched = only_for(self.table("papers", run_id), changes, ["arxiv_id"])
+        self.log("papers").append(keyed.update_papers(touched, changes, _time(as_of)), run_id)
+        return self.log("papers").written(run_id).count()
+
     # ---- labeling -------------------------------------------------------
 
     def prepare_labeling(
@@ -131,12 +146,13 @@ class Corpus:
         jobs: int = fixed.DEFAULT_LABELING_JOBS,
         in_flight: int = fixed.HOSTED_IN_FLIGHT,
         parallelism: int | None = None,
-    ) -> dict[str, int]:
+    ) -> dict[str, int | float]:
         """Drain up to ``jobs`` jobs: each is asked, its answer stored, then dequeued.
 
         The raw replies are written before anything is parsed, so no step calls
         the model a second time.
         """
+        started = time.perf_counter()
         popped = self._stored(queues.pop_jobs(self.table("labeling_queue", run_id), jobs), "jobs", run_id)
         enriched = labeling.enrich_jobs(
             popped, self.table("questions", run_id), self.table("metadata", run_id)
@@ -151,7 +167,8 @@ class Corpus:
         )
         self.log("metadata_labels").append(changes, run_id)
         self.log("labeling_queue").remove(popped, run_id)
-        return _counts(labeling.labeling_statistics(judged))
+        counts = _counts(labeling.labeling_statistics(judged))
+        return {**counts, "elapsed_seconds": round(time.perf_counter() - started, 3)}
 
     # ---- downloads ------------------------------------------------------
 
@@ -219,13 +236,13 @@ class Corpus:
         if converter is not None:
             tried = self._stored(
                 labeling.ask_model(
-                    open_tex.withColumn("ask", F.col("text")), "ask", lambda chat: converter(chat[-1]["content"]),
-                    in_flight=1,
+                    open_tex.select("id", "text"), "text",
+                    lambda chat: converter(chat[-1]["content"]), in_flight=1,
                 ),
                 "converter", run_id,
             )
             converted = tried.filter("error IS NULL").select("id", F.col("reply").alias("md"))
-            refused = tried.filter("error IS NOT NULL").select("id", "text")
+            refused = only_for(open_tex, tried.filter("error IS NOT NULL"), ["id"])
         replies = self._stored(
             conversion.generate_chunks(
                 conversion.chunk_texts(refused, max_chars), model,

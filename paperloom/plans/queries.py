@@ -457,7 +457,7 @@ def paper_update(v):
         lambda name: name.isNotNull(),
     )
     changes = v("status_changes").withColumn("set_fields", set_fields)
-    return keyed.apply_updates(v("papers"), changes, "arxiv_id", list(flags), _as_of())
+    return keyed.update_papers(v("papers"), changes, _as_of())
 
 
 @query

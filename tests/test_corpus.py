@@ -71,11 +71,16 @@ def test_whole_run(spark, corpus, tmp_path):
     def model(chat):
         return '{"answer": true, "confidence": 77}' if "title 1" in chat[-1]["content"] else "no"
 
-    first = corpus.label(model, 10, WHEN, jobs=4)
+    def label(*args, **options):
+        stats = corpus.label(model, *args, **options)
+        assert stats.pop("elapsed_seconds") > 0
+        return stats
+
+    first = label(10, WHEN, jobs=4)
     assert first == {"processed": 4, "labeled": 1, "skipped_missing": 0, "model_errors": 0}
     assert corpus.table("labeling_queue").count() == 6
-    assert corpus.label(model, 10, WHEN, jobs=4) == first  # repeated run takes the same jobs
-    assert corpus.label(model, 11, WHEN, jobs=50)["processed"] == 6
+    assert label(10, WHEN, jobs=4) == first  # repeated run takes the same jobs
+    assert label(11, WHEN, jobs=50)["processed"] == 6
     assert corpus.table("labeling_queue").count() == 0
     labelled = [r[0] for r in rows(corpus.table("metadata_labels"), "metadata_id")]
     assert labelled == [f"25.{i:03}" for i in (1, 11, 13, 15, 17, 19)]
@@ -88,6 +93,18 @@ def test_whole_run(spark, corpus, tmp_path):
     assert rows(counts) == [("COMPLETED", 2), ("FAILED", 1), ("PENDING", 3)]
     assert rows(failed, "arxiv_id") == [("25.013v2",)]
 
+    changes = spark.createDataFrame(
+        [("25.002v3", 1, ["download_type"], "SRC"), ("nowhere", 1, ["download_type"], "PDF")],
+        "arxiv_id string, seq int, set_fields array<string>, download_type string",
+    )
+    assert corpus.update_papers(changes, 14, WHEN) == 1
+    assert corpus.table("papers").filter("download_type = 'SRC'").count() == 1
+    with pytest.raises(Exception, match="invalid download_type: TAR"):
+        corpus.update_papers(changes.withColumn("download_type", F.lit("TAR")), 15, WHEN)
+    more = spark.createDataFrame([("25.002v3", None), ("x", None), ("25.004", None)], "arxiv_id string, metadata_id string")
+    assert corpus.insert_papers(more, 15, WHEN) == 2
+    assert rows(corpus.table("papers").filter("arxiv_id = '25.004'"), "metadata_id") == [("25.004",)]
+
     assert dict(rows(corpus.table_counts()))["metadata"] == 20
     assert corpus.integrity_report().count() == 0
     compacted = corpus.log("download_queue").compact(str(tmp_path / "compacted"))

@@ -107,6 +107,10 @@ def test_append_is_idempotent_and_first_line_wins(spark):
     assert rows(ingest.metadata_conflicts(stored.filter("id='b'"), new)) == [
         ("a", 2, "repeated"), ("b", 1, "stored"),
     ]
+    assert ingest.insert_strict(empty, stored).count() == 2
+    for current in (empty, stored):
+        with pytest.raises(PySparkException, match="duplicate id"):
+            ingest.insert_strict(current, new).collect()
 
 
 def test_taxonomy_seed(spark):
