@@ -178,7 +178,8 @@ def _archives(v) -> DataFrame:
         if page["page_id"] % 7 == 0:
             files["../evil.tex"] = b"x"
         target = io.BytesIO()
-        with tarfile.open(fileobj=target, mode="w:gz" if page["page_id"] % 2 else "w") as tar:
+        packing = {"mode": "w:gz", "compresslevel": 1} if page["page_id"] % 2 else {"mode": "w"}
+        with tarfile.open(fileobj=target, **packing) as tar:
             for path, data in files.items():
                 entry = tarfile.TarInfo(path)
                 entry.size = len(data)
