@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fixed
 from ..operators import artifacts, catalog, conversion, ingest, integrity, keyed, labeling, queues
-from ..operators.shared import only_for
+from ..operators.shared import TOP_N_ROWS, only_for
 from ..schemas import TABLES
 from ..sources import files
 from ..sources.changelog import ChangeLog
@@ -155,7 +155,8 @@ class Corpus:
         started = time.perf_counter()
         popped = self._stored(queues.pop_jobs(self.table("labeling_queue", run_id), jobs), "jobs", run_id)
         enriched = labeling.enrich_jobs(
-            popped, self.table("questions", run_id), self.table("metadata", run_id)
+            popped, self.table("questions", run_id), self.table("metadata", run_id),
+            few_jobs=jobs <= TOP_N_ROWS,
         )
         replies = self._stored(
             labeling.classify_jobs(enriched, model, in_flight=in_flight, parallelism=parallelism),

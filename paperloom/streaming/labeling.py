@@ -35,6 +35,7 @@ def start_labeling(
     *,
     in_flight: int = fixed.HOSTED_IN_FLIGHT,
     parallelism: int | None = None,
+    few_jobs: bool = True,
 ) -> StreamingQuery:
     """Drain what the queue stream holds now, and return the running query.
 
@@ -53,7 +54,7 @@ def start_labeling(
         seen = done.select(*JOB_KEY).join(jobs, JOB_KEY, "left_semi")
         fresh = jobs.join(seen, JOB_KEY, "left_anti")
         replies = classify_jobs(
-            enrich_jobs(fresh, questions, metadata), model,
+            enrich_jobs(fresh, questions, metadata, few_jobs), model,
             in_flight=in_flight, parallelism=parallelism,
         )
         replies.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")

@@ -264,6 +264,7 @@ def test_labeling_golden(spark):
     enriched = labeling.enrich_jobs(jobs, questions, papers)
     reasons = [r for (r,) in rows(enriched, "skip_reason") if r]
     assert sorted(reasons) == ["key", "key", "paper", "question"]
+    assert rows(labeling.enrich_jobs(jobs, questions, papers, few_jobs=True)) == rows(enriched)
 
     def reply(chat):
         title = chat[-1]["content"].split("TITLE: ")[1].split("\n")[0]

@@ -49,3 +49,19 @@ def test_lines_are_parsed_once(spark):
     text = plan(spark, "metadata_project")
     boxed = [line for line in text.splitlines() if "concat([[" in line]
     assert len(boxed) == 1 and "Generate explode" in boxed[0]
+
+
+def test_labeling_shuffles_the_papers_at_most_once(spark):
+    """Also when nothing is small enough to broadcast."""
+    from paperloom.operators.labeling import enrich_jobs
+    from paperloom.plans.views import view
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (True, False):
+            frames = [view(spark, SF_DIR, name) for name in ("labeling_queue", "questions", "metadata")]
+            text = enrich_jobs(*frames, few_jobs=few)._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"ReadSchema: struct<doc_id:bigint,text:string>", text)) == 1
+            assert len(re.findall(r"Exchange hashpartitioning", text)) == (5 if few else 4)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
