@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space, as a class inside a regular expression
@@ -66,6 +67,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         yield batch.slice(begin)
 
 
+def numbered_slices(
+    batches: Iterator[pa.RecordBatch], column: str, rows: int = 60_000
+) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """``slices`` with numbers that are unique in a stage and the same when a task is repeated."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in slices(batches, column):
+        for begin in range(0, batch.num_rows, rows):
+            yield number, batch.slice(begin, rows)
+            number += 1
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit values (a finaliser of two multiplications)."""
     x = x ^ (x >> np.uint64(32))
