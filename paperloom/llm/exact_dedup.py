@@ -34,6 +34,11 @@ def sha256_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
+def locator(doc_id: Column, text: Column) -> Column:
+    """Finds a row again: from its id and its normalised text."""
+    return F.xxhash64(doc_id, text)
+
+
 def digest_state(spark: SparkSession, arrivals: str, state: str) -> DataFrame:
     """Drain the arrivals in folder ``arrivals`` into the keyed state and read it.
 
@@ -88,7 +93,7 @@ def digest_state(spark: SparkSession, arrivals: str, state: str) -> DataFrame:
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of, state: str | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: its group and whether it stays.
 
-    Returns ``doc_id, keep_id, group_size, kept, digest``. Of equal normalised
+    Returns ``doc_id, keep_id, group_size, kept, digest, locator``. Of equal normalised
     texts the smallest doc_id stays; among rows that repeat doc_id and text one
     stays. A null doc_id counts as greater than all others. Null texts are equal
     to empty ones. An empty table gives an empty result. Other columns are
@@ -99,7 +104,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of
     text = normalised(F.col("text"))
     # the locator tells apart rows that share a doc_id: it is found again from the row
     rows = docs.select("doc_id", text.alias("text")).select(
-        "doc_id", "text", digest(F.col("text")).alias("digest"), F.xxhash64("doc_id", "text").alias("locator")
+        "doc_id", "text", digest(F.col("text")).alias("digest"), locator(F.col("doc_id"), F.col("text")).alias("locator")
     )
     landed = scratch_path(spark, "arrivals")
     rows.select("digest", "doc_id", "locator", F.octet_length("text").cast("long").alias("n_bytes")).write.parquet(
@@ -115,7 +120,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of
     hits = placed.where("seen > 1").select("digest", "doc_id", "locator", "keep_locator", "copies")
     exact = _compared(rows, stored(hits, "hits"))
     single = placed.where("seen = 1").select(
-        "doc_id", "digest", "keep_id", F.col("seen").alias("group_size"), "copies", F.lit(True).alias("first")
+        "doc_id", "digest", "keep_id", F.col("seen").alias("group_size"), "copies", F.lit(True).alias("first"), "locator"
     )
     groups = single.unionByName(
         exact.join(states.select("digest", "keep_id", "seen", F.col("locator").alias("keep_locator")), "digest").select(
@@ -127,6 +132,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of
             F.when(F.col("same"), F.col("locator") == F.col("keep_locator"))
             .otherwise(F.col("locator") == F.col("own_locator"))
             .alias("first"),
+            "locator",
         )
     )
     return groups.select(
@@ -134,9 +140,10 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of
         "keep_id",
         "group_size",
         "digest",
+        "locator",
         "first",
         F.explode(F.sequence(F.lit(1), "copies")).alias("copy"),
-    ).select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("copy") == 1)).alias("kept"), "digest")
+    ).select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("copy") == 1)).alias("kept"), "digest", "locator")
 
 
 def _compared(rows: DataFrame, hits: DataFrame) -> DataFrame:
@@ -187,3 +194,18 @@ def _compared(rows: DataFrame, hits: DataFrame) -> DataFrame:
         .join(own, (F.col("digest") == F.col("o_digest")) & (F.col("own_text") == F.col("o_text")), "left")
         .withColumn("others", F.coalesce("others", F.lit(0)))
     )
+
+
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Column names that this function uses itself do not clash with those of ``docs``.
+    """
+    kept = exact_groups(docs).where("kept").select(F.col("locator").alias("__at"), F.col("doc_id").alias("__id"))
+    at = locator(F.col("doc_id"), normalised(F.col("text")))
+    here = docs.withColumn("__locator", at)
+    return (
+        here.join(kept, (F.col("__locator") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        .dropDuplicates(["__locator", "doc_id"])
+        .drop("__locator")
+    )

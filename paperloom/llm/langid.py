@@ -13,12 +13,12 @@ all automata at the same time, so one very long text is only many strips.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import slices
@@ -224,14 +224,29 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def language_struct(model: LanguageModel, spark: SparkSession) -> Callable[[Column], Column]:
+    """The prediction as a function of a text column: a struct of ``lang_pred`` and ``score``."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        languages, scores = shared.value.predict(texts.tolist())
+        return pd.DataFrame({"lang_pred": languages, "score": scores})
+
+    return predict
+
+
+def learn_from(docs: DataFrame) -> LanguageModel:
+    """Learn from the rows of ``docs(doc_id, text, lang)`` outside the held-out fold."""
+    labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return learn(labelled.select("text", "lang", F.col("doc_id").alias("key")))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learn on rows outside the held-out fold, predict every row.
 
     Returns ``doc_id, held_out, lang_pred, score``. A null doc_id is in no fold
     and teaches nothing. Without any labelled row everything is ``und``.
     """
-    labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
-        "text", "lang", F.col("doc_id").alias("key")
-    )
-    predicted = predict_languages(docs, learn(labelled))
+    predicted = predict_languages(docs, learn_from(docs))
     return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -152,3 +152,27 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         )
         .select("doc_id", "size", "source_size", "target", "taken", "first_finish")
     )
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Whole documents are given: one that is taken in part stays if at least half
+    of it is taken. Rows that repeat id and size share what is taken of them.
+    """
+    taken = (
+        mix(docs, **options)
+        .groupBy("doc_id", "size")
+        .agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+        .where("size > 0")
+        .select(
+            F.col("doc_id").alias("__id"),
+            F.col("size").alias("__size"),
+            F.round(F.col("taken") / F.col("size") / F.col("rows")).cast("int").alias("__times"),
+        )
+        .where("__times > 0")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (n_words(F.col("text")) == F.col("__size"))
+    return docs.join(taken, same).select(
+        *(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), "__times")).alias("__time")
+    ).drop("__time")

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import mix, numbered_slices, run_hashes, slices, stored, word_hashes
 
-#: part of the n-grams that the first count looks at
-FIRST_PART = 0.25
+#: the first count looks at so many times the part of n-grams that linked sets may lack
+FIRST_PART = 2.5
 #: n-grams that a column block holds, on average
 BLOCK_KEYS = 2_000_000
 #: classes per side of a cell
@@ -413,7 +413,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     classes = linkable.groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("head"))
     grams = linkable.agg(F.sum("n")).first()[0] or 0
     blocks = lambda total: max(1, round(total / BLOCK_KEYS))
-    first = not_alone(named, words, percent, blocks(grams * FIRST_PART), FIRST_PART)
+    part = min(1.0, FIRST_PART * (100 - percent) / 100)
+    first = not_alone(named, words, percent, blocks(grams * part), part)
     heads = first.distinct().join(classes.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = stored(named.join(heads, "doc_id", "left_semi"), "texts")
     left = sets.join(heads, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0
@@ -434,3 +435,10 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     ).union(
         sets.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     )
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is the first of its component, with all their columns."""
+    found = jaccard_components(docs, words, percent)
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")

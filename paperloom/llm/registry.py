@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, exact_dedup, langid, mixing, ngram_join, packing, substring, tokens, topk
+from paperloom.llm import chat, exact_dedup, html_crf, langid, mixing, ngram_join, packing, substring, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -225,3 +225,8 @@ LEFT JOIN (
   FROM p ANTI JOIN g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id
 ) k USING (doc_id)
 """
+
+
+@_query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(_table(spark, sf_dir, "pages"))
