@@ -36,7 +36,7 @@ PREFIX = 16
 #: suffixes of one prefix beyond which it is made longer
 GROUP_SUFFIXES = 10_000
 #: paths that a group holds, on average
-GROUP_PATHS = 1_500_000
+GROUP_PATHS = 400_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -206,29 +206,23 @@ def _repeated(docs: DataFrame, window: int, with_text: bool) -> tuple[DataFrame,
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [("group", pa.int64()), ("batch", pa.int64()), ("path", pa.binary()), ("least", pa.binary()), ("ids", pa.binary())]
+            [("group", pa.int64()), ("batch", pa.int64()), ("path", pa.binary()), ("least", pa.binary())]
         )
         for number, batch in numbered_slices(batches, "text"):
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
             found, dealt = _shared_suffixes(batch.column("text").to_pylist(), window, *_lists(batch))
             group, path, least, _ = _paths(found, dealt, ids, groups)
-            order = np.unique(ids)
-            rank = np.searchsorted(order, least).astype(np.uint16 if len(order) < 1 << 16 else np.uint32)
-            bounds = np.searchsorted(group, np.arange(groups + 1))
+            sent, begins = np.unique(group, return_index=True)
+            ends = np.append(begins[1:], len(group))
             rows = [
-                {"group": g, "batch": number, "path": path[b:e].tobytes(), "least": rank[b:e].tobytes(), "ids": order.tobytes()}
-                for g, (b, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-                if e > b
+                {"group": g, "batch": number, "path": path[b:e].tobytes(), "least": least[b:e].tobytes()}
+                for g, b, e in zip(sent.tolist(), begins.tolist(), ends.tolist(), strict=True)
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def subtree(frame: pd.DataFrame) -> pd.DataFrame:
         paths = [np.frombuffer(v, np.uint64) for v in frame["path"]]
-        docs_of = []
-        for ids, least in zip(frame["ids"], frame["least"], strict=True):
-            order = np.frombuffer(ids, np.int64)
-            docs_of.append(order[np.frombuffer(least, np.uint16 if len(order) < 1 << 16 else np.uint32)])
-        doc = np.concatenate(docs_of)
+        doc = np.concatenate([np.frombuffer(v, np.int64) for v in frame["least"]])
         earlier = np.split(deep_nodes(np.concatenate(paths), doc) < doc, np.cumsum([len(p) for p in paths])[:-1])
         return pd.DataFrame(
             {
@@ -268,7 +262,7 @@ def _repeated(docs: DataFrame, window: int, with_text: bool) -> tuple[DataFrame,
         return pd.DataFrame(result, columns=[*_COLUMNS, "kept_text"])[names]
 
     replies = (
-        texts.mapInArrow(send, "group long, batch long, path binary, least binary, ids binary")
+        texts.mapInArrow(send, "group long, batch long, path binary, least binary")
         .groupBy("group")
         .applyInPandas(subtree, "batch long, group long, size long, earlier binary")
     )
