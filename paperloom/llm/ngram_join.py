@@ -124,17 +124,19 @@ class _Slice:
     def rows(self) -> Iterator[dict]:
         """What each column block gets of this batch."""
         keys = self.key[self.starts]
-        bounds = np.searchsorted(keys, np.arange(self.blocks + 1, dtype=np.uint64) << np.uint64(32))
-        for block, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        sent, begins = np.unique(keys >> np.uint64(32), return_index=True)
+        ends = np.append(begins[1:], len(keys))
+        for block, begin, end in zip(sent.tolist(), begins.tolist(), ends.tolist(), strict=True):
             low = (keys[begin:end] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             one = self.counts[begin:end] == 1
+            row = self.row[self.starts[begin:end][one]]
             yield {
                 "block": block,
                 "single": low[one].tobytes(),
-                "row": self.row[self.starts[begin:end][one]].astype(np.uint16).tobytes(),
+                "row": row.astype(np.uint16).tobytes(),
+                "sig": self.sig[row].tobytes(),
                 "several": low[~one].tobytes(),
                 "times": self.counts[begin:end][~one].astype(np.uint32).tobytes(),
-                "sig": self.sig.tobytes(),
             }
 
 
@@ -142,9 +144,7 @@ def _frequencies(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per batch how many classes hold each of its single and its several keys."""
     single = [np.frombuffer(v, np.uint32) for v in frame["single"]]
     several = [np.frombuffer(v, np.uint32) for v in frame["several"]]
-    sigs = [
-        np.frombuffer(s, np.uint32)[np.frombuffer(r, np.uint16)] for s, r in zip(frame["sig"], frame["row"], strict=True)
-    ]
+    sigs = [np.frombuffer(v, np.uint32) for v in frame["sig"]]
     times = [np.frombuffer(v, np.uint32) for v in frame["times"]]
     pairs = np.unique((np.concatenate(single).astype(np.uint64) << np.uint64(32)) | np.concatenate(sigs))
     keys = np.concatenate([(pairs >> np.uint64(32)).astype(np.uint32), *several])
@@ -158,36 +158,49 @@ def _frequencies(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 def not_alone(docs: DataFrame, words: int, percent: int, blocks: int, part: float) -> DataFrame:
     """``doc_id`` of one document per batch and class that may link to another class."""
 
+    columns = _POSTED + ", ids binary, n binary"
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow("batch long, block int, single binary, row binary, several binary, times binary, sig binary, ids binary, n binary")
         for number, batch in numbered_slices(batches, "text"):
             cut = _Slice(batch.column("text").to_pylist(), words, part, blocks)
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
-            n = np.where(cut.head, cut.n, -1)
-            more = {"batch": number, "ids": ids.tobytes(), "n": n.astype(np.int32).tobytes()}
-            yield pa.RecordBatch.from_pylist([row | more for row in cut.rows()], schema=schema)
+            n = np.where(cut.head, cut.n, -1).astype(np.int32)
+            # who is in the batch takes the way through any block
+            home = {"batch": number, "block": number % blocks, "ids": ids.tobytes(), "n": n.tobytes()}
+            yield pa.RecordBatch.from_pylist([home, *({"batch": number, **r} for r in cut.rows())], schema=_arrow(columns))
 
     def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        own = []
-        for (single, _), rows, n in zip(_frequencies(frame), frame["row"], frame["n"], strict=True):
-            at = np.frombuffer(rows, np.uint16)[single == 1]
-            own.append(np.bincount(at, minlength=len(n) // 4).astype(np.int32).tobytes())
-        return pd.DataFrame({"batch": frame["batch"], "ids": frame["ids"], "n": frame["n"], "own": own})
+        home = frame["ids"].notna()
+        posted = frame[~home]
+        rows, own = [], []
+        if len(posted):
+            for (single, _), row in zip(_frequencies(posted), posted["row"], strict=True):
+                at, times = np.unique(np.frombuffer(row, np.uint16)[single == 1], return_counts=True)
+                rows.append(at.tobytes())
+                own.append(times.astype(np.uint32).tobytes())
+        replies = pd.DataFrame({"batch": posted["batch"], "ids": None, "n": None, "row": rows, "own": own})
+        return pd.concat([frame.loc[home, ["batch", "ids", "n"]], replies], ignore_index=True)[
+            ["batch", "ids", "n", "row", "own"]
+        ]
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        own = np.sum([np.frombuffer(v, np.int32) for v in frame["own"]], axis=0)
-        n = np.frombuffer(frame["n"].iloc[0], np.int32).astype(np.int64)
-        ids = np.frombuffer(frame["ids"].iloc[0], np.int64)
+        home = frame[frame["ids"].notna()].iloc[0]
+        replies = frame[frame["ids"].isna()]
+        n = np.frombuffer(home["n"], np.int32).astype(np.int64)
+        own = np.zeros(len(n), np.int64)
+        for row, times in zip(replies["row"], replies["own"], strict=True):
+            own[np.frombuffer(row, np.uint16)] += np.frombuffer(times, np.uint32)
+        ids = np.frombuffer(home["ids"], np.int64)
         return pd.DataFrame({"doc_id": ids[(n > 0) & (own <= errors(n, percent))]})
 
-    sent = docs.select("doc_id", "text").mapInArrow(
-        send,
-        "batch long, block int, single binary, row binary, several binary, times binary, sig binary, ids binary, n binary",
-    )
-    judged = sent.groupBy("block").applyInPandas(judge, "batch long, ids binary, n binary, own binary")
+    sent = docs.select("doc_id", "text").mapInArrow(send, columns)
+    judged = sent.groupBy("block").applyInPandas(judge, "batch long, ids binary, n binary, row binary, own binary")
     return judged.groupBy("batch").applyInPandas(gather, "doc_id long")
 
 
+_POSTED = "batch long, block int, single binary, row binary, sig binary, several binary, times binary"
+
+
 def _arrow(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(", "))])
@@ -199,7 +212,7 @@ def rarest_columns(docs: DataFrame, words: int, percent: int, blocks: int) -> Da
     ``place`` is the position of a column in its class by rarity; columns that
     no other class has come first and are left out.
     """
-    posted = "batch long, block int, single binary, row binary, several binary, times binary, sig binary"
+    posted = _POSTED
     home = "batch long, ids binary, n binary, key binary, row binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
