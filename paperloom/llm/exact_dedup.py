@@ -20,8 +20,13 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import SPACE, scratch_path, stored
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # many small stores: no disk space ahead of need
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 _ARRIVAL = "digest binary, doc_id long, locator long, n_bytes long"
 
 
@@ -55,8 +60,9 @@ def digest_state(spark: SparkSession, arrivals: str, state: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/batches/batch={number}")
 
-    provider = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _STATE_CONF}
+    for key, value in _STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         (
             keyed.writeStream.outputMode("update")
@@ -67,10 +73,11 @@ def digest_state(spark: SparkSession, arrivals: str, state: str) -> DataFrame:
             .awaitTermination()
         )
     finally:
-        if provider is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, provider)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     schema = (
         "digest binary, keep struct<no_id boolean, doc_id long, locator long, n_bytes long>, seen long, batch int"
     )
@@ -155,7 +162,10 @@ def _compared(rows: DataFrame, hits: DataFrame) -> DataFrame:
     and leave large groups to AQE; nothing is windowed or collected by group.
     """
     texts = rows.select(F.col("locator").alias("at"), "text").join(
-        hits.select(F.col("locator").alias("at")).distinct(), "at", "left_semi"
+        # the plan for large tables at any size
+        hits.select(F.col("locator").alias("at")).distinct().hint("merge"),
+        "at",
+        "left_semi",
     )
     texts = stored(texts.dropDuplicates(["at"]), "texts")
     keeper = texts.withColumnsRenamed({"at": "keep_locator", "text": "keep_text"})
