@@ -13,6 +13,7 @@ bounded window of pieces at a time.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -20,7 +21,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,23 @@ LIMITS = (1024, 64, 1024)
 #: pieces that are open for placement at once in one task
 WINDOW = 1 << 15
 #: characters whose classes are the same in every version of Unicode
-_PLAIN = regex.compile(r"[\x00-ɏ]*")
-_LONG_RUN = regex.compile(r"\S{2000}|\s{2000}")
+_PLAIN = re.compile(r"[\x00-ɏ]*")
+_LONG_RUN = 2000
+
+
+def _plain(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _PLAIN.fullmatch(text) is not None
+    return True
+
+
+def _short_runs(text: str) -> bool:
+    """No long stretch without, or of, white space."""
+    words = text.split()
+    longest = max(map(len, words), default=0)
+    return longest < _LONG_RUN and len(text) - sum(map(len, words)) - len(words) < _LONG_RUN
 
 
 def pack_vectors(demands: np.ndarray, limits: tuple[int, ...]) -> list[list[int]]:
@@ -56,19 +71,31 @@ def pack_vectors(demands: np.ndarray, limits: tuple[int, ...]) -> list[list[int]
     weight = share[of].sum(axis=0) + 1e-9  # scarce dimensions weigh more
     weighted = share * (weight / weight.sum())
     bins: list[list[int]] = []
-    live = np.arange(len(types))
+    # what fills a dimension that every item needs is a bin of its own
+    needed = (types > 0).all(axis=0)
+    alone = ((types == capacity) & needed).any(axis=1)
+    for number in np.flatnonzero(alone).tolist():
+        bins += [[i] for i in order[taken[number] : ends[number]].tolist()]
+    taken[alone] = ends[alone]
+    live = np.flatnonzero(~alone)
     while len(live):
-        free, items = capacity.copy(), []
+        free, used = capacity.copy(), {}
         fit = live
         while True:
-            fit = fit[(types[fit] <= free).all(axis=1) & (taken[fit] < ends[fit])]
-            if not len(fit):
+            fit = fit[(types[fit] <= free).all(axis=1)]
+            spent = [n for n, times in used.items() if taken[n] + times >= ends[n]]
+            open_types = fit[~np.isin(fit, spent)] if spent else fit
+            if not len(open_types):
                 break
-            best = fit[np.argmax(weighted[fit] @ (free / capacity))]
-            items.append(int(order[taken[best]]))
-            taken[best] += 1
+            best = int(open_types[np.argmax(weighted[open_types] @ (free / capacity))])
+            used[best] = used.get(best, 0) + 1
             free -= types[best]
-        bins.append(items)
+        # the choices stay the same until one of these types runs out
+        again = min(int(ends[n] - taken[n]) // times for n, times in used.items())
+        shares = [order[taken[n] : taken[n] + times * again].reshape(again, times) for n, times in used.items()]
+        bins += np.concatenate(shares, axis=1).tolist()
+        for n, times in used.items():
+            taken[n] += times * again
         live = live[taken[live] < ends[live]]
     return bins
 
@@ -97,10 +124,10 @@ class Encoder:
             special = {t.content: i for i, t in self.full.get_added_tokens_decoder().items() if t.special}
             self.fast = tiktoken.Encoding(ranks_file, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
-    def ids(self, text: str) -> list[int]:
-        if self.fast is not None and _PLAIN.fullmatch(text) and not _LONG_RUN.search(text):
-            return self.fast.encode(text, allowed_special="all")
-        return self.full.encode(text, add_special_tokens=False).ids
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast is not None and _plain(text) and _short_runs(text):
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -109,7 +136,7 @@ def encoder(tokenizer_file: str, ranks_file: str | None, pattern: str | None) ->
 
 
 def tokenised_pieces(
-    docs: DataFrame, encode: Callable[[], Callable[[str], list[int]]], room: int = LIMITS[0], end_id: int = 0
+    docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], room: int = LIMITS[0], end_id: int = 0
 ) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: full sequences, then the rest of each document.
 
@@ -125,7 +152,7 @@ def tokenised_pieces(
         for batch in slices(batches, "text"):
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.array([*ids_of(text or ""), end_id], "<u4")
+                ids = np.append(ids_of(text or ""), end_id).astype("<u4")
                 for begin in range(0, len(ids), room):
                     piece = ids[begin : begin + room]
                     row.append(i)

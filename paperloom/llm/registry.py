@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def byte_bpe() -> Callable[[], Callable[[str], list[int]]]:
+def byte_bpe() -> Callable[[], Callable[[str], np.ndarray]]:
     """Makes the encoding function of the public byte-level vocabulary inside a task."""
 
-    def make() -> Callable[[str], list[int]]:
+    def make() -> Callable[[str], np.ndarray]:
         import public_tokenizers as public
 
         return packing.encoder(
