@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,7 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = [s or 0 for s in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [s or 0 for s in pc.binary_length(batch.column(column)).to_pylist()]
         begin, total = 0, 0
         for row, size in enumerate(sizes):
             if row > begin and total + size > limit:

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,7 +277,7 @@ def _lists(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The shared and the long prefixes of each row of a batch."""
     result = []
     for name in ("shared", "long"):
-        sizes = pa.compute.list_value_length(batch.column(name)).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(batch.column(name)).to_numpy(zero_copy_only=False)
         values = batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         result.append(np.split(values, np.cumsum(sizes)[:-1]))
     return result[0], result[1]

@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from paperloom.llm.common import slices
@@ -221,8 +222,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
         for batch in slices(batches, "text"):
             texts = batch.column("text")
             tokens = pa.array(count_tokens(table, texts.to_pylist()), pa.int64())
-            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
-            over = pa.compute.greater(tokens, limit)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            over = pc.greater(tokens, limit)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), sizes, tokens, over], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
