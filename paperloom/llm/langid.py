@@ -29,6 +29,8 @@ STRIP = 512
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 160, 400, 40_000
 #: characters over all languages; many languages share it
 TOTAL_CHARS = 600_000
+#: languages that a model learns at most, the most frequent ones
+MAX_LANGUAGES = 1000
 
 
 def fold(text: str) -> np.ndarray:
@@ -187,12 +189,15 @@ def learn(
     """
     rows = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = (
+        rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES)
+    )
     begin = F.greatest(F.lit(1), F.floor((F.length("text") - doc_chars) / 2).cast("int"))
     # twice as many are drawn as are kept, so that few languages fall short
     drawn = (
         rows.select("lang", draw.alias("draw"), F.col("text").substr(begin, F.lit(doc_chars)).alias("part"))
-        .join(counts, "lang")
+        # at most MAX_LANGUAGES rows; texts that are not drawn are not shuffled
+        .join(F.broadcast(counts), "lang")
         .where(F.col("draw") * F.col("n") < 2 * sample_docs + 8)
     )
     sample: pd.DataFrame = drawn.select("lang", "draw", "part").toPandas().sort_values(["lang", "draw", "part"])
