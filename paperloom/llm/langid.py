@@ -25,6 +25,8 @@ from paperloom.llm.common import slices
 
 UNKNOWN = "und"
 STRIP = 512
+#: characters that are parsed at once
+BATCH = 2_000_000
 #: labelled documents and characters of each that a language learns from, and characters in all
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 160, 400, 40_000
 #: characters over all languages; many languages share it
@@ -124,8 +126,8 @@ class LanguageModel:
         kind = np.int32 if base * self.width * 2 < 2**31 else np.int64
         self.steps = np.concatenate(tables).astype(kind).ravel() if tables else np.zeros(0, kind)
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """``(phrases, characters)``: one row of phrase counts per text, one column per language."""
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """Phrase counts: one row per text, one column per language."""
         folded = [self.symbol[fold(t)] for t in texts]
         sizes = np.fromiter(map(len, folded), np.int64, len(folded))
         strips = -(-sizes // STRIP)
@@ -153,7 +155,23 @@ class LanguageModel:
                 np.right_shift(value, 1, out=state[:n])
             # the first phrase of a strip has no miss of its own
             counts[:, number] = np.bincount(owner[order], weights=found + 1, minlength=len(texts))
-        return counts, sizes
+        return counts
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        """Phrase counts of whole texts, ``BATCH`` characters at a time."""
+        counts = np.zeros((len(texts), len(self.languages)), np.int64)
+        parts, owners, held = [], [], 0
+        for i, text in enumerate(texts):
+            for begin in range(0, len(text), BATCH):
+                parts.append(text[begin : begin + BATCH])
+                owners.append(i)
+                held += len(parts[-1])
+                if held >= BATCH:
+                    np.add.at(counts, owners, self.phrases(parts))
+                    parts, owners, held = [], [], 0
+        if parts:
+            np.add.at(counts, owners, self.phrases(parts))
+        return counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; the score is how much clearer than the runner-up."""
@@ -161,7 +179,7 @@ class LanguageModel:
         languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not lettered or not self.languages:
             return languages, scores
-        counts, _ = self.phrases([texts[i] for i in lettered])
+        counts = self._counts([texts[i] for i in lettered])
         ranked = np.sort(counts, axis=1)
         least = ranked[:, 0].astype(float)
         second = ranked[:, 1].astype(float) if ranked.shape[1] > 1 else np.inf
