@@ -13,6 +13,7 @@ the keeper are grouped by their whole text instead.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +52,7 @@ def digest_state(spark: SparkSession, arrivals: str, state: str) -> DataFrame:
     Every batch is written under its number, so a batch that is repeated after
     a failure replaces itself; the newest row of a digest is its state.
     """
-    rows = spark.readStream.schema(_ARRIVAL).parquet(arrivals)
+    rows = spark.readStream.schema(_ARRIVAL).parquet(arrivals).select("digest", "doc_id", "locator", "n_bytes")
     keyed = rows.groupBy("digest").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator", "n_bytes")).alias("keep"),
         F.count("*").alias("seen"),
@@ -97,7 +98,12 @@ def digest_state(spark: SparkSession, arrivals: str, state: str) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of, state: str | None = None) -> DataFrame:
+def exact_groups(
+    docs: DataFrame,
+    digest: Callable[[Column], Column] = sha256_of,
+    state: str | None = None,
+    earlier: DataFrame | None = None,
+) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: its group and whether it stays.
 
     Returns ``doc_id, keep_id, group_size, kept, digest, locator``. Of equal normalised
@@ -105,27 +111,30 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of
     stays. A null doc_id counts as greater than all others. Null texts are equal
     to empty ones. An empty table gives an empty result. Other columns are
     ignored. ``state`` continues the state of earlier runs, whose documents then
-    count in ``keep_id`` and ``group_size`` too.
+    count in ``keep_id`` and ``group_size`` too; ``earlier`` are these documents,
+    in which locators are looked up. A row whose keeper is not found stays.
     """
     spark = docs.sparkSession
-    text = normalised(F.col("text"))
     # the locator tells apart rows that share a doc_id: it is found again from the row
-    rows = docs.select("doc_id", text.alias("text")).select(
-        "doc_id", "text", digest(F.col("text")).alias("digest"), locator(F.col("doc_id"), F.col("text")).alias("locator")
-    )
-    landed = scratch_path(spark, "arrivals")
-    rows.select("digest", "doc_id", "locator", F.octet_length("text").cast("long").alias("n_bytes")).write.parquet(
-        landed
-    )
+    def located(frame: DataFrame) -> DataFrame:
+        texts = frame.select("doc_id", normalised(F.col("text")).alias("text"))
+        return texts.select("doc_id", "text", locator(F.col("doc_id"), F.col("text")).alias("locator"))
+
+    rows = located(docs)
+    state = state or scratch_path(spark, "state")
+    landed = f"{state}/arrivals/run={uuid.uuid4().hex}"
+    rows.select(
+        digest(F.col("text")).alias("digest"), "doc_id", "locator", F.octet_length("text").cast("long").alias("n_bytes")
+    ).write.parquet(landed)
     arrivals = spark.read.schema(_ARRIVAL).parquet(landed)
-    states = stored(digest_state(spark, landed, state or scratch_path(spark, "state")), "states")
+    states = stored(digest_state(spark, f"{state}/arrivals", state), "states")
     placed = (
         arrivals.groupBy("digest", "doc_id", "locator", "n_bytes")
         .agg(F.count("*").alias("copies"))
         .join(states.withColumnsRenamed({"locator": "keep_locator", "n_bytes": "keep_bytes"}), "digest")
     )
     hits = placed.where("seen > 1").select("digest", "doc_id", "locator", "keep_locator", "copies")
-    exact = _compared(rows, stored(hits, "hits"))
+    exact = _compared(rows if earlier is None else rows.union(located(earlier)), stored(hits, "hits"))
     single = placed.where("seen = 1").select(
         "doc_id", "digest", "keep_id", F.col("seen").alias("group_size"), "copies", F.lit(True).alias("first"), "locator"
     )
@@ -163,7 +172,7 @@ def _compared(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """
     texts = rows.select(F.col("locator").alias("at"), "text").join(
         # the plan for large tables at any size
-        hits.select(F.col("locator").alias("at")).distinct().hint("merge"),
+        hits.select(F.col("locator").alias("at")).union(hits.select("keep_locator")).distinct().hint("merge"),
         "at",
         "left_semi",
     )
@@ -172,14 +181,14 @@ def _compared(rows: DataFrame, hits: DataFrame) -> DataFrame:
     keepers = hits.select("digest", "keep_locator").distinct().join(keeper, "keep_locator").select("digest", "keep_text")
     checked = stored(
         hits.join(texts, F.col("locator") == F.col("at"))
-        .join(keepers, "digest")
+        .join(keepers, "digest", "left")
         .select(
             "digest",
             "doc_id",
             "locator",
             "copies",
-            (F.col("text") == F.col("keep_text")).alias("same"),
-            F.when(F.col("text") != F.col("keep_text"), F.col("text")).alias("own_text"),
+            F.col("text").eqNullSafe(F.col("keep_text")).alias("same"),
+            F.when(~F.col("text").eqNullSafe(F.col("keep_text")), F.col("text")).alias("own_text"),
         ),
         "checked",
     )

@@ -94,6 +94,8 @@ class LanguageModel:
 
     ``steps[state * width + symbol]`` is twice the place of the next state, plus
     one where the automaton has no such step and a new phrase begins at its root.
+    Each automaton has one more state, where every step begins a phrase: texts
+    start there, and a character that the language does not have leads there.
     Symbol 0 is padding and changes nothing; symbol 1 is every character that no
     language has seen.
     """
@@ -109,20 +111,21 @@ class LanguageModel:
         self.width = len(seen) + 2
         self.symbol = np.ones(0x10000, np.int32)
         self.symbol[seen] = np.arange(len(seen)) + 2
-        tables, self.roots, base = [], [], 0
+        tables, self.starts, base = [], [], 0
         for lang in self.languages:
             after = suffix_automaton(self.symbol[texts[lang]].tolist())
-            root = np.full(self.width, base * 2 * self.width + 1, np.int64)
+            start = base + len(after)
+            root = np.full(self.width, start * 2 * self.width + 1, np.int64)
             for c, to in after[0].items():
                 root[c] = (base + to) * 2 * self.width + 1
-            table = np.tile(root, (len(after), 1))
+            table = np.tile(root, (len(after) + 1, 1))
             states = [s for s, edges in enumerate(after) for _ in edges]
             symbols = [c for edges in after for c in edges]
             table[states, symbols] = (np.array([t for e in after for t in e.values()], np.int64) + base) * 2 * self.width
-            table[:, 0] = (np.arange(len(after)) + base) * 2 * self.width
+            table[:, 0] = (np.arange(len(table)) + base) * 2 * self.width
             tables.append(table)
-            self.roots.append(base * self.width)
-            base += len(after)
+            self.starts.append(start * self.width)
+            base += len(table)
         kind = np.int32 if base * self.width * 2 < 2**31 else np.int64
         self.steps = np.concatenate(tables).astype(kind).ravel() if tables else np.zeros(0, kind)
 
@@ -143,8 +146,8 @@ class LanguageModel:
         columns = np.ascontiguousarray(grid[order].T)
         live = np.searchsorted(-used[order], -np.arange(STRIP), side="left")
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
-        for number, root in enumerate(self.roots):
-            state = np.full(len(owner), root, self.steps.dtype)
+        for number, start in enumerate(self.starts):
+            state = np.full(len(owner), start, self.steps.dtype)
             found = np.zeros(len(owner), np.int32)
             for step in range(STRIP):
                 n = live[step]
@@ -153,8 +156,7 @@ class LanguageModel:
                 value = self.steps.take(state[:n] + columns[step, :n])
                 found[:n] += value & 1
                 np.right_shift(value, 1, out=state[:n])
-            # the first phrase of a strip has no miss of its own
-            counts[:, number] = np.bincount(owner[order], weights=found + 1, minlength=len(texts))
+            counts[:, number] = np.bincount(owner[order], weights=found, minlength=len(texts))
         return counts
 
     def _counts(self, texts: list[str]) -> np.ndarray:

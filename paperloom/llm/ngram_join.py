@@ -428,7 +428,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     blocks = lambda total: max(1, round(total / BLOCK_KEYS))
     part = min(1.0, FIRST_PART * (100 - percent) / 100)
     first = not_alone(named, words, percent, blocks(grams * part), part)
-    heads = first.distinct().join(classes.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    heads = stored(
+        first.distinct().join(classes.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi"), "heads"
+    )
     texts = stored(named.join(heads, "doc_id", "left_semi"), "texts")
     left = sets.join(heads, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0
     kept = stored(rarest_columns(texts, words, percent, blocks(left)), "kept")
