@@ -19,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     main.add_argument("--root", required=True, help="folder of the corpus")
     main.add_argument("--run-id", type=int, default=0, help="number of a job that writes, grows from job to job")
     main.add_argument("--as-of", default=f"{datetime.now(timezone.utc):%Y-%m-%d %H:%M:%S}")
+    main.add_argument("--output", help="folder for the rows of a report, else they are printed")
     jobs = main.add_subparsers(dest="job", required=True)
 
     def job(name: str, *arguments: tuple[str, dict]) -> None:
@@ -78,12 +79,21 @@ def run(args: argparse.Namespace, corpus: Corpus) -> object:
     return actions[args.job]()
 
 
+def report(rows: DataFrame, output: str | None) -> None:
+    """All rows: as JSON lines in a folder, or one after the other on the console."""
+    if output:
+        rows.write.mode("append").json(output)
+        return
+    for row in rows.toLocalIterator():
+        print(json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False))
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     outcome = run(args, Corpus(build_session(), args.root))
     for part in outcome if isinstance(outcome, tuple) else (outcome,):
         if isinstance(part, DataFrame):
-            part.show(1000, truncate=False)
+            report(part, args.output)
         elif part is not None:
             print(json.dumps(part))
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 from .. import fixed_values as fixed
 from .json_rules import let
 
+_BLOCK = 256
+
 
 def chunks(text: Column, max_chars: int) -> Column:
     """ARRAY<STRING> of the pieces of ``text``; joined they give ``text`` again.
@@ -49,12 +51,33 @@ def chunks(text: Column, max_chars: int) -> Column:
             size = let(window(at, F.lit(max_chars)), cut_length)
             return F.when(at >= chars, state).otherwise(let(size, advanced))
 
+        def block(state: Column, _: Column) -> Column:
+            # a list grows by copying: cuts are gathered in blocks of bounded length
+            start = F.struct(
+                state["at"].alias("at"),
+                state["chars"].alias("chars"),
+                F.array().cast("array<struct<start:int,size:int>>").alias("cuts"),
+            )
+            inner = F.aggregate(F.sequence(F.lit(1), F.lit(_BLOCK)), start, step)
+
+            def joined(done: Column) -> Column:
+                return F.struct(
+                    done["at"].alias("at"),
+                    done["chars"].alias("chars"),
+                    F.concat(state["blocks"], F.array(done["cuts"])).alias("blocks"),
+                )
+
+            return F.when(state["at"] >= state["chars"], state).otherwise(let(inner, joined))
+
         start = F.struct(
             F.lit(0).alias("at"),
             F.char_length(text).alias("chars"),
-            F.array().cast("array<struct<start:int,size:int>>").alias("cuts"),
+            F.array().cast("array<array<struct<start:int,size:int>>>").alias("blocks"),
+        )
+        most_blocks = F.ceil(most_windows / F.lit(float(_BLOCK))).cast("int")
+        cuts = F.aggregate(
+            F.sequence(F.lit(1), most_blocks), start, block, lambda s: F.flatten(s["blocks"])
         )
-        cuts = F.aggregate(F.sequence(F.lit(1), most_windows), start, step, lambda s: s["cuts"])
         return F.transform(cuts, lambda cut: window(cut["start"], cut["size"]))
 
     return F.when(F.char_length(text) <= max_chars, F.array(text)).otherwise(let(segments, walk))

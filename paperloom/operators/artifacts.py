@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_unsafe_member, last_segment
 from ..functions.versions import previous_version_id
@@ -39,14 +34,21 @@ def archive_id(path: Column) -> Column:
     return F.regexp_extract(last_segment(path), r"^(.*?v\d+)(?:\..*)?$", 1)
 
 
-def resolve_downloads(pending: DataFrame, available: DataFrame) -> DataFrame:
+def resolve_downloads(pending: DataFrame, available: DataFrame, refused: DataFrame | None = None) -> DataFrame:
     """Per pending id the artifact to take and the resulting status.
 
     ``available``: (artifact_id, kind) with kind ``stored`` (an archive is
     already here), ``src`` or ``pdf``. First hit of :data:`CANDIDATES` wins and
     is filed under the id it was found for. Offers are folded to one row per id
-    first, so an id offered very often is no hot spot.
+    first, so an id offered very often is no hot spot. ``refused`` (artifact_id,
+    kind) names offers that turned out to be of no use: they are passed over, so
+    a rejected source falls through to the PDF and then to the previous version.
     """
+    if refused is not None:
+        useless = refused.select("artifact_id", "kind").distinct()
+        available = available.select("artifact_id", "kind").distinct().join(
+            useless, ["artifact_id", "kind"], "left_anti"
+        )
     offers = available.groupBy("artifact_id").agg(
         *[F.max(F.col("kind") == kind).alias(kind) for kind in ("stored", "src", "pdf")]
     )
@@ -96,65 +98,46 @@ def main_file(files: DataFrame) -> DataFrame:
     )
 
 
-_LISTING = T.ArrayType(T.StructType().add("path", "string").add("size", "long"))
+def rejected_archives(members: DataFrame) -> DataFrame:
+    """(id, reason): unreadable archives and those with a member outside the target folder.
+
+    ``members``: (id, place, path, size, text, error), one row per entry of an
+    archive; only files have a size, only TeX files a text. A row with an
+    ``error`` stands for what could not be read.
+    """
+    escapes = F.when(is_unsafe_member(F.col("path")), F.lit("escaping member"))
+    return (
+        members.groupBy("id")
+        .agg(F.min("error").alias("_error"), F.min(escapes).alias("_escape"))
+        .select("id", F.coalesce("_error", "_escape").alias("reason"))
+        .filter("reason IS NOT NULL")
+    )
+
 
+def archive_members(members: DataFrame) -> DataFrame:
+    """The files of every accepted archive."""
+    files = members.filter("size IS NOT NULL")
+    return files.join(rejected_archives(members).select("id"), "id", "left_anti")
 
-def list_members(archives: DataFrame) -> DataFrame:
-    """Add ``members`` and ``error`` to (id, content) archives of any tar compression.
 
-    ``members`` lists every entry; only files have a size. All entries of an
-    archive arrive with its row, so the checks on them need no shuffle.
+def main_tex(members: DataFrame) -> DataFrame:
+    """(id, path, text) of the main TeX file of every accepted archive that has one.
+
+    The choice is made on sizes, paths and places; only then one text per
+    archive is looked up. Of two members with one path, the later counts.
     """
-    schema = T.StructType([*archives.schema.fields]).add("members", _LISTING).add("error", "string")
-    member_type = pa.list_(pa.struct([("path", pa.string()), ("size", pa.int64())]))
-
-    def listing(content: bytes | None) -> tuple[list[dict] | None, str | None]:
-        try:
-            with tarfile.open(fileobj=io.BytesIO(content or b""), mode="r:*") as tar:
-                return [{"path": m.name, "size": m.size if m.isfile() else None} for m in tar], None
-        except (tarfile.TarError, EOFError, OSError) as failure:
-            return None, type(failure).__name__
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            listed = [listing(content) for content in batch.column("content").to_pylist()]
-            members = pa.array([m for m, _ in listed], member_type)
-            errors = pa.array([e for _, e in listed], pa.string())
-            yield batch.append_column("members", members).append_column("error", errors)
-
-    return archives.mapInArrow(run, schema)
-
-
-def archive_members(listed: DataFrame) -> DataFrame:
-    """One row per file of every archive without an escaping member."""
-    escapes = F.exists("members", lambda m: is_unsafe_member(m["path"]))
-    files = F.filter("members", lambda m: m["size"].isNotNull())
-    return listed.filter(~escapes).select("id", F.inline(files))
-
-
-def rejected_archives(listed: DataFrame) -> DataFrame:
-    """Unreadable archives and those with a member outside the target folder."""
-    escapes = F.exists("members", lambda m: is_unsafe_member(m["path"]))
-    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(escapes, "escaping member")
-    return listed.select("id", reason.alias("reason")).filter("reason IS NOT NULL")
-
-
-def main_tex(listed: DataFrame) -> DataFrame:
-    """(id, path, text) of the main TeX file of every accepted archive that has one."""
-    escapes = F.exists("members", lambda m: is_unsafe_member(m["path"]))
-    tex = F.filter("members", lambda m: m["size"].isNotNull() & F.lower(m["path"]).endswith(".tex"))
-    best = F.array_max(F.transform(tex, lambda m: F.struct(m["size"], m["path"])))
-    chosen = listed.filter(~escapes).select("id", best["path"].alias("path"), "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for path, content in zip(
-                batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True
-            ):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    texts.append(tar.extractfile(path).read().decode("utf-8", errors="ignore"))
-            yield batch.drop_columns(["content"]).append_column("text", pa.array(texts, pa.string()))
-
-    id_type = chosen.schema["id"].dataType.simpleString()
-    return chosen.filter("path IS NOT NULL").mapInArrow(run, f"id {id_type}, path string, text string")
+    tex = members.filter(F.lower("path").endswith(".tex") & F.col("size").isNotNull())
+    best = (
+        tex.groupBy("id")
+        .agg(F.max(F.struct("size", "path", "place")).alias("_best"))
+        .select("id", F.col("_best.place").alias("place"))
+        .join(rejected_archives(members).select("id"), "id", "left_anti")
+    )
+    return tex.join(best, ["id", "place"], "left_semi").select("id", "path", "text")
+
+
+def refused_sources(rejects: DataFrame) -> DataFrame:
+    """(artifact_id, kind) of sources that count as not on offer: their archive was rejected."""
+    return rejects.select(
+        F.col("id").alias("artifact_id"), F.explode(F.array(F.lit("stored"), F.lit("src"))).alias("kind")
+    )

@@ -18,22 +18,19 @@ from .shared import only_for, with_computed
 ChatModel = Callable[[list[dict[str, str]]], str]
 
 
-def enrich_jobs(
-    jobs: DataFrame, questions: DataFrame, metadata: DataFrame, few_jobs: bool = False
-) -> DataFrame:
+def enrich_jobs(jobs: DataFrame, questions: DataFrame, metadata: DataFrame) -> DataFrame:
     """Jobs with prompt, label, title and abstract.
 
     ``skip_reason`` names what is missing (key, question or paper); such rows
-    are to be counted and left out of the model stage. With ``few_jobs`` the
-    papers are first cut to those of the jobs, which spares the shuffle of all
-    texts; without it the join stays in the form whose hot keys AQE can split.
+    are to be counted and left out of the model stage. The papers are first
+    cut to those of the jobs, folded to one row per paper: where these are few the
+    texts are not shuffled, where they are many both joins share one shuffle.
     """
     asked = questions.select(F.col("id").alias("question_id"), "prompt", "label_id")
     papers = metadata.select(
         F.col("id").alias("metadata_id"), "title", "abstract", F.lit(True).alias("_stored")
     )
-    if few_jobs:
-        papers = only_for(papers, jobs, ["metadata_id"])
+    papers = only_for(papers, jobs, ["metadata_id"])
     no_key = (F.coalesce("metadata_id", F.lit("")) == "") | F.col("question_id").isNull()
     return (
         jobs.select(*JOB_KEY)

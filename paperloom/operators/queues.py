@@ -64,7 +64,10 @@ def pop_jobs(queue: DataFrame, jobs: int = fixed.DEFAULT_LABELING_JOBS) -> DataF
 
 
 def remaining_jobs(queue: DataFrame, popped: DataFrame) -> DataFrame:
-    return queue.join(popped.select(*JOB_KEY), JOB_KEY, "left_anti")
+    """Jobs that were not popped; a missing part of a key is a value like others."""
+    taken = popped.select(*[F.col(c).alias(f"_{c}") for c in JOB_KEY])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in JOB_KEY]
+    return queue.join(taken, same[0] & same[1], "left_anti")
 
 
 def prepare_papers(

@@ -9,8 +9,8 @@ from ..functions.text import last_segment, strip
 from .shared import first_n, only_for
 
 
-def normalise_results(entries: DataFrame) -> DataFrame:
-    """Entries of a search service as flat paper rows.
+def normalise_results(entries: DataFrame, *extra: str) -> DataFrame:
+    """Entries of a search service as flat paper rows, with ``extra`` columns as they are.
 
     ``entries``: entry_id (url), title, summary, authors (array of structs with
     a name), categories (array), published, updated, pdf_url, doi, journal_ref,
@@ -34,6 +34,7 @@ def normalise_results(entries: DataFrame) -> DataFrame:
         "doi",
         "journal_ref",
         "comment",
+        *extra,
     )
 
 
@@ -51,10 +52,7 @@ def search_papers(
         "lastUpdatedDate": "updated_date",
         "relevance": "relevance",
     }[sort_by]
-    rows = normalise_results(entries)
-    if sort_by == "relevance":
-        extra = entries.select(F.col("entry_id").alias("url"), "relevance")
-        rows = rows.join(extra, "url")
+    rows = normalise_results(entries, "relevance") if sort_by == "relevance" else normalise_results(entries)
     return first_n(rows, [f"-{column}", "arxiv_id"], max_results, unlimited=False)
 
 

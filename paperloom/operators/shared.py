@@ -3,48 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import ensure_checkpoint_dir
-
-# Above this many rows an ordered limit no longer fits one task comfortably.
-TOP_N_ROWS = 100_000
 # Rows per partial list when a long ordered list is put together.
 RUN_LENGTH = 1024
 _HASH_DIGITS = 3  # 16 ** 3 = 4096 id buckets
 
 
 def first_n(df: DataFrame, order: Sequence[str], n: int | None, unlimited: bool = True) -> DataFrame:
-    """First ``n`` rows by the total order ``order`` (names, ``-name`` for descending).
+    """First ``n`` rows by the order ``order`` (names, ``-name`` for descending), in that order.
 
     ``None`` or a number below 1 means no limit, or no rows if ``unlimited`` is
-    off. Small limits are a top-k that each task prunes on its own. Large ones
-    never meet in one task: range partitions are counted, whole partitions
-    below the limit are kept and only the border partition is numbered.
+    off. The limit is cut on the order columns alone, so wide rows never meet in
+    one task; they are then picked by these columns. Which of several rows that
+    agree in all of them is taken is open.
     """
     if n is None or n <= 0:
         return df if unlimited else df.limit(0)
-    keys = [F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order]
-    if n <= TOP_N_ROWS:
-        return df.orderBy(*keys).limit(n)
-
-    # The checkpoint freezes which row lies in which range partition.
-    ranged = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = ranged.checkpoint()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = (  # one row per range partition
-        ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .filter(F.col("_before") < n)
+    names = [o.removeprefix("-") for o in order]
+    keys = [F.desc(name) if o.startswith("-") else F.asc(name) for o, name in zip(order, names, strict=True)]
+    cut = df.select(*names).orderBy(*keys).limit(n)
+    if set(df.columns) == set(names):
+        return cut.select(df.columns)
+    wanted = cut.groupBy(*names).agg(F.count(F.lit(1)).alias("_times")).select(
+        *[F.col(name).alias(f"_key{i}") for i, name in enumerate(names)], "_times"
     )
-    placed = ranged.join(F.broadcast(parts), "_part")
-    whole = placed.filter(F.col("_before") + F.col("_rows") <= n)
-    border = placed.filter(F.col("_before") + F.col("_rows") > n)
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    border = border.withColumn("_rank", rank).filter(F.col("_before") + F.col("_rank") <= n)
-    return whole.select(df.columns).unionByName(border.select(df.columns))
+    same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_key{i}")) for i, name in enumerate(names)])
+    again = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))
+    picked = df.join(wanted, same).withColumn("_again", again).filter("_again <= _times")
+    return picked.select(df.columns).orderBy(*keys)
 
 
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:

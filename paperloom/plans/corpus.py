@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fixed
 from ..operators import artifacts, catalog, conversion, ingest, integrity, keyed, labeling, queues
-from ..operators.shared import TOP_N_ROWS, only_for
+from ..operators.shared import only_for
 from ..schemas import TABLES
-from ..sources import files
+from ..sources import archives, files
 from ..sources.changelog import ChangeLog
 
 _INSERT_ONLY = ("metadata", "labels", "questions")
@@ -155,8 +155,7 @@ class Corpus:
         started = time.perf_counter()
         popped = self._stored(queues.pop_jobs(self.table("labeling_queue", run_id), jobs), "jobs", run_id)
         enriched = labeling.enrich_jobs(
-            popped, self.table("questions", run_id), self.table("metadata", run_id),
-            few_jobs=jobs <= TOP_N_ROWS,
+            popped, self.table("questions", run_id), self.table("metadata", run_id)
         )
         replies = self._stored(
             labeling.classify_jobs(enriched, model, in_flight=in_flight, parallelism=parallelism),
@@ -188,13 +187,19 @@ class Corpus:
         """Settle the oldest pending downloads against the artifacts on offer."""
         queue = self.table("download_queue", run_id)
         pending = catalog.pending_downloads(queue, limit)
-        resolved = self._stored(artifacts.resolve_downloads(pending, available), "resolved", run_id)
+        return self._settle(queue, pending, available, None, run_id, as_of, limit)
+
+    def _settle(
+        self, queue: DataFrame, ids: DataFrame, available: DataFrame, refused: DataFrame | None,
+        run_id: int, as_of: str, requested: int,
+    ) -> dict[str, int]:
+        resolved = self._stored(artifacts.resolve_downloads(ids, available, refused), "resolved", run_id)
         settled = resolved.select("arxiv_id", "download_status")
         changed = queue.drop("download_status", "updated_at").join(settled, "arxiv_id").withColumn(
             "updated_at", _time(as_of)
         )
         self.log("download_queue").append(changed, run_id)
-        return _counts(artifacts.download_statistics(resolved, limit))
+        return _counts(artifacts.download_statistics(resolved, requested))
 
     def resolved(self, run_id: int) -> DataFrame:
         """What a download run chose: (arxiv_id, download_status, rank, artifact_id, kind)."""
@@ -202,8 +207,26 @@ class Corpus:
 
     def unpack(self, archives_path: str, run_id: int) -> int:
         """Store the main TeX file of every archive in a folder; returns their number."""
-        listed = artifacts.list_members(files.read_archives(self.spark, archives_path))
-        return self._stored(artifacts.main_tex(listed), "tex", run_id).count()
+        members = self._stored(
+            archives.read_members(files.read_archives(self.spark, archives_path)), "members", run_id
+        )
+        self._stored(artifacts.rejected_archives(members), "rejects", run_id)
+        return self._stored(artifacts.main_tex(members), "tex", run_id).count()
+
+    def rejects(self, run_id: int) -> DataFrame:
+        """(id, reason) of the archives that an unpack run could not use."""
+        return self.spark.read.parquet(f"{self.root}/_runs/{run_id}/rejects")
+
+    def resolve_rejected(self, available: DataFrame, unpack_run: int, run_id: int, as_of: str) -> dict[str, int]:
+        """Settle again the completed downloads whose archive an unpack run rejected.
+
+        The rejected sources count as not on offer, so each id falls through to
+        its PDF, then to the previous version, and fails if there is neither.
+        """
+        rejects = self.rejects(unpack_run)
+        queue = self.table("download_queue", run_id)
+        again = only_for(queue, rejects.select(F.col("id").alias("arxiv_id")), ["arxiv_id"])
+        return self._settle(queue, again, available, artifacts.refused_sources(rejects), run_id, as_of, again.count())
 
     def unpacked(self, run_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/_runs/{run_id}/tex")

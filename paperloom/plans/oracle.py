@@ -237,7 +237,8 @@ candidates AS (
 hits AS (
   SELECT arxiv_id, rank, candidate, kind FROM (
     SELECT c.*, row_number() OVER (PARTITION BY arxiv_id ORDER BY rank) AS rn
-    FROM candidates c WHERE EXISTS (SELECT 1 FROM available a WHERE a.artifact_id = c.candidate AND a.kind = c.kind))
+    FROM candidates c WHERE EXISTS (SELECT 1 FROM available a WHERE a.artifact_id = c.candidate AND a.kind = c.kind
+      AND NOT (a.kind = 'src' AND md5(a.artifact_id) < '8')))
   WHERE rn = 1),
 resolved AS (
   SELECT i.arxiv_id, CASE WHEN h.arxiv_id IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS download_status,
@@ -349,6 +350,11 @@ def oracle_sql() -> dict[str, str]:
         "search_papers": f"""WITH {_ENTRIES} SELECT regexp_extract(url, '[^/]*$') AS arxiv_id, host AS title,
             day AS published_date, CASE WHEN page_id % 3 > 0 THEN day END AS updated_date
           FROM entries ORDER BY updated_date DESC NULLS LAST, arxiv_id, title LIMIT 50""",
+        "search_relevance": f"""WITH {_ENTRIES}, landed AS (
+            SELECT url, host FROM entries UNION ALL SELECT url, host FROM entries WHERE length(url) % 3 = 0),
+          found AS (SELECT regexp_extract(url, '[^/]*$') AS arxiv_id, CAST(length(url) AS DOUBLE) AS relevance
+            FROM landed ORDER BY relevance DESC, arxiv_id LIMIT 50)
+          SELECT relevance, count(*) AS rows, min(arxiv_id) AS first_id FROM found GROUP BY relevance""",
         "search_by_ids": views("member_paths") + f""", {_ENTRIES}
           SELECT regexp_extract(url, '[^/]*$') AS arxiv_id, host AS title, url FROM entries
           WHERE regexp_extract(url, '[^/]*$') IN (SELECT regexp_extract(path, '[^/]*$') FROM member_paths)""",
@@ -460,7 +466,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN {changed} THEN {_STAMP} ELSE CAST(updated_at AS VARCHAR) END AS updated_at
           FROM download_queue q LEFT JOIN u ON u.arxiv_id = q.arxiv_id""",
         "label_get_or_create": views("metadata", "taxonomy_labels") + """,
-          names AS (SELECT license AS name FROM metadata UNION SELECT substr(authors, 11, 99) FROM metadata),
+          names AS (SELECT license AS name FROM metadata UNION SELECT authors FROM metadata),
           fresh AS (SELECT name FROM names WHERE name NOT IN (SELECT name FROM taxonomy_labels))
           SELECT id, name, false AS created FROM taxonomy_labels WHERE name IN (SELECT name FROM names)
           UNION ALL SELECT CAST((SELECT max(id) FROM taxonomy_labels) + row_number() OVER (ORDER BY md5(name), name) AS INT), name, true
@@ -554,10 +560,13 @@ def oracle_sql() -> dict[str, str]:
         "jobs_pop": views("labeling_queue") + f"""SELECT metadata_id, question_id FROM labeling_queue
           ORDER BY metadata_id NULLS FIRST, question_id NULLS FIRST LIMIT {fixed.DEFAULT_LABELING_JOBS}""",
         "jobs_remaining": views("labeling_queue") + f""",
-          popped AS (SELECT metadata_id, question_id FROM labeling_queue
+          waiting AS (SELECT metadata_id, question_id FROM labeling_queue
+            UNION ALL SELECT DISTINCT metadata_id, CAST(NULL AS INT) FROM labeling_queue),
+          popped AS (SELECT metadata_id, question_id FROM waiting
             ORDER BY metadata_id NULLS FIRST, question_id NULLS FIRST LIMIT {fixed.DEFAULT_LABELING_JOBS})
-          SELECT metadata_id, question_id FROM labeling_queue q WHERE NOT EXISTS (
-            SELECT 1 FROM popped p WHERE p.metadata_id = q.metadata_id AND p.question_id = q.question_id)""",
+          SELECT metadata_id, question_id FROM waiting q WHERE NOT EXISTS (
+            SELECT 1 FROM popped p WHERE p.metadata_id IS NOT DISTINCT FROM q.metadata_id
+              AND p.question_id IS NOT DISTINCT FROM q.question_id)""",
         "label_jobs": views(*_LABELING_VIEWS) + f", {_JOBS}, {_JUDGED}, {_UPSERTED} SELECT {_UPSERT_COLUMNS} FROM upserted",
         "label_stream": views(*_LABELING_VIEWS) + f", {_JOBS}, {_JUDGED}, {_UPSERTED} SELECT {_UPSERT_COLUMNS} FROM upserted",
         "resolve_downloads": views("download_queue", "available") + f""", {_RESOLVED}

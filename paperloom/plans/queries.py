@@ -6,12 +6,9 @@ across engines. Long texts leave as their MD5 where only identity matters.
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import fixed_values as fixed
@@ -169,47 +166,41 @@ def artifact_stem(v):
     return v("pages").select("page_id", text_rules.file_stem(F.col("url")).alias("stem"))
 
 
-def _archives(v) -> DataFrame:
-    """One compressed tar per page: two TeX files, a bibliography, sometimes an escape."""
+def _members(v) -> DataFrame:
+    """The members of one archive per page: two TeX files, a bibliography, sometimes an escape."""
 
-    def pack(page: dict) -> bytes:
-        html = page["html"].encode()
-        files = {"main.tex": html, "sub/appendix.TEX": html * 2, "refs.bib": page["url"].encode()}
-        if page["page_id"] % 7 == 0:
-            files["../evil.tex"] = b"x"
-        target = io.BytesIO()
-        packing = {"mode": "w:gz", "compresslevel": 1} if page["page_id"] % 2 else {"mode": "w"}
-        with tarfile.open(fileobj=target, **packing) as tar:
-            for path, data in files.items():
-                entry = tarfile.TarInfo(path)
-                entry.size = len(data)
-                tar.addfile(entry, io.BytesIO(data))
-        return target.getvalue()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [pack(page) for page in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), pa.array(packed, pa.binary())], ["id", "content"]
-            )
+    def entry(place: int, path: str, text: Column, kept: Column | None = None) -> Column:
+        size = F.octet_length(text).cast("long")
+        return F.struct(
+            F.lit(place).alias("place"), F.lit(path).alias("path"), size.alias("size"),
+            (F.lit(None).cast("string") if kept is None else kept).alias("text"),
+        )
 
-    return v("pages").mapInArrow(run, "id long, content binary")
+    html = F.col("html")
+    twice = F.concat(html, html)
+    usual = F.array(
+        entry(0, "main.tex", html, html), entry(1, "sub/appendix.TEX", twice, twice), entry(2, "refs.bib", F.col("url"))
+    )
+    evil = F.array(entry(3, "../evil.tex", F.lit("x"), F.lit("x")))
+    entries = F.when(F.col("page_id") % 7 == 0, F.concat(usual, evil)).otherwise(usual)
+    return v("pages").select(F.col("page_id").alias("id"), F.inline(entries)).withColumn(
+        "error", F.lit(None).cast("string")
+    )
 
 
 @query
 def archive_members(v):
-    return artifacts.archive_members(artifacts.list_members(_archives(v)))
+    return artifacts.archive_members(_members(v)).select("id", "path", "size")
 
 
 @query
 def archive_rejects(v):
-    return artifacts.rejected_archives(artifacts.list_members(_archives(v)))
+    return artifacts.rejected_archives(_members(v))
 
 
 @query
 def archive_main_tex(v):
-    found = artifacts.main_tex(artifacts.list_members(_archives(v)))
-    return found.select("id", "path", _digest("text"))
+    return artifacts.main_tex(_members(v)).select("id", "path", _digest("text"))
 
 
 @query
@@ -231,6 +222,16 @@ def search_papers(v):
     )
 
 
+@query
+def search_relevance(v):
+    # every third entry has landed twice
+    entries = _entries(v).withColumn("relevance", F.length("entry_id").cast("double"))
+    entries = entries.unionByName(entries.filter(F.length("entry_id") % 3 == 0))
+    return search.search_papers(entries, 50, "relevance").groupBy("relevance").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("arxiv_id").alias("first_id")
+    )
+
+
 @query
 def search_by_ids(v):
     wanted = v("member_paths").select(text_rules.last_segment(F.col("path")).alias("arxiv_id"))
@@ -469,7 +470,7 @@ def queue_set_status(v):
 
 @query
 def label_get_or_create(v):
-    names = v("metadata").select(F.explode(F.array("license", F.substring("authors", 11, 99))).alias("name"))
+    names = v("metadata").select(F.explode(F.array("license", "authors")).alias("name"))
     return keyed.get_or_create_labels(v("taxonomy_labels"), names)
 
 
@@ -636,7 +637,10 @@ def jobs_pop(v):
 
 @query
 def jobs_remaining(v):
-    return queues.remaining_jobs(v("labeling_queue"), queues.pop_jobs(v("labeling_queue")))
+    # jobs without a question, too: they sort first and are popped
+    queue = v("labeling_queue").select("metadata_id", "question_id")
+    queue = queue.unionByName(queue.select("metadata_id", F.lit(None).cast("int").alias("question_id")).distinct())
+    return queues.remaining_jobs(queue, queues.pop_jobs(queue))
 
 
 def _judged(v) -> DataFrame:
@@ -674,7 +678,9 @@ QUERIES["label_stream"] = label_stream
 
 def _resolved(v) -> DataFrame:
     pending = v("download_queue").filter("download_status = 'PENDING'")
-    return artifacts.resolve_downloads(pending, v("available"))
+    # the archives of half the sources are refused
+    sources = v("available").filter("kind = 'src' AND md5(artifact_id) < '8'")
+    return artifacts.resolve_downloads(pending, v("available"), sources)
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,8 @@ SETTINGS = {
     # JSON objects with a repeated key keep the last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Beyond this many rows an ordered limit is a range sort, not a heap in each task.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Long texts travel to the Python workers: bound a batch by bytes, too.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
@@ -40,18 +43,13 @@ def build_session(app: str = "paperloom", master: str | None = None, **extra: st
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of this machine;
-    a cluster without it is an error, because executors could not share it.
+    Only a session inside one process (tests) gets a folder of this machine
+    without that setting; a cluster without it is an error.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="paperloom-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Give the context a checkpoint folder unless the cluster already set one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))

@@ -52,7 +52,10 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.tex") -> DataFr
 
 def utf8(content: Column) -> Column:
     raw = content.cast("string")
-    repaired = F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit(""))
+    # genuine replacement characters step aside while bad bytes become and leave as such
+    aside, mark = F.lit("\ufdd0"), F.lit("\ufffd")
+    valid = F.make_valid_utf8(F.replace(raw, mark, aside))
+    repaired = F.replace(F.replace(valid, mark, F.lit("")), aside, mark)
     return F.when(F.is_valid_utf8(raw), raw).otherwise(repaired)
 
 

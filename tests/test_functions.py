@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from decimal import Decimal
 
 import pytest
@@ -166,3 +167,17 @@ def test_chunks_match_rule(spark):
         got = values(spark, texts, chunks(F.col("v"), limit))
         assert got == [cut_by_hand(t, limit) for t in texts]
         assert ["".join(c) for c in got] == texts
+
+
+def test_chunking_is_linear(spark):
+    """Time grows like the text: 2 MB of many small chunks in seconds."""
+    seconds = []
+    for megabytes in (1, 2, 4):
+        df = spark.range(1).select(F.expr(f"repeat('some words of a paragraph\\n\\n', {megabytes * 37_000})").alias("v"))
+        start = time.perf_counter()
+        total, parts = df.select(chunks(F.col("v"), 100).alias("c")).select(
+            F.length(F.array_join("c", "")), F.size("c")
+        ).first()
+        seconds.append(time.perf_counter() - start)
+        assert total == megabytes * 37_000 * 27 and parts > 10_000 * megabytes * 0.9
+    assert seconds[2] < 4 * max(seconds[0], 1.0) + 2

@@ -10,8 +10,7 @@ from conftest import SF_DIR
 from paperloom.plans.queries import QUERIES
 
 WITH_PYTHON = {
-    "archive_members", "archive_rejects", "archive_main_tex", "labeling_stats", "chunk_reassemble",
-    "label_jobs", "labeling_flagship",
+    "labeling_stats", "chunk_reassemble", "label_jobs", "labeling_flagship",
 }
 
 
@@ -58,10 +57,9 @@ def test_labeling_shuffles_the_papers_at_most_once(spark):
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for few in (True, False):
-            frames = [view(spark, SF_DIR, name) for name in ("labeling_queue", "questions", "metadata")]
-            text = enrich_jobs(*frames, few_jobs=few)._jdf.queryExecution().executedPlan().toString()
-            assert len(re.findall(r"ReadSchema: struct<doc_id:bigint,text:string>", text)) == 1
-            assert len(re.findall(r"Exchange hashpartitioning", text)) == (5 if few else 4)
+        frames = [view(spark, SF_DIR, name) for name in ("labeling_queue", "questions", "metadata")]
+        text = enrich_jobs(*frames)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"ReadSchema: struct<doc_id:bigint,text:string>", text)) == 1
+        assert len(re.findall(r"Exchange hashpartitioning", text)) == 5
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
