@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     model = ("--model", {"required": True, "help": "module:function that makes the model"})
     in_parallel = ("--parallelism", {"type": int})
     job("create")
+    job("compact", ("table", {"help": "name of the table"}))
     job("import-metadata", ("path", {}), ("--max-records", {"type": int}), ("--failfast", {"action": "store_true"}))
     job("import-labels", ("path", {}))
     job("prepare-papers", ("--limit", {"type": int}))
@@ -54,6 +55,7 @@ def run(args: argparse.Namespace, corpus: Corpus) -> object:
     numbered, at = args.run_id, args.as_of
     actions = {
         "create": lambda: corpus.create(),
+        "compact": lambda: corpus.compact(args.table, numbered),
         "import-metadata": lambda: corpus.import_metadata(
             args.path, numbered, at, args.max_records, "failfast" if args.failfast else "quarantine"
         ),

@@ -11,6 +11,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,11 +21,34 @@ from ..operators import artifacts, catalog, conversion, ingest, integrity, keyed
 from ..operators.shared import only_for
 from ..schemas import TABLES
 from ..sources import archives, files
-from ..sources.changelog import ChangeLog
+from ..sources.changelog import ChangeLog, check_run
 
 _INSERT_ONLY = ("metadata", "labels", "questions")
 
 
+def _job(method: Callable) -> Callable:
+    """A method that writes tables under its ``run_id``.
+
+    Its rows count from the moment it has ended: a marker of the run is written
+    last. A number below the newest finished run is refused, as that run would
+    read tables that already hold what came after it.
+    """
+    names = signature(method)
+
+    @wraps(method)
+    def run(self: Corpus, *args: object, **options: object) -> object:
+        run_id = names.bind(self, *args, **options).arguments["run_id"]
+        check_run(run_id)
+        newest = max(self.finished_runs(), default=0)
+        if run_id < newest:
+            raise ValueError(f"run {run_id} is older than run {newest}, which has finished")
+        result = method(self, *args, **options)
+        self._finish(run_id)
+        return result
+
+    return run
+
+
 @dataclass(frozen=True)
 class Corpus:
     spark: SparkSession
@@ -34,11 +59,27 @@ class Corpus:
         return ChangeLog(self.spark, f"{self.root}/{name}", schema, keys, name in _INSERT_ONLY)
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
-        return self.log(name).current(before)
+        """Rows of all finished runs, or of those before the run ``before``."""
+        return self.log(name).current(before, self.finished_runs())
 
     def create(self) -> None:
         for name in TABLES:
             self.log(name).create()
+        self._finish(-1)
+
+    def finished_runs(self) -> list[int]:
+        """Numbers of the jobs that have ended: one number per job."""
+        marks = self.spark.read.schema("run long").option("recursiveFileLookup", True)
+        return [r["run"] for r in marks.parquet(f"{self.root}/_finished").collect()]
+
+    def _finish(self, run_id: int) -> None:
+        mark = self.spark.createDataFrame([(run_id,)], "run long").coalesce(1)
+        mark.write.mode("overwrite").parquet(f"{self.root}/_finished/{run_id}")
+
+    @_job
+    def compact(self, name: str, run_id: int) -> None:
+        """Make the current rows of a table its base: later reads skip all earlier changes."""
+        self.log(name).compact(run_id, self.finished_runs())
 
     def _stored(self, df: DataFrame, name: str, run_id: int) -> DataFrame:
         """Write an intermediate result and read it back: later steps do not repeat its work."""
@@ -48,6 +89,7 @@ class Corpus:
 
     # ---- ingest ---------------------------------------------------------
 
+    @_job
     def import_metadata(
         self,
         path: str,
@@ -85,6 +127,7 @@ class Corpus:
         """(value, violations) of the records an import rejected."""
         return ingest.quarantined(self.spark.read.parquet(f"{self.root}/_runs/{run_id}/records"))
 
+    @_job
     def import_taxonomy(self, path: str, run_id: int, as_of: str) -> dict[str, int]:
         """Seed labels and questions from JSON files; what is stored stays as it is."""
         items = self._stored(
@@ -101,6 +144,7 @@ class Corpus:
             "labels": self.log("labels").written(run_id).count(),
         }
 
+    @_job
     def prepare_papers(self, run_id: int, as_of: str, limit: int | None = None) -> int:
         new = queues.prepare_papers(
             self.table("metadata", run_id), self.table("papers", run_id), _time(as_of), limit
@@ -108,6 +152,7 @@ class Corpus:
         self.log("papers").append(new, run_id)
         return self.log("papers").written(run_id).count()
 
+    @_job
     def insert_papers(self, incoming: DataFrame, run_id: int, as_of: str) -> int:
         """Add papers that are not stored: arxiv_id, metadata_id and any statuses."""
         new = keyed.new_papers(
@@ -116,6 +161,7 @@ class Corpus:
         self.log("papers").append(new, run_id)
         return self.log("papers").written(run_id).count()
 
+    @_job
     def update_papers(self, changes: DataFrame, run_id: int, as_of: str) -> int:
         """Set fields of stored papers; returns how many there were."""
         touched = only_for(self.table("papers", run_id), changes, ["arxiv_id"])
@@ -124,6 +170,7 @@ class Corpus:
 
     # ---- labeling -------------------------------------------------------
 
+    @_job
     def prepare_labeling(
         self, question_id: int, run_id: int, date_after: str | None = fixed.DEFAULT_DATE_AFTER
     ) -> dict[str, int]:
@@ -138,6 +185,7 @@ class Corpus:
             "labeling_queue", attempts, lambda rows: rows.filter("is_new").select(*queues.JOB_KEY), run_id
         )
 
+    @_job
     def label(
         self,
         model: labeling.ChatModel,
@@ -172,6 +220,7 @@ class Corpus:
 
     # ---- downloads ------------------------------------------------------
 
+    @_job
     def prepare_downloads(self, label_id: int, run_id: int, as_of: str) -> dict[str, int]:
         attempts = queues.enqueue_downloads(
             self.table("metadata_labels", run_id), self.table("metadata", run_id),
@@ -181,6 +230,7 @@ class Corpus:
             "download_queue", attempts, lambda rows: queues.new_downloads(rows, _time(as_of)), run_id
         )
 
+    @_job
     def resolve_downloads(
         self, available: DataFrame, run_id: int, as_of: str, limit: int = fixed.DEFAULT_DOWNLOADS
     ) -> dict[str, int]:
@@ -217,6 +267,7 @@ class Corpus:
         """(id, reason) of the archives that an unpack run could not use."""
         return self.spark.read.parquet(f"{self.root}/_runs/{run_id}/rejects")
 
+    @_job
     def resolve_rejected(self, available: DataFrame, unpack_run: int, run_id: int, as_of: str) -> dict[str, int]:
         """Settle again the completed downloads whose archive an unpack run rejected.
 

@@ -465,6 +465,12 @@ def oracle_sql() -> dict[str, str]:
             CAST(created_at AS VARCHAR) AS created_at,
             CASE WHEN {changed} THEN {_STAMP} ELSE CAST(updated_at AS VARCHAR) END AS updated_at
           FROM download_queue q LEFT JOIN u ON u.arxiv_id = q.arxiv_id""",
+        "table_current": views("download_queue", "status_changes") + """,
+          newest AS (SELECT arxiv_id, download_status, seq FROM (SELECT *, row_number() OVER (
+            PARTITION BY arxiv_id ORDER BY seq DESC, CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END DESC) AS rn FROM status_changes)
+            WHERE rn = 1)
+          SELECT arxiv_id, download_status FROM download_queue WHERE arxiv_id NOT IN (SELECT arxiv_id FROM newest)
+          UNION ALL SELECT arxiv_id, download_status FROM newest WHERE seq % 3 <> 0""",
         "label_get_or_create": views("metadata", "taxonomy_labels") + """,
           names AS (SELECT license AS name FROM metadata UNION SELECT authors FROM metadata),
           fresh AS (SELECT name FROM names WHERE name NOT IN (SELECT name FROM taxonomy_labels))
@@ -545,6 +551,15 @@ def oracle_sql() -> dict[str, str]:
         "page_join": views("page_texts") + f"""
           SELECT id, coalesce(trim(string_agg(trim(text, {_SPACES}), chr(10) || chr(10) ORDER BY page_no)
             FILTER (WHERE text <> ''), {_SPACES}), '') AS md FROM page_texts GROUP BY id""",
+        "markdown_written": views("page_texts") + f"""
+          SELECT id, md5(coalesce(trim(string_agg(trim(text, {_SPACES}), chr(10) || chr(10) ORDER BY page_no)
+            FILTER (WHERE text <> ''), {_SPACES}), '')) AS digest, 'pdf' AS source, CAST(1 AS BIGINT) AS run
+          FROM page_texts GROUP BY id""",
+        "tex_fallback": views("texts") + f""", {_chunk_sql(CHUNK_CHARS)}
+          SELECT id, 'converter' AS way, md5('converted: ' || text) AS digest FROM texts WHERE length(text) % 2 = 0
+          UNION ALL
+          SELECT id, 'model', md5(coalesce(string_agg(nullif(trim(chunk, {_SPACES}), ''), chr(10) || chr(10) ORDER BY pos), ''))
+          FROM pieces WHERE id IN (SELECT id FROM texts WHERE length(text) % 2 = 1) GROUP BY id""",
         "conversion_plan": views("sources") + f", {_CONVERSION} SELECT id, tex_action, pdf_action FROM plan",
         "labeling_enqueue": views("metadata", "labeling_queue") + f"""
           SELECT id AS metadata_id, CAST({QUESTION_ID} AS INT) AS question_id, NOT EXISTS (SELECT 1 FROM labeling_queue q

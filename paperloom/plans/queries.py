@@ -19,6 +19,9 @@ from ..operators import (
     queues, search,
 )
 from ..session import shared_folder
+from ..operators.shared import only_for
+from ..sources import files
+from ..sources.changelog import merged
 from ..streaming.labeling import reply_log, start_labeling
 from .views import BASE_TABLES, view
 
@@ -468,6 +471,16 @@ def queue_set_status(v):
     return keyed.set_queue_status(v("download_queue"), changes, _as_of())
 
 
+@query
+def table_current(v):
+    """A base of downloads after a log of changes and removals."""
+    base = v("download_queue").select("arxiv_id", "download_status")
+    log = v("status_changes").select(
+        "arxiv_id", "download_status", F.col("seq").alias("run"), (F.col("seq") % 3 == 0).cast("int").alias("deleted")
+    )
+    return merged(base, log, ["arxiv_id"])
+
+
 @query
 def label_get_or_create(v):
     names = v("metadata").select(F.explode(F.array("license", "authors")).alias("name"))
@@ -608,6 +621,39 @@ def page_join(v):
     return conversion.join_pages(v("page_texts"))
 
 
+@query
+def markdown_written(v):
+    """Markdown stored by one run, replaced by its repetition, and read back."""
+    markdown = conversion.join_pages(v("page_texts")).withColumn("source", F.lit("pdf"))
+    folder = shared_folder(markdown.sparkSession, "markdown")
+    for run in (1, 1):
+        files.write_markdown(markdown, folder, run)
+    return files.read_markdown(markdown.sparkSession, folder).select("id", _digest("md"), "source", "run")
+
+
+def _picky_converter(chat: list[dict[str, str]]) -> str:
+    text = chat[-1]["content"]
+    if len(text) % 2:
+        raise ValueError("refused")
+    return f"converted: {text}"
+
+
+@query
+def tex_fallback(v):
+    """TeX by the converter; what that refuses goes to the model in chunks."""
+    texts = v("texts").select("id", "text")
+    tried = labeling.ask_model(texts, "text", _picky_converter, in_flight=1)
+    refused = only_for(texts, tried.filter("error IS NOT NULL"), ["id"])
+    model = echo_model(fixed.CONVERSION_INSTRUCTIONS + "\n\n")
+    by_model = conversion.reassemble(
+        conversion.generate_chunks(conversion.chunk_texts(refused, CHUNK_CHARS), model)
+    )
+    converted = tried.filter("error IS NULL").select("id", F.col("reply").alias("md"))
+    return converted.withColumn("way", F.lit("converter")).unionByName(
+        by_model.withColumn("way", F.lit("model"))
+    ).select("id", "way", _digest("md"))
+
+
 @query
 def conversion_plan(v):
     return conversion.conversion_plan(v("sources"))

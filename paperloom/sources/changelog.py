@@ -2,13 +2,15 @@
 
 Every run writes the rows it changes into a folder of its own; the newest row of
 a key is its current one. Repeating a run replaces that folder only, so a job
-that died half way is simply run again with the same number. Run 0 is the
-compacted base: its keys are unique, so reading it needs no shuffle as long as
-the changes since then are few enough to broadcast.
+that died half way is simply run again with the same number. Compaction writes
+the current rows as a base with unique keys and then publishes it in a manifest:
+readers take the newest base and the runs after it, so the base is never
+shuffled by a window and old changes are not read again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -29,10 +31,11 @@ class ChangeLog:
     def create(self) -> None:
         """Make the empty table; an existing one is left alone."""
         self._write(self.spark.createDataFrame([], self._nullable()), -1, deleted=0)
+        self._publish(-1)
 
     def append(self, rows: DataFrame, run_id: int) -> None:
         """Store new and changed rows; columns that ``rows`` lacks become NULL."""
-        _check_run(run_id)
+        check_run(run_id)
         columns = [
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in self.schema.fields
@@ -43,20 +46,25 @@ class ChangeLog:
         """Store the keys of removed rows."""
         if self.insert_only:
             raise ValueError("rows of an insert-only table cannot be removed")
-        _check_run(run_id)
+        check_run(run_id)
         self._write(keys.select(self.keys), run_id, deleted=1)
 
-    def current(self, before: int | None = None) -> DataFrame:
-        """Rows as of now, or as the run with number ``before`` found them."""
-        log = self._log()
+    def current(self, before: int | None = None, runs: Sequence[int] | None = None) -> DataFrame:
+        """Rows as of now, or as the run with number ``before`` found them.
+
+        ``runs`` names the runs that count, for logs whose owner keeps a record
+        of finished runs.
+        """
+        columns = self.schema.fieldNames()
+        since, base = self._base(before)
+        log = self._log().filter(F.col("run") > since)
         if before is not None:
             log = log.filter(F.col("run") < before)
-        columns = self.schema.fieldNames()
+        if runs is not None:
+            log = log.filter(F.col("run").isin(*[r for r in runs if r > since]))
         if self.insert_only:
-            return log.select(columns)
-        newest = first_per_key(log.filter("run > 0"), self.keys, [F.desc("run"), F.desc("deleted")])
-        untouched = log.filter("run = 0").join(newest.select(self.keys), self.keys, "left_anti")
-        return untouched.select(columns).unionByName(newest.filter("deleted = 0").select(columns))
+            return base.select(columns).unionByName(log.select(columns))
+        return merged(base.select(columns), log, self.keys)
 
     def written(self, run_id: int) -> DataFrame:
         """The rows that one run stored."""
@@ -64,12 +72,30 @@ class ChangeLog:
             self.schema.fieldNames()
         )
 
-    def compact(self, path: str) -> ChangeLog:
-        """Write the current rows as the base of a new log; this one stays as it is."""
-        target = ChangeLog(self.spark, path, self.schema, self.keys, self.insert_only)
-        target.create()
-        target._write(self.current(), 0, deleted=0)
-        return target
+    def compact(self, run_id: int, runs: Sequence[int] | None = None) -> None:
+        """Write the rows that run ``run_id`` finds as the base, then publish it.
+
+        The runs that the base holds stay where they are until their owner
+        removes them; nothing reads them any more.
+        """
+        check_run(run_id)
+        self.current(run_id, runs).write.mode("overwrite").parquet(f"{self.path}/_bases/{run_id}")
+        self._publish(run_id)
+
+    def _publish(self, run_id: int) -> None:
+        row = self.spark.createDataFrame([(run_id,)], "base long").coalesce(1)
+        row.write.mode("overwrite").parquet(f"{self.path}/_manifests/{run_id}")
+
+    def _base(self, before: int | None) -> tuple[int, DataFrame]:
+        """The newest base that a run may read, and the run that wrote it."""
+        published = self.spark.read.schema("base long").option("recursiveFileLookup", True)
+        bases = published.parquet(f"{self.path}/_manifests")
+        if before is not None:
+            bases = bases.filter(F.col("base") < before)
+        newest = bases.agg(F.max("base")).first()[0]
+        if newest is None or newest < 1:
+            return -1, self.spark.createDataFrame([], self._nullable())
+        return newest, self.spark.read.schema(self._nullable()).parquet(f"{self.path}/_bases/{newest}")
 
     def _nullable(self) -> T.StructType:
         return T.StructType([T.StructField(f.name, f.dataType, True) for f in self.schema.fields])
@@ -82,6 +108,17 @@ class ChangeLog:
         rows.write.mode("overwrite").parquet(f"{self.path}/run={run_id}/deleted={deleted}")
 
 
-def _check_run(run_id: int) -> None:
+def merged(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a base with unique keys after the changes of a log (``run``, ``deleted``).
+
+    The newest change of a key counts; of a change and a removal in one run the
+    removal. Only changes are windowed; the base is anti-joined with their keys.
+    """
+    newest = first_per_key(log, keys, [F.desc("run"), F.desc("deleted")])
+    untouched = base.join(newest.select(*keys), list(keys), "left_anti")
+    return untouched.unionByName(newest.filter("deleted = 0").select(base.columns))
+
+
+def check_run(run_id: int) -> None:
     if run_id < 1:
         raise ValueError("run numbers start at 1")

@@ -107,14 +107,36 @@ def test_whole_run(spark, corpus, tmp_path):
 
     assert dict(rows(corpus.table_counts()))["metadata"] == 20
     assert corpus.integrity_report().count() == 0
-    compacted = corpus.log("download_queue").compact(str(tmp_path / "compacted"))
-    assert rows(compacted.current()) == rows(corpus.table("download_queue"))
-    compacted.remove(failed.select("arxiv_id"), 1)
-    compacted.append(offers.select(F.lit("new").alias("arxiv_id"), F.lit("FAILED").alias("download_status")).limit(1), 2)
-    compacted.append(corpus.table("download_queue").filter("arxiv_id = '25.001v2'").withColumn("download_status", F.lit("FAILED")), 3)
-    assert rows(compacted.current().filter("download_status = 'FAILED'"), "arxiv_id") == [("25.001v2",), ("new",)]
-    assert compacted.current().count() == 6
-    assert rows(compacted.current(before=1)) == rows(corpus.table("download_queue"))
+    before = {name: rows(corpus.table(name)) for name in ("download_queue", "labeling_queue", "metadata_labels", "papers")}
+    for run_id, name in enumerate(before, 20):
+        corpus.compact(name, run_id)
+        assert rows(corpus.table(name)) == before[name]
+    queue = corpus.log("download_queue")
+    queue.remove(failed.select("arxiv_id"), 30)
+    queue.append(offers.select(F.lit("new").alias("arxiv_id"), F.lit("FAILED").alias("download_status")).limit(1), 31)
+    # runs that have not finished are not seen
+    assert rows(corpus.table("download_queue")) == before["download_queue"]
+    assert rows(queue.current(before=30)) == before["download_queue"]
+    assert rows(queue.current().filter("download_status = 'FAILED'"), "arxiv_id") == [("new",)]
+    assert queue.current().count() == 6
+    plan = corpus.table("papers")._jdf.queryExecution().executedPlan().toString()
+    base = [line for line in plan.splitlines() if "_bases" in line or "Exchange hash" in line]
+    assert any("_bases" in line for line in base)
+
+
+def test_runs_are_kept_in_order(corpus, tmp_path):
+    def dump(name, ids):
+        return write_dump(tmp_path / name, [record(i) for i in ids])
+
+    assert corpus.import_metadata(dump("b", (2, 3)), 5, WHEN)["inserted"] == 2
+    with pytest.raises(ValueError, match="older than run 5"):
+        corpus.import_metadata(dump("a", (1, 2)), 3, WHEN)
+    assert corpus.import_metadata(dump("b", (2, 3)), 5, WHEN)["inserted"] == 2
+    assert corpus.import_metadata(dump("a", (1, 2)), 6, WHEN)["inserted"] == 1
+    corpus.compact("metadata", 7)
+    assert corpus.import_metadata(dump("c", (3, 4)), 8, WHEN)["inserted"] == 1
+    assert [r[0] for r in rows(corpus.table("metadata"), "id")] == [f"25.{i:03}" for i in (1, 2, 3, 4)]
+
 
 
 def test_failfast_writes_nothing(corpus, tmp_path):
@@ -219,3 +241,37 @@ def test_jobs_from_the_shell(spark, tmp_path, capsys, monkeypatch):
     assert "total_metadata" in capsys.readouterr().out
     with pytest.raises(ValueError, match="start at 1"):
         shell.main([*where, "prepare-papers"])
+
+
+def test_rejected_archives_fall_through(spark, corpus, tmp_path):
+    ids = ["25.001v2", "25.002v2", "25.003v2", "25.004v1"]
+    queue = spark.createDataFrame([(i, "PENDING") for i in ids], "arxiv_id string, download_status string")
+    corpus.log("download_queue").append(queue, 1)
+    corpus._finish(1)
+    offers = spark.createDataFrame(
+        [(i, "src") for i in ids] + [("25.001v2", "pdf"), ("25.002v1", "src"), ("25.003v1", "pdf")],
+        "artifact_id string, kind string",
+    )
+    assert corpus.resolve_downloads(offers, 2, WHEN)["completed"] == 4
+    archives = tmp_path / "archives"
+    archives.mkdir()
+    for name in ids:
+        (archives / f"{name}.tar.gz").write_bytes(b"no archive")
+    assert corpus.unpack(str(archives), 3) == 0
+    assert rows(corpus.rejects(3), "id") == [(i,) for i in ids]
+    settled = corpus.resolve_rejected(offers, 3, 4, WHEN)
+    assert settled == {"requested": 4, "attempted": 4, "completed": 3, "failed": 1}
+    assert rows(corpus.resolved(4), "arxiv_id", "rank", "artifact_id") == [
+        ("25.001v2", 2, "25.001v2"), ("25.002v2", 3, "25.002v1"), ("25.003v2", 4, "25.003v1"), ("25.004v1", None, None),
+    ]
+    counts = dict(rows(corpus.download_summary()[0]))
+    assert counts == {"COMPLETED": 3, "FAILED": 1, "PENDING": 0}
+
+
+def test_reports_are_whole(spark, tmp_path, capsys):
+    from paperloom.__main__ import report
+
+    report(spark.range(1500).select("id"), None)
+    assert len(capsys.readouterr().out.splitlines()) == 1500
+    report(spark.range(1500).select("id"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1500

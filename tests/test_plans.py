@@ -10,7 +10,7 @@ from conftest import SF_DIR
 from paperloom.plans.queries import QUERIES
 
 WITH_PYTHON = {
-    "labeling_stats", "chunk_reassemble", "label_jobs", "labeling_flagship",
+    "labeling_stats", "chunk_reassemble", "tex_fallback", "label_jobs", "labeling_flagship",
 }
 
 
