@@ -26,11 +26,11 @@ from paperloom.llm.common import slices
 UNKNOWN = "und"
 STRIP = 512
 #: characters that are parsed at once
-BATCH = 2_000_000
+BATCH = 1_000_000
 #: labelled documents and characters of each that a language learns from, and characters in all
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 160, 400, 40_000
+SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 100, 300, 25_000
 #: characters over all languages; many languages share it
-TOTAL_CHARS = 600_000
+TOTAL_CHARS = 300_000
 #: languages that a model learns at most, the most frequent ones
 MAX_LANGUAGES = 1000
 

@@ -13,10 +13,12 @@ bounded window of pieces at a time.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import slices
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: tokens, segments and loss-bearing tokens of one sequence
 LIMITS = (1024, 64, 1024)
 #: pieces that are open for placement at once in one task
@@ -110,9 +115,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_file: str, ranks_file: str | None, pattern: str | None) -> None:
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(tokenizer_file)
+        self.file = tokenizer_file
         self.fast = None
         if ranks_file and pattern:
             import base64
@@ -121,9 +124,17 @@ class Encoder:
 
             with open(ranks_file, "rb") as lines:
                 ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, lines)}
-            special = {t.content: i for i, t in self.full.get_added_tokens_decoder().items() if t.special}
+            with open(tokenizer_file, encoding="utf-8") as file:
+                special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
             self.fast = tiktoken.Encoding(ranks_file, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
+    @cached_property
+    def full(self) -> Tokenizer:
+        """The tokenizer file itself: loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and _plain(text) and _short_runs(text):
             return self.fast.encode_to_numpy(text, allowed_special="all")
