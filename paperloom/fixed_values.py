@@ -107,3 +107,10 @@ EVIDENCE_DDL = (
     "direct_citaat string, bronvermelding string"
 )
 EVIDENCE_TYPES = ("kwantitatief", "kwalitatief", "anekdotisch")
+#: data points of each theme
+EVIDENCE_THEMES = {
+    "productivity": ("CODE_CHURN", "TIME_TO_PRODUCTION", "LAB_STUDY_CRITIQUE"),
+    "quality": ("BUGS_PER_FEATURE", "CODE_COMPLEXITY", "TEST_COVERAGE"),
+    "human_factor": ("COGNITIVE_LOAD", "DEVELOPER_SATISFACTION", "ONBOARDING"),
+}
+VERDICT_DDL = "validatie_geslaagd boolean, opmerkingen string"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fixed
 from ..functions.json_rules import kind, parse_strict
@@ -35,14 +35,50 @@ def verify_quotes(records: DataFrame, texts: DataFrame) -> DataFrame:
     return records.join(sources, "id", "left").withColumn("quote_found", found).drop("_text")
 
 
-def evidence_summary(verified: DataFrame) -> DataFrame:
-    """Counts per data point and evidence type over the valid records."""
+def theme_of(data_point: Column) -> Column:
+    """Theme of a data point, NULL for an unknown one."""
+    return F.coalesce(
+        *[F.when(data_point.isin(*points), F.lit(theme)) for theme, points in fixed.EVIDENCE_THEMES.items()]
+    )
+
+
+def evidence_verdicts(replies: DataFrame) -> DataFrame:
+    """(id, datapunt_id, passed, remarks) of validator replies (id, datapunt_id, reply).
+
+    Of several replies for one record all must pass. A reply that is no object
+    or has no true ``validatie_geslaagd`` does not. ``remarks``: the distinct
+    ones in text order.
+    """
+    bodies = with_computed(replies, "_body", strip_code_fence(F.col("reply")))
+    is_object = F.coalesce(kind(parse_strict(F.col("_body"))) == "OBJECT", F.lit(False))
+    verdict = F.when(is_object, F.from_json("_body", fixed.VERDICT_DDL))
     return (
-        verified.filter("valid AND bewijs_gevonden")
-        .groupBy("datapunt_id", "type_bewijs")
+        with_computed(bodies, "_verdict", verdict)
+        .groupBy("id", "datapunt_id")
         .agg(
-            F.count(F.lit(1)).alias("records"),
-            F.count_if("quote_found").alias("verified"),
-            F.sum(F.greatest(F.lit(0), F.size("specifieke_metrics")).cast("long")).alias("metrics"),
+            F.bool_and(F.coalesce("_verdict.validatie_geslaagd", F.lit(False))).alias("passed"),
+            F.sort_array(F.collect_set("_verdict.opmerkingen")).alias("remarks"),
         )
     )
+
+
+def validated(verified: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Found evidence that counts, with its ``theme``: valid, literally quoted, passed by the validator."""
+    counts = verified.filter("valid AND bewijs_gevonden AND quote_found")
+    passed = verdicts.filter("passed").select("id", "datapunt_id")
+    return counts.join(passed, ["id", "datapunt_id"], "left_semi").withColumn("theme", theme_of(F.col("datapunt_id")))
+
+
+def evidence_summary(counted: DataFrame) -> DataFrame:
+    """Counts per theme, data point and evidence type over :func:`validated` records."""
+    return counted.groupBy("theme", "datapunt_id", "type_bewijs").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.sum(F.greatest(F.lit(0), F.size("specifieke_metrics")).cast("long")).alias("metrics"),
+    )
+
+
+def evidence_metrics(counted: DataFrame) -> DataFrame:
+    """One row per metric of :func:`validated` records, ``place`` from 0."""
+    return counted.select(
+        "id", "theme", "datapunt_id", F.posexplode("specifieke_metrics").alias("place", "_metric")
+    ).select("id", "theme", "datapunt_id", "place", "_metric.*")

@@ -270,6 +270,27 @@ verified AS (
   SELECT r.*, coalesce(direct_citaat, '') <> '' AND coalesce(contains(m.abstract, direct_citaat), false) AS quote_found
   FROM records r LEFT JOIN metadata m ON m.id = r.id)"""
 
+_VERDICTS = """
+judged AS (
+  SELECT id, datapunt_id, CASE WHEN json_valid(reply) THEN CAST(CASE WHEN json_valid(reply) THEN reply END AS JSON) END AS d
+  FROM evidence_verdicts),
+verdicts AS (
+  SELECT id, datapunt_id,
+    bool_and(coalesce(json_type(d, '$.validatie_geslaagd') = 'BOOLEAN' AND d ->> '$.validatie_geslaagd' = 'true', false)) AS passed,
+    coalesce(string_agg(DISTINCT d ->> '$.opmerkingen', '|' ORDER BY d ->> '$.opmerkingen'), '') AS remarks
+  FROM judged GROUP BY id, datapunt_id)"""
+
+_THEME = " ".join(
+    f"WHEN v.datapunt_id IN ({', '.join(map(_quote, points))}) THEN '{theme}'"
+    for theme, points in fixed.EVIDENCE_THEMES.items()
+)
+
+_COUNTED = f"""
+counted AS (
+  SELECT v.*, CASE {_THEME} END AS theme FROM verified v
+  WHERE valid AND bewijs_gevonden AND quote_found
+    AND EXISTS (SELECT 1 FROM verdicts d WHERE d.id = v.id AND d.datapunt_id = v.datapunt_id AND d.passed))"""
+
 
 def _integrity_sql() -> str:
     names = {"labels": "taxonomy_labels"}
@@ -595,10 +616,16 @@ def oracle_sql() -> dict[str, str]:
             bronvermelding, valid FROM records""",
         "quote_check": views("evidence_replies", "metadata")
         + f", {_EVIDENCE} SELECT id, direct_citaat, quote_found FROM verified",
-        "evidence_summary": views("evidence_replies", "metadata") + f""", {_EVIDENCE}
-          SELECT datapunt_id, type_bewijs, count(*) AS records, count(*) FILTER (WHERE quote_found) AS verified,
-            CAST(sum(metrics) AS BIGINT) AS metrics
-          FROM verified WHERE valid AND bewijs_gevonden GROUP BY 1, 2""",
+        "evidence_verdicts": views("evidence_verdicts") + f""", {_VERDICTS}
+          SELECT id, datapunt_id, passed, remarks FROM verdicts""",
+        "evidence_summary": views("evidence_replies", "metadata", "evidence_verdicts") + f""", {_EVIDENCE}, {_VERDICTS}, {_COUNTED}
+          SELECT theme, datapunt_id, type_bewijs, count(*) AS records, CAST(sum(metrics) AS BIGINT) AS metrics
+          FROM counted GROUP BY 1, 2, 3""",
+        "evidence_metrics": views("evidence_replies", "metadata", "evidence_verdicts") + f""", {_EVIDENCE}, {_VERDICTS}, {_COUNTED}
+          SELECT id, theme, datapunt_id, CAST(i - 1 AS INTEGER) AS place, m[i] ->> '$.metric_naam' AS metric_naam,
+            m[i] ->> '$.waarde' AS waarde, m[i] ->> '$.context' AS context
+          FROM (SELECT *, CAST(CAST(specifieke_metrics AS JSON) AS JSON[]) AS m FROM counted),
+            unnest(generate_series(1, len(m))) AS t(i)""",
         "labeling_flagship": views(*_LABELING_VIEWS) + f""",
           jobs AS (SELECT metadata_id, question_id FROM labeling_queue
             UNION ALL SELECT id AS metadata_id, {QUESTION_ID} AS question_id FROM metadata m

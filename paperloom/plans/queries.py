@@ -151,9 +151,17 @@ def metadata_insert_conflicts(v):
 
 @query
 def taxonomy_seed(v):
-    items = ingest.taxonomy_items(v("seed_documents"), "seq")
+    """Like the job: items and new labels are written, and read by what follows."""
+    documents = v("seed_documents")
+    folder = shared_folder(documents.sparkSession, "taxonomy")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    items = written(ingest.taxonomy_items(documents, "seq"), "items")
     labels = v("taxonomy_labels")
-    new_labels = ingest.seed_labels(labels, items)
+    new_labels = written(ingest.seed_labels(labels, items), "labels")
     new_questions = ingest.seed_questions(
         v("questions"), labels.select("id", "name").unionByName(new_labels), items, "seq", _as_of()
     )
@@ -702,7 +710,7 @@ def label_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue read as a stream over the documents; same result as ``label_jobs``."""
     documents = (
         spark.readStream.schema(BASE_TABLES["documents"])
-        .option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+        .option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)
     )
     folder = shared_folder(spark, "label-stream")
     stream = start_labeling(
@@ -758,11 +766,27 @@ def quote_check(v):
     return evidence.verify_quotes(records, source).select("id", "direct_citaat", "quote_found")
 
 
-@query
-def evidence_summary(v):
+def _validated(v) -> DataFrame:
     records = evidence.evidence_records(v("evidence_replies"))
     source = v("metadata").select("id", F.col("abstract").alias("text"))
-    return evidence.evidence_summary(evidence.verify_quotes(records, source))
+    verdicts = evidence.evidence_verdicts(v("evidence_verdicts"))
+    return evidence.validated(evidence.verify_quotes(records, source), verdicts)
+
+
+@query
+def evidence_verdicts(v):
+    verdicts = evidence.evidence_verdicts(v("evidence_verdicts"))
+    return verdicts.withColumn("remarks", F.array_join("remarks", "|"))
+
+
+@query
+def evidence_summary(v):
+    return evidence.evidence_summary(_validated(v))
+
+
+@query
+def evidence_metrics(v):
+    return evidence.evidence_metrics(_validated(v))
 
 
 # ---- flagship -----------------------------------------------------------

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import fixed_values as fixed
+
 _ID = "lpad(CAST(doc_id AS STRING), 12, '0')"
 _ESCAPED = (
     "replace(replace(replace(replace(text, chr(92), chr(92)||chr(92)), chr(34), chr(92)||chr(34)), "
@@ -18,6 +20,11 @@ _ESCAPED = (
 _EVENT_ID = "'e' || CAST(event_id AS STRING) || 'v' || CAST(1 + event_id % 3 AS STRING)"
 _EVENT_PREVIOUS = "'e' || CAST(event_id AS STRING) || 'v' || CAST(event_id % 3 AS STRING)"
 
+# one data point per document, an unknown one for every tenth
+_DATA_POINT = "CASE CAST(doc_id % 10 AS INT) {} ELSE 'OTHER' END".format(
+    " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(p for points in fixed.EVIDENCE_THEMES.values() for p in points))
+)
+
 VIEWS: dict[str, str] = {
     "pages": "SELECT page_id, url, html FROM @pages",
     "metadata": f"""
@@ -213,19 +220,27 @@ VIEWS: dict[str, str] = {
           WHEN 18 THEN '```' || chr(10) || '  {"answer":false,"confidence":"7d"}' || chr(10) || '```'
           ELSE '{"answer":"' || source || '","why":"' || lang || '"}' END AS reply
         FROM @documents""",
-    "evidence_replies": """
+    "evidence_replies": f"""
         SELECT lpad(CAST(doc_id AS STRING), 12, '0') AS id, CASE CAST(doc_id % 6 AS INT)
           WHEN 0 THEN 'no record'
-          WHEN 1 THEN '{"datapunt_id":"' || upper(source) || '","bewijs_gevonden":false}'
-          ELSE '```json' || chr(10) || '{"datapunt_id":"' || upper(source) || '","bewijs_gevonden":true,"type_bewijs":"'
+          WHEN 1 THEN '{{"datapunt_id":"' || {_DATA_POINT} || '","bewijs_gevonden":false}}'
+          ELSE '```json' || chr(10) || '{{"datapunt_id":"' || {_DATA_POINT} || '","bewijs_gevonden":true,"type_bewijs":"'
             || CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'kwantitatief' WHEN 1 THEN 'kwalitatief'
               WHEN 2 THEN 'anekdotisch' ELSE 'anders' END
-            || '","samenvatting_bewijs":"s","specifieke_metrics":[{"metric_naam":"m","waarde":"15%","context":"c"}'
-            || CASE WHEN doc_id % 2 = 0 THEN ',{"metric_naam":"n","waarde":"1","context":"d"}' ELSE '' END
+            || '","samenvatting_bewijs":"s","specifieke_metrics":[{{"metric_naam":"m","waarde":"15%","context":"c"}}'
+            || CASE WHEN doc_id % 2 = 0 THEN ',{{"metric_naam":"n","waarde":"1","context":"d"}}' ELSE '' END
             || '],"direct_citaat":"' || CASE WHEN doc_id % 5 = 0 THEN 'not in the text at all' ELSE
               replace(replace(split_part(text, ' ', 3), chr(34), ''), chr(92), '') END
-            || '","bronvermelding":"' || source || '"}' || chr(10) || '```' END AS reply
+            || '","bronvermelding":"' || source || '"}}' || chr(10) || '```' END AS reply
         FROM @documents""",
+    "evidence_verdicts": f"""
+        SELECT lpad(CAST(doc_id AS STRING), 12, '0') AS id, {_DATA_POINT} AS datapunt_id, CASE CAST(doc_id % 11 AS INT)
+          WHEN 0 THEN 'no verdict' WHEN 1 THEN '{{"validatie_geslaagd":false,"opmerkingen":"wrong value"}}'
+          WHEN 2 THEN '{{"validatie_geslaagd":"true"}}' ELSE '{{"validatie_geslaagd":true,"opmerkingen":"fine"}}' END AS reply
+        FROM @documents WHERE doc_id % 13 > 0
+        UNION ALL
+        SELECT lpad(CAST(doc_id AS STRING), 12, '0'), {_DATA_POINT}, '{{"validatie_geslaagd":false,"opmerkingen":"second look"}}'
+        FROM @documents WHERE doc_id % 17 = 0""",
     "member_paths": """
         SELECT page_id, CASE CAST(page_id % 8 AS INT) WHEN 0 THEN '../' || url WHEN 1 THEN '/' || url
           WHEN 2 THEN 'a/../../b' WHEN 3 THEN 'a/../' || url WHEN 4 THEN './x/../y/' || url

@@ -18,6 +18,8 @@ REPLY_LOG = (
     "metadata_id string, question_id int, label_id int, skip_reason string, "
     "reply string, error string"
 )
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def reply_log(spark: SparkSession, path: str) -> DataFrame:
@@ -38,29 +40,41 @@ def start_labeling(
 ) -> StreamingQuery:
     """Drain what the queue stream holds now, and return the running query.
 
-    Jobs whose replies are in the log are not asked again. The raw replies are
-    written once per batch and parsed by whoever reads the log, so no later
-    action repeats a model call.
+    The keys of all jobs seen are keyed state on disk in the checkpoint, so a
+    job is asked once, and a batch reads neither the log nor earlier jobs. The
+    raw replies are written once per batch and parsed by whoever reads the log,
+    so no later action repeats a model call. A batch is what a failure repeats:
+    bound it where the queue is read (``maxFilesPerTrigger``).
+    ``spark.sql.shuffle.partitions`` of the first start stays with the state.
     """
     spark = queue.sparkSession
     empty = spark.createDataFrame([], REPLY_LOG)
     empty.write.mode("overwrite").parquet(f"{log_path}/batch=-1")
 
     def label(batch: DataFrame, batch_id: int) -> None:
-        jobs = batch.select(*JOB_KEY).dropDuplicates(JOB_KEY)
-        done = reply_log(batch.sparkSession, log_path).filter(f"batch < {batch_id}")
-        # The batch is the small side: it thins out the log before the anti join.
-        seen = done.select(*JOB_KEY).join(jobs, JOB_KEY, "left_semi")
-        fresh = jobs.join(seen, JOB_KEY, "left_anti")
+        # Written first: the batch is read several times, its state only once.
+        fresh = f"{log_path}-jobs/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(fresh)
+        jobs = batch.sparkSession.read.schema(batch.schema).parquet(fresh)
         replies = classify_jobs(
-            enrich_jobs(fresh, questions, metadata), model,
+            enrich_jobs(jobs, questions, metadata), model,
             in_flight=in_flight, parallelism=parallelism,
         )
         replies.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
-    return (
-        queue.writeStream.foreachBatch(label)
-        .option("checkpointLocation", checkpoint_path)
-        .trigger(availableNow=True)
-        .start()
-    )
+    before = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)
+    try:
+        return (
+            queue.select(*JOB_KEY)
+            .dropDuplicates(JOB_KEY)
+            .writeStream.foreachBatch(label)
+            .option("checkpointLocation", checkpoint_path)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:  # a query keeps the settings of its start
+        if before is None:
+            spark.conf.unset(_STATE_STORE)
+        else:
+            spark.conf.set(_STATE_STORE, before)

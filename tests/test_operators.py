@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 from decimal import Decimal
 
@@ -467,3 +468,37 @@ def test_search_fallback_sort(spark):
     assert (first["title"], first["authors"], first["updated_date"]) == ("T", ["A B"], None)
     assert search.search_papers(df, 5, "relevance").count() == 2
     assert search.search_papers(df.union(df), 5, "relevance").count() == 4
+
+
+def test_only_validated_evidence_counts(spark):
+    from paperloom.operators import evidence
+
+    def reply(point, **changes):
+        record = {
+            "datapunt_id": point, "bewijs_gevonden": True, "type_bewijs": "kwalitatief", "direct_citaat": "a quote",
+            "specifieke_metrics": [{"metric_naam": "m", "waarde": "1"}, {"metric_naam": "n", "waarde": "2"}],
+        }
+        return json.dumps({**record, **changes})
+
+    records = evidence.evidence_records(spark.createDataFrame(
+        [("p", reply("CODE_CHURN")), ("p", reply("ONBOARDING")), ("p", reply("X", specifieke_metrics=None)),
+         ("p", reply("TEST_COVERAGE", direct_citaat="made up")), ("q", reply("CODE_CHURN")), ("r", reply("CODE_CHURN"))],
+        "id string, reply string",
+    ))
+    texts = spark.createDataFrame([(i, "with a quote inside") for i in "pqr"], "id string, text string")
+    yes, no = '{"validatie_geslaagd": true, "opmerkingen": "ok"}', '{"validatie_geslaagd": false, "opmerkingen": "no"}'
+    verdicts = evidence.evidence_verdicts(spark.createDataFrame(
+        [("p", "CODE_CHURN", f"```json\n{yes}\n```"), ("p", "ONBOARDING", yes), ("p", "X", yes), ("p", "TEST_COVERAGE", yes),
+         ("q", "CODE_CHURN", yes), ("q", "CODE_CHURN", no), ("p", "OTHER", None)],
+        "id string, datapunt_id string, reply string",
+    ))
+    assert rows(verdicts.filter("not passed"), "id", "datapunt_id", "remarks") == [
+        ("p", "OTHER", []), ("q", "CODE_CHURN", ["no", "ok"])
+    ]
+    counted = evidence.validated(evidence.verify_quotes(records, texts), verdicts)
+    assert rows(evidence.evidence_summary(counted), "datapunt_id", "theme", "records", "metrics") == [
+        ("CODE_CHURN", "productivity", 1, 2), ("ONBOARDING", "human_factor", 1, 2), ("X", None, 1, 0)
+    ]
+    assert rows(evidence.evidence_metrics(counted), "datapunt_id", "place", "waarde") == [
+        ("CODE_CHURN", 0, "1"), ("CODE_CHURN", 1, "2"), ("ONBOARDING", 0, "1"), ("ONBOARDING", 1, "2")
+    ]

@@ -63,3 +63,27 @@ def test_labeling_shuffles_the_papers_at_most_once(spark):
         assert len(re.findall(r"Exchange hashpartitioning", text)) == 5
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_taxonomy_reads_what_it_wrote(spark):
+    assert len(re.findall(r"Exchange hashpartitioning", plan(spark, "taxonomy_seed"))) <= 12
+
+
+def test_stream_keeps_seen_jobs_in_state(spark, tmp_path):
+    """No batch reads the reply log."""
+    from paperloom.plans.queries import rule_model
+    from paperloom.streaming.labeling import start_labeling
+
+    jobs = spark.createDataFrame([("a", 1), ("a", 1), (None, 1)], "metadata_id string, question_id int")
+    jobs.write.parquet(str(tmp_path / "queue"))
+    stream = start_labeling(
+        spark.readStream.schema(jobs.schema).parquet(str(tmp_path / "queue")),
+        spark.createDataFrame([(1, "Q?", 5)], "id int, prompt string, label_id int"),
+        spark.createDataFrame([("a", "t", "x")], "id string, title string, abstract string"),
+        rule_model(), str(tmp_path / "log"), str(tmp_path / "checkpoint"),
+    )
+    stream.awaitTermination()
+    state = stream.recentProgress[0]["stateOperators"]
+    assert [s["operatorName"] for s in state] == ["dedupe"] and state[0]["numRowsTotal"] == 2
+    assert any("rocksdb" in name for name in state[0]["customMetrics"])
+    assert [s["description"].count("log") for s in stream.recentProgress[0]["sources"]] == [0]
