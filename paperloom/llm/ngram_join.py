@@ -97,16 +97,17 @@ class _Slice:
     one: these are known to be shared and are counted before they leave.
     """
 
-    def __init__(self, texts: list[str | None], words: int, part: float, blocks: int) -> None:
+    def __init__(self, texts: list[str | None], ids: np.ndarray, words: int, part: float, blocks: int) -> None:
         flat, offsets = gram_sets(texts, words)
         sig, _ = _signatures(flat, offsets)
         self.n = np.diff(offsets)
         self.sig = (sig >> np.uint64(32)).astype(np.uint32)
-        _, first = np.unique(sig, return_index=True)
+        by_id = np.argsort(ids, kind="stable")
+        _, first = np.unique(sig[by_id], return_index=True)
         head = np.zeros(len(texts), bool)
-        head[first] = True
+        head[by_id[first]] = True
         head &= self.n > 0
-        self.head = head  # one row per class
+        self.head = head  # one row per class, its smallest document in the batch
         row = np.repeat(np.arange(len(texts)), self.n)
         keep = head[row]
         if part < 1:
@@ -156,14 +157,14 @@ def _frequencies(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def not_alone(docs: DataFrame, words: int, percent: int, blocks: int, part: float) -> DataFrame:
-    """``doc_id`` of one document per batch and class that may link to another class."""
+    """``doc_id`` of the smallest document per batch and class that may link to another class."""
 
     columns = _POSTED + ", ids binary, n binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in numbered_slices(batches, "text"):
-            cut = _Slice(batch.column("text").to_pylist(), words, part, blocks)
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
+            cut = _Slice(batch.column("text").to_pylist(), ids, words, part, blocks)
             n = np.where(cut.head, cut.n, -1).astype(np.int32)
             # who is in the batch takes the way through any block
             home = {"batch": number, "block": number % blocks, "ids": ids.tobytes(), "n": n.tobytes()}
@@ -217,15 +218,17 @@ def rarest_columns(docs: DataFrame, words: int, percent: int, blocks: int) -> Da
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in numbered_slices(batches, "text"):
-            cut = _Slice(batch.column("text").to_pylist(), words, 1, blocks)
+            ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
+            cut = _Slice(batch.column("text").to_pylist(), ids, words, 1, blocks)
             yield pa.RecordBatch.from_pylist([row | {"batch": number} for row in cut.rows()], schema=_arrow(posted))
 
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in numbered_slices(batches, "text"):
-            cut = _Slice(batch.column("text").to_pylist(), words, 1, blocks)
+            ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
+            cut = _Slice(batch.column("text").to_pylist(), ids, words, 1, blocks)
             row = {
                 "batch": number,
-                "ids": np.array(batch.column("doc_id").to_pylist(), np.int64).tobytes(),
+                "ids": ids.tobytes(),
                 "n": np.where(cut.head, cut.n, -1).astype(np.int32).tobytes(),
                 "key": cut.key.tobytes(),
                 "row": cut.row.astype(np.uint16).tobytes(),

@@ -306,6 +306,30 @@ def test_small_cells_and_blocks_find_the_same_links(spark, docs, monkeypatch):
     assert got == naive_components(odd_rows(), 3, 90)
 
 
+def descending_rows() -> list[tuple]:
+    """Classes of equal sets whose smallest document comes last, and near copies of them."""
+    rng = random.Random(6)
+    rows = []
+    for group in range(6):
+        base = prose(rng, 60)
+        near = base.split()
+        near[30] = "edit"
+        ids = range(100 * group + 5, 100 * group + 35, 5)
+        rows += [(i, base.upper() if i % 2 else base, "en", "a", 9) for i in ids]
+        rows.append((100 * group + 40 + group % 2, " ".join(near), "en", "a", 9))
+    return sorted(rows, reverse=True)
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_classes_link_when_documents_descend(spark, slices):
+    rows = descending_rows()
+    frame = spark.createDataFrame(rows, SCHEMA).coalesce(1) if slices == 1 else spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = rows_of(ngram_join.jaccard_components(frame, 3, 80), "doc_id", "n_shingles", "component_id")
+    assert got == naive_components(rows, 3, 80)
+    assert {component for _, _, component in got} == {100 * group + 5 for group in range(6)}
+    assert rows_of(ngram_join.drop_near_copies(frame, 3, 80), "doc_id") == sorted(((100 * g + 5,) for g in range(6)), key=repr)
+
+
 def test_near_copies_of_nothing(spark, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
     assert ngram_join.drop_near_copies(empty).columns == empty.columns
