@@ -20,9 +20,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what is in no language: null texts and texts without a letter."""
+    """Drop what is in no language: null texts and texts without a letter.
+
+    A table without labels has no language to predict and keeps all other texts.
+    """
     predict = langid.language_struct(langid.learn_from(docs), spark)
-    return docs.where(predict(F.col("text"))["lang_pred"] != langid.UNKNOWN)
+    return docs.where(predict(F.col("text"))["lettered"])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

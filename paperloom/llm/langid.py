@@ -58,6 +58,10 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
 
 
+def lettered(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of the smallest automaton that accepts every substring."""
     after: list[dict[int, int]] = [{}]
@@ -177,16 +181,16 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; the score is how much clearer than the runner-up."""
-        lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        told = [i for i, t in enumerate(texts) if lettered(t)]
         languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not lettered or not self.languages:
+        if not told or not self.languages:
             return languages, scores
-        counts = self._counts([texts[i] for i in lettered])
+        counts = self._counts([texts[i] for i in told])
         ranked = np.sort(counts, axis=1)
         least = ranked[:, 0].astype(float)
         second = ranked[:, 1].astype(float) if ranked.shape[1] > 1 else np.inf
         score = 1.0 - least / (least + second)
-        for i, best, s in zip(lettered, counts.argmin(axis=1).tolist(), score.tolist(), strict=True):
+        for i, best, s in zip(told, counts.argmin(axis=1).tolist(), score.tolist(), strict=True):
             languages[i], scores[i] = self.languages[best], s
         return languages, scores
 
@@ -250,13 +254,17 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def language_struct(model: LanguageModel, spark: SparkSession) -> Callable[[Column], Column]:
-    """The prediction as a function of a text column: a struct of ``lang_pred`` and ``score``."""
+    """The prediction as a function of a text column: a struct of ``lang_pred``, ``score`` and ``lettered``.
+
+    ``lettered`` tells whether the text has a letter, whatever the model has learned.
+    """
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, lettered boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        languages, scores = shared.value.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": languages, "score": scores})
+        given = texts.tolist()
+        languages, scores = shared.value.predict(given)
+        return pd.DataFrame({"lang_pred": languages, "score": scores, "lettered": list(map(lettered, given))})
 
     return predict
 

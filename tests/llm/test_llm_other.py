@@ -227,6 +227,26 @@ def test_pipeline_of_an_empty_table(spark):
     assert docs.count() == 0
 
 
+def test_pipeline_keeps_documents_without_labels(spark, tmp_path):
+    import zlib
+
+    import corpus_pipeline
+    from test_llm_documents import SCHEMA, odd_rows
+
+    def labelled(lang):
+        return [(i, text, lang(i), *rest) for i, text, _, *rest in odd_rows()]
+
+    want = sorted(((r[0], r[1]) for r in odd_rows() if r[1] and any(map(str.isalpha, r[1]))), key=repr)
+    held_out = lambda i: "en" if i is not None and zlib.crc32(str(i).encode()) % 5 == 0 else None
+    for lang in (lambda i: None, held_out):
+        docs = spark.createDataFrame(labelled(lang), SCHEMA)
+        assert rows_of(corpus_pipeline.language(spark, docs, ""), "doc_id", "text") == want
+    rows = [(i, f"a plain text number {i} of a table without labels", None, "a", 9) for i in range(3)] + [(3, "123 --", None, "a", 9)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    packed = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert packed and packed <= {0, 1, 2}
+
+
 def test_language_verdicts_do_not_depend_on_order():
     rng = random.Random(1)
     from paperloom.llm.langid import LanguageModel
