@@ -1,9 +1,9 @@
 """Leaf blocks of an HTML page, with what is known about their ancestors.
 
 A forgiving reader in one pass: end tags close what they can, a block start
-closes an open paragraph, comments, scripts and styles are skipped. A leaf block
-is the text between two block boundaries; inline markup and line breaks do not
-end it. Character references are decoded and white space is folded.
+closes an open paragraph, comments, scripts, styles and templates are skipped. A
+leaf block is the text between two block boundaries; inline markup, formulas,
+drawings and line breaks do not end it. Character references are decoded and white space is folded.
 """
 
 from __future__ import annotations
@@ -16,17 +16,25 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _TOKEN = re.compile(r"[a-z]+")
-#: content that is never text
-_RAW = {
-    tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE)
-    for tag in ("script", "style", "noscript", "template", "iframe", "svg", "math", "object")
-}
+#: content that is never text; without an end tag it goes on to the end of the page, as in a browser
+_RAW = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in ("script", "style")}
+_TEMPLATE = re.compile(r"<(/?)template\b[^>]*>", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var br wbr img label".split()
+    "strike strong sub sup time tt u var br wbr img label math svg object param noscript iframe".split()
+)
+_BREAKING = frozenset(
+    "br wbr img object noscript iframe svg text title desc foreignobject mtr mtd annotation annotation-xml".split()
+)
+#: in these all elements are inline, but for blocks of HTML, which end them if no bound is nearer
+_FOREIGN = frozenset(("svg", "math"))
+_HTML_BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead "
+    "tr ul".split()
 )
-_BREAKING = frozenset(("br", "wbr", "img"))
+_FOREIGN_BOUNDS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: a start tag closes these open elements, up to the given bounds
 _CLOSES = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
@@ -38,7 +46,7 @@ _CLOSES = {
     "option": (frozenset(("option",)), frozenset(("select",))),
     "body": (frozenset(("head",)), frozenset()),
 }
-_PARAGRAPH = (frozenset(("p",)), frozenset(("td", "th", "table", "button", "caption", "article", "section", "div")))
+_PARAGRAPH = (frozenset(("p",)), frozenset("td th table button caption article section div object foreignobject annotation-xml".split()))
 
 
 class Block(NamedTuple):
@@ -54,6 +62,7 @@ class _Open(NamedTuple):
     tag: str
     features: frozenset[str]
     in_link: bool
+    inline: bool = False
 
 
 def _tokens(attributes: str) -> list[str]:
@@ -71,6 +80,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     blocks: list[Block] = []
     pieces: list[tuple[str, bool]] = []
     owner = stack[0]
+    templates: dict[int, int] | None = None
 
     def flush() -> None:
         if pieces:
@@ -88,7 +98,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             mark = size
         if mark > at:
             if not pieces:
-                owner = next((o for o in reversed(stack) if o.tag not in _INLINE), stack[0])
+                owner = next((o for o in reversed(stack) if not o.inline), stack[0])
             pieces.append((page[at:mark], stack[-1].in_link))
         if mark == size:
             break
@@ -108,13 +118,18 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         at = tag.end()
         name = tag[2].lower()
-        inline = name in _INLINE
         if name in _RAW and not tag[1]:
-            if tag[3].endswith("/") and name in ("svg", "math"):
-                continue
             end = _RAW[name].search(page, at)
             at = end.end() if end else size
             continue
+        if name == "template" and not tag[1]:
+            if "shadowrootmode" not in tag[3].lower():
+                if templates is None:
+                    templates = _template_ends(page)
+                at = max(at, templates.get(mark, at))
+            continue
+        foreign = name not in _HTML_BLOCKS and any(counts.get(t, 0) > 0 for t in _FOREIGN)
+        inline = foreign or name in _INLINE
         if not inline:
             flush()
         elif name in _BREAKING:
@@ -126,9 +141,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 stack.pop()
                 counts[name] -= 1
             continue
-        if name in _VOID:
+        if name in _VOID or tag[3].endswith("/") and (foreign or name in _FOREIGN):
             continue
         if not inline:
+            if any(counts.get(t, 0) > 0 for t in _FOREIGN):
+                for gone in _cut(stack, _FOREIGN, _FOREIGN_BOUNDS):
+                    counts[gone.tag] -= 1
             for tags, bounds in (_PARAGRAPH, _CLOSES.get(name)) if name in _CLOSES else (_PARAGRAPH,):
                 if any(counts.get(t, 0) > 0 for t in tags):
                     for gone in _cut(stack, tags, bounds):
@@ -136,12 +154,23 @@ def leaf_blocks(page: str | None) -> list[Block]:
         above = stack[-1]
         own = frozenset((f"in:{name}", *(f"word:{t}" for t in _tokens(tag[3]))))
         features = above.features if own <= above.features else above.features | own
-        stack.append(_Open(name, features, above.in_link or name == "a"))
+        stack.append(_Open(name, features, above.in_link or name == "a", inline))
         counts[name] = counts.get(name, 0) + 1
     flush()
     return blocks
 
 
+def _template_ends(page: str) -> dict[int, int]:
+    """Where each template ends, by its start: a copy to be filled, never shown. Those without an end tag are left out."""
+    ends, opened = {}, []
+    for tag in _TEMPLATE.finditer(page):
+        if not tag[1]:
+            opened.append(tag.start())
+        elif opened:
+            ends[opened.pop()] = tag.end()
+    return ends
+
+
 def _cut(stack: list[_Open], tags: frozenset[str], bounds: frozenset[str]) -> list[_Open]:
     """Remove the innermost open element among ``tags``, and all inside it, unless a bound is nearer."""
     for depth in range(len(stack) - 1, 0, -1):

@@ -24,6 +24,32 @@ def rows_of(frame, *columns):
 # --- pages -----------------------------------------------------------------
 
 
+def test_formulas_drawings_and_fallbacks_stay_text():
+    texts = lambda page: [b.text for b in leaf_blocks(page)]
+    formula = "<p>So <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> holds.</p><p>b</p>"
+    assert texts(formula) == ["So x=1 holds.", "b"]
+    assert {b.parent for b in leaf_blocks(formula)} == {"p"}
+    assert texts("<p>a <svg><path d='M0'/><text>one</text><text>two</text></svg> c</p>") == ["a one two c"]
+    assert texts("<p>a<object data=x><param name=y>other</object>b</p>") == ["a other b"]
+    assert texts("<p>a<object data=x><p>other</p></object>b</p>") == ["a", "other", "b"]
+    assert texts("<noscript><article><p>a</p><p>b</p></article></noscript><iframe>c</iframe>") == ["a", "b", "c"]
+    assert texts("<svg><foreignObject><div>a</div></foreignObject><text>b</text></svg>") == ["a", "b"]
+    assert texts("<svg><style>x</style><script>y</script></svg>a<template><p>x<template>y</template></p></template>b") == ["ab"]
+    for tag in ("svg", "math", "object", "noscript", "iframe", "template"):  # no end tag
+        blocks = leaf_blocks(f"<p>a<{tag}><p>b</p><div>c</div><p>d</p>")
+        assert [b.text for b in blocks] == ["a", "b", "c", "d"]
+
+
+def test_texts_in_formulas_and_fallbacks_are_extracted():
+    body = "".join(f"<p>This is sentence {i} of an article about many things.</p>" for i in range(4))
+    more = "<p>The formula <math><mi>y</mi><mo>=</mo><mn>2</mn></math> is the main result of it.</p>"
+    page = f"<html><body><article><h1>A title</h1>{body}{more}<object><p>A long fallback text stands here.</p></object></article></body></html>"
+    text = html_crf.main_text(html_crf.trained_field(), page)
+    assert "The formula y=2 is the main result of it." in text and "A long fallback text stands here." in text
+    hidden = f"<html><body><noscript><article><h1>A title</h1>{body}</article></noscript></body></html>"
+    assert html_crf.main_text(html_crf.trained_field(), hidden).count("sentence") == 4
+
+
 def test_leaf_blocks_of_broken_markup():
     page = (
         "<title>t</title><p>a <b>b<br>c&amp;amp &lt<p>d&#233;<ul><li>e<li>f</ul>1 < 2"
