@@ -8,7 +8,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, exact_dedup, html_crf, langid, mixing, ngram_join, packing, substring, tokens, topk
+from paperloom.llm import (
+    chat,
+    exact_dedup,
+    html_crf,
+    langid,
+    lexical_scan,
+    mixing,
+    ngram_join,
+    packing,
+    substring,
+    token_alignment,
+    tokens,
+    topk,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -231,3 +245,58 @@ LEFT JOIN (
 @_query
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_scan.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op11_lexical_search"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), f AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL
+), n AS (
+  SELECT doc_id, len(t) AS n FROM d WHERE len(t) > 0
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM f CROSS JOIN s GROUP BY term, docs
+), m AS (
+  SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM n CROSS JOIN s
+), i AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), p AS (
+  SELECT item_id, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM p WHERE score > 0
+)
+SELECT item_id, CAST(rn AS INTEGER) AS rank, doc_id, score FROM r WHERE rn <= 10
+"""
+
+
+def both_tokenizers() -> tuple[str, str]:
+    """The files of the byte-level and the piece vocabulary."""
+    import public_tokenizers as public
+
+    return public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")
+
+
+@_query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(_table(spark, sf_dir, "documents"), both_tokenizers)
+
+
+@_query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
