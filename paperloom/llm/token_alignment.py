@@ -19,10 +19,12 @@ read their counts by place.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,13 @@ from paperloom.llm.common import slices, stored
 #: distinct (document, pair) entries of a chunk; one document is never cut
 CHUNK_LINKS = 1 << 22
 #: segments that a worker remembers
-MEMORY = 200_000
-#: distinct pairs of a chunk in one row
-_ROW = 1 << 15
+MEMORY = 300_000
+#: segments that are aligned at once, and those of a line; distinct pairs of a chunk in one row
+_LEARN, _LINE, _ROW = 1 << 14, 256, 1 << 15
 # a blank between two characters that no definition of white space holds
 _EDGE = r"[^\s\x00-\x1f\x7f-\x9f\u180e\u200b-\u200f\u2028-\u202f\u205f-\u206f\u2581\ufeff]"
 _CUT = re.compile(rf" (?<={_EDGE} )(?={_EDGE})")
+_INNER = re.compile(rf"{_EDGE}(?:.*{_EDGE})?\Z", re.DOTALL)
 
 
 def segments(text: str) -> list[str]:
@@ -62,6 +65,8 @@ class Tokenizers:
     """A byte-level BPE of ``tokenizers`` (A) beside a ``sentencepiece`` model (B)."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
+        # a task has one core: threads of their own would only take those of other tasks
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -74,7 +79,10 @@ class Tokenizers:
             for i in range(self.a.get_vocab_size())
         ]
         self.b_bytes = [self._piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.is_byte = [self.b.is_byte(i) for i in range(self.b.get_piece_size())]
+        self.a_size, self.b_size = (
+            np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes)
+        )
+        self.is_byte = np.array([self.b.is_byte(i) for i in range(self.b.get_piece_size())], bool)
 
     @staticmethod
     def _piece_bytes(piece: str) -> bytes:
@@ -82,68 +90,132 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("\u2581", " ").encode("utf-8", "surrogatepass")
 
-    def encode_a(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids and the byte where each token ends, of a blank and each part."""
-        result = []
-        for part, encoding in zip(parts, self.a.encode_batch([" " + p for p in parts], add_special_tokens=False), strict=True):
-            ids, spans = encoding.ids, encoding.offsets
-            if part.isascii():
-                result.append((ids, [end for _, end in spans]))
+    def encode_a(self, parts: list[str]) -> Tokens:
+        """Tokens of a blank and each part."""
+        lines = joined(parts)
+        found = self.a.encode_batch(lines, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable([e.ids for e in found]), np.int64)
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable([e.offsets for e in found])), np.int64).reshape(-1, 2)
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        byte = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+        spans += np.repeat(_before(lines), [len(e) for e in found])[:, None]
+        stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        owner = np.searchsorted(stops, spans[:, 1])
+        ends = byte[spans[:, 1]] - byte[np.concatenate([[0], stops])[owner]]
+        # tokens that share a character with the next one end inside it
+        shared = np.zeros(len(ends), bool)
+        shared[:-1] = (owner[:-1] == owner[1:]) & (spans[1:, 0] < spans[:-1, 1])
+        return Tokens(ids, ends, np.bincount(owner, minlength=len(parts))).refined(shared, self.a_size)
+
+    def encode_b(self, parts: list[str]) -> Tokens:
+        """As :meth:`encode_a`; the model itself puts the blank in front of a line."""
+        lines = joined(parts)
+        found = [self.b.encode(line[1:], return_type="proto").pieces for line in lines]
+        ids = np.array([p.id for pieces in found for p in pieces], np.int64)
+        ends = np.array([p.end + 1 for pieces in found for p in pieces], np.int64)
+        ends += np.repeat(_before([line.encode("utf-8", "surrogatepass") for line in lines]), list(map(len, found)))
+        stops = np.cumsum(np.array([len(p.encode("utf-8", "surrogatepass")) + 1 for p in parts], np.int64))
+        owner = np.searchsorted(stops, ends)
+        ends -= np.concatenate([[0], stops])[owner]
+        # only the last byte of a character has a span that moves on
+        return Tokens(ids, ends, np.bincount(owner, minlength=len(parts))).refined(self.is_byte[ids], self.b_size)
+
+
+def joined(parts: list[str]) -> list[str]:
+    """The parts, a blank in front of each, in lines of several; those with white space at an end stay alone."""
+    lines, line = [], []
+    for part in parts:
+        if _INNER.match(part):
+            line.append(part)
+            if len(line) < _LINE:
                 continue
-            at, total = [0, 1], 1  # the byte where each character begins
-            for char in part:
-                total += len(char.encode("utf-8", "surrogatepass"))
-                at.append(total)
-            ends, last = [], 0
-            for i, (token, (_, end)) in enumerate(zip(ids, spans, strict=True)):
-                shared = i + 1 < len(spans) and spans[i + 1][0] < end
-                last = last + len(self.a_bytes[token]) if shared else at[end]
-                ends.append(last)
-            result.append((ids, ends))
-        return result
-
-    def encode_b(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """As :meth:`encode_a`; the model itself puts the blank in front."""
-        result = []
-        for part in parts:
-            ids, ends, last = [], [], 0
-            for piece in self.b.encode(part, return_type="proto").pieces:
-                number, end = piece.id, piece.end + 1
-                # a byte of a character that goes on has an empty span
-                last = last + 1 if self.is_byte[number] else end
-                ids.append(number)
-                ends.append(last)
-            result.append((ids, ends))
-        return result
-
-
-def _true_ends(ids: list[int], ends: list[int], decoded: list[bytes], size: int) -> list[int]:
-    """``ends`` if they go up to ``size``, else those that the decoded bytes give."""
-    if ends and ends[-1] == size and all(x < y for x, y in zip([0, *ends], ends, strict=False)):
-        return ends
-    total, result = 0, []
-    for token in ids:
-        total += len(decoded[token])
-        result.append(total)
-    return result
-
-
-def align(
-    a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]
-) -> tuple[list[str], list[tuple[int, int]]]:
-    """Groups (``a1,a2|b1``) and links of two cuts of the same bytes."""
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    while i < len(a_ids):
-        links.append((a_ids[i], b_ids[j]))
-        a_end, b_end = a_ends[i], b_ends[j]
-        if a_end == b_end:
-            left = ",".join(map(str, a_ids[first_a : i + 1]))
-            groups.append(f"{left}|{','.join(map(str, b_ids[first_b : j + 1]))}")
-            first_a, first_b = i + 1, j + 1
-        i += a_end <= b_end
-        j += b_end <= a_end
-    return groups, links
+            part = ""
+        if line:
+            lines.append(" " + " ".join(line))
+            line = []
+        if part or not lines:
+            lines.append(" " + part)
+    if line:
+        lines.append(" " + " ".join(line))
+    return lines
+
+
+def _before(lines: list[str] | list[bytes]) -> np.ndarray:
+    """Length of all lines before each line."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    return np.cumsum(sizes) - sizes
+
+
+class Tokens:
+    """Tokens of many parts in a row: ids, the byte of the part where each ends, tokens of each part."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> None:
+        self.ids, self.ends, self.counts = ids, ends, counts
+
+    def refined(self, shared: np.ndarray, size: np.ndarray) -> Tokens:
+        """With the ends of ``shared`` tokens told by decoded sizes from the last certain end on."""
+        if shared.any():
+            place = np.arange(len(shared))
+            begin = np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+            certain = np.maximum.accumulate(np.where(shared, -1, place))
+            certain = np.where(certain >= begin, certain, begin - 1)
+            total = np.concatenate([[0], np.cumsum(size[self.ids])])
+            base = np.where(certain >= begin, self.ends[certain], 0)
+            self.ends = np.where(shared, base + total[place + 1] - total[certain + 1], self.ends)
+        return self
+
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    def faithful(self, decoded: list[bytes], size: np.ndarray, expected: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each part give its bytes back; spans that do not fit them give way."""
+        sizes = np.fromiter(map(len, expected), np.int64, len(expected))
+        last = np.cumsum(self.counts)
+        total = np.concatenate([[0], np.cumsum(size[self.ids])])
+        first = total[last - self.counts]
+        same = total[last] - first == sizes
+        pieces = list(map(decoded.__getitem__, self.ids.tolist()))
+        if not same.all() or b"".join(pieces) != b"".join(expected):
+            cuts = zip(last.tolist(), self.counts.tolist(), expected, strict=True)
+            same = np.array([b"".join(pieces[c - n : c]) == e for c, n, e in cuts], bool)
+        ends = total[1:] - np.repeat(first, self.counts)
+        odd = np.zeros(len(sizes), bool)
+        odd[self.of()[self.ends != ends]] = True
+        self.ends = np.where(odd[self.of()], ends, self.ends)
+        return same
+
+    def only(self, parts: np.ndarray) -> Tokens:
+        held = parts[self.of()]
+        return Tokens(self.ids[held], self.ends[held], np.where(parts, self.counts, 0))
+
+
+def align(a: Tokens, b: Tokens, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Groups and links of two cuts of the same parts, ``sizes`` bytes each.
+
+    Returns A ids and B ids of all links in order, the numbers of groups and of
+    links per part, and the groups of each part as ``a1,a2|b1;a3|b2`` (parts of
+    size 0 are left out there).
+    """
+    base = np.cumsum(sizes) - sizes
+    a_end, b_end = a.ends + base[a.of()], b.ends + base[b.of()]
+    # between two cuts of any side lies one link
+    cuts = np.union1d(a_end, b_end)
+    links = a.ids[np.searchsorted(a_end, cuts)], b.ids[np.searchsorted(b_end, cuts)]
+    common = np.intersect1d(a_end, b_end, assume_unique=True)
+    part_ends = base + sizes
+    per_part = [
+        np.bincount(np.searchsorted(part_ends, x), minlength=len(sizes)) for x in (common, cuts)
+    ]
+    a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+    a_sep = (a_end == common[a_group]).astype(np.int64)
+    b_last = b_end == common[b_group]
+    b_sep = np.where(b_last, np.where(np.isin(b_end, part_ends), 2, 1), 0)
+    order = np.argsort(np.concatenate([a_group * 2, b_group * 2 + 1]), kind="stable")
+    number = np.concatenate([a.ids, b.ids])[order].tolist()
+    separator = np.array([",", "|", ";", "\n"], object)
+    after = separator[np.concatenate([a_sep, np.array([0, 2, 3])[b_sep]])[order]].tolist()
+    text = "".join([f"{n}{s}" for n, s in zip(number, after, strict=True)])
+    return *links, *per_part, text.split("\n")[:-1]
 
 
 class SegmentTable:
@@ -156,42 +228,56 @@ class SegmentTable:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
+        self.used = np.zeros(0, np.int64)  # times that each segment was asked for
         self.sizes = array("q")  # A tokens, B tokens, groups, links, 0 if the bytes differ
         self.pairs = array("i")  # numbers of pairs, in the order of links
         self.begin = array("q", [0])
         self.pair_number: dict[int, int] = {}
 
+    def forget(self, keep: int) -> None:
+        """Keep the ``keep`` segments asked for most often; pairs get new numbers."""
+        used, names, groups = self.used, list(self.number), self.groups
+        sizes, begin = np.array(self.sizes, np.int64).reshape(-1, 5), np.array(self.begin, np.int64)
+        keys = np.fromiter(self.pair_number, np.int64, len(self.pair_number))[np.array(self.pairs, np.int64)]
+        kept = np.sort(np.argsort(-used, kind="stable")[:keep])
+        self.clear()
+        self.number = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.groups = [groups[i] for i in kept.tolist()]
+        self.used = used[kept]
+        links = sizes[kept, 3]
+        place = np.repeat(begin[kept] - np.cumsum(links) + links, links) + np.arange(int(links.sum()))
+        self._add(sizes[kept], keys[place])
+
+    def _add(self, sizes: np.ndarray, keys: np.ndarray) -> None:
+        pairs, place = np.unique(keys, return_inverse=True)
+        number = self.pair_number
+        numbers = np.array([number.setdefault(p, len(number)) for p in pairs.tolist()], np.int32)
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.pairs.frombytes(numbers[place].tobytes())
+        self.begin.frombytes((self.begin[-1] + np.cumsum(sizes[:, 3])).astype(np.int64).tobytes())
+
     def learn(self, parts: list[str]) -> None:
         known = self.tokenizers
-        for part, (a_ids, a_ends), (b_ids, b_ends) in zip(
-            parts, known.encode_a(parts), known.encode_b(parts), strict=True
-        ):
-            expected = b" " + part.encode("utf-8", "surrogatepass")
-            groups: list[str] = []
-            links: list[tuple[int, int]] = []
-            same = all(
-                b"".join([decoded[t] for t in ids]) == expected
-                for ids, decoded in ((a_ids, known.a_bytes), (b_ids, known.b_bytes))
-            )
-            if same:
-                groups, links = align(
-                    a_ids,
-                    _true_ends(a_ids, a_ends, known.a_bytes, len(expected)),
-                    b_ids,
-                    _true_ends(b_ids, b_ends, known.b_bytes, len(expected)),
-                )
-            self.number[part] = len(self.groups)
-            self.groups.append(";".join(groups))
-            self.sizes.extend((len(a_ids) * same, len(b_ids) * same, len(groups), len(links), same))
-            number = self.pair_number
-            self.pairs.extend([number.setdefault(a << 32 | b, len(number)) for a, b in links])
-            self.begin.append(len(self.pairs))
+        expected = [b" " + p.encode("utf-8", "surrogatepass") for p in parts]
+        a, b = known.encode_a(parts), known.encode_b(parts)
+        same = a.faithful(known.a_bytes, known.a_size, expected) & b.faithful(known.b_bytes, known.b_size, expected)
+        a, b = a.only(same), b.only(same)
+        sizes = np.where(same, np.fromiter(map(len, expected), np.int64, len(expected)), 0)
+        left, right, n_groups, n_links, groups = align(a, b, sizes)
+        first = len(self.groups)
+        self.number.update(zip(parts, range(first, first + len(parts)), strict=True))
+        given = iter(groups)
+        self.groups += [next(given) if ok else "" for ok in same.tolist()]
+        self._add(np.stack([a.counts, b.counts, n_groups, n_links, same], axis=1), left << 32 | right)
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         fresh = [p for p in dict.fromkeys(parts) if p not in self.number]
-        if fresh:
-            self.learn(fresh)
-        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        for begin in range(0, len(fresh), _LEARN):
+            self.learn(fresh[begin : begin + _LEARN])
+        numbers = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        self.used = np.concatenate([self.used, np.zeros(len(self.groups) - len(self.used), np.int64)])
+        self.used += np.bincount(numbers, minlength=len(self.used))
+        return numbers
 
     def joined_bytes_agree(self, text: str) -> bool:
         """Whether the bytes of the whole text agree although those of a segment do not."""
@@ -200,7 +286,7 @@ class SegmentTable:
             (self.tokenizers.encode_a, self.tokenizers.a_bytes),
             (self.tokenizers.encode_b, self.tokenizers.b_bytes),
         ):
-            if b"".join(decoded[t] for ids, _ in encode(segments(text)) for t in ids) != expected:
+            if b"".join(decoded[t] for t in encode(segments(text)).ids.tolist()) != expected:
                 return False
         return True
 
@@ -312,7 +398,6 @@ def aligned_chunks(docs: DataFrame, paths: Callable[[], tuple[str, str]], chunk_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _segment_table(*paths())
-        table.clear()
         chunk = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         held = 0
@@ -330,7 +415,7 @@ def aligned_chunks(docs: DataFrame, paths: Callable[[], tuple[str, str]], chunk_
                 yield from closed()
                 chunk, rows, held = chunk + 1, [], 0
                 if len(table.number) >= MEMORY:
-                    table.clear()
+                    table.forget(MEMORY // 3)
         yield from closed()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")

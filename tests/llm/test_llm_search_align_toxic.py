@@ -174,8 +174,8 @@ def test_segments_are_tokenised_as_in_the_whole(known):
         parts = token_alignment.segments(text)
         assert " " + text == "".join(" " + p for p in parts)
         whole = known.a.encode(" " + text, add_special_tokens=False).ids
-        assert [t for ids, _ in known.encode_a(parts) for t in ids] == whole
-        assert [t for ids, _ in known.encode_b(parts) for t in ids] == known.b.encode(text)
+        assert known.encode_a(parts).ids.tolist() == whole
+        assert known.encode_b(parts).ids.tolist() == known.b.encode(text)
 
 
 def test_coarse_cuts_are_refined_to_the_decoded_bytes(known):
@@ -183,9 +183,10 @@ def test_coarse_cuts_are_refined_to_the_decoded_bytes(known):
     for text in alignment_texts(rng):
         for part in token_alignment.segments(text or "x"):
             for encode, decoded in ((known.encode_a, known.a_bytes), (known.encode_b, known.b_bytes)):
-                ids, ends = encode([part])[0]
+                tokens = encode([part])
+                ids = tokens.ids.tolist()
                 if b"".join(decoded[t] for t in ids) == b" " + part.encode():
-                    assert ends == np.cumsum([len(decoded[t]) for t in ids]).tolist(), (part, ids)
+                    assert tokens.ends.tolist() == np.cumsum([len(decoded[t]) for t in ids]).tolist(), (part, ids)
 
 
 def test_no_piece_goes_on_behind_a_blank(known):
@@ -201,8 +202,23 @@ def test_alignment_forgets_segments_and_takes_empty_tables(spark, known, monkeyp
     assert rows_of(token_alignment.align_documents(nothing, both_tokenizers)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
     table = token_alignment.SegmentTable(known)
     first = list(token_alignment.aligned_texts(table, ["a b a", None]))
-    table.clear()
-    assert [x[:2] for x in token_alignment.aligned_texts(table, ["a b a", None])] == [x[:2] for x in first]
+    for keep in (2, 1, 0):
+        table.forget(keep)
+        assert len(table.number) == len(table.groups) == keep
+        assert [x[:2] for x in token_alignment.aligned_texts(table, ["a b a", None])] == [x[:2] for x in first]
+
+
+def test_forgetting_between_texts_changes_nothing(spark, known, monkeypatch):
+    docs = list(enumerate(alignment_texts(random.Random(4))))
+    monkeypatch.setattr(token_alignment, "MEMORY", 100)
+    monkeypatch.setattr(token_alignment, "_LEARN", 7)
+    table = token_alignment.SegmentTable(known)
+    wanted = {d: (sizes, digest) for d, *sizes, _, _, digest in aligned_by_hand(known, docs)}
+    for doc, text in docs:
+        for sizes, digest, numbers, times in token_alignment.aligned_texts(table, [text]):
+            assert (sizes, digest) == wanted[doc] and int(times.sum()) == sizes[3] and len(numbers) == len(set(numbers.tolist()))
+        if len(table.number) > 100:
+            table.forget(30)
 
 
 def test_given_documents_are_aligned(spark, known):
