@@ -35,7 +35,7 @@ from paperloom.llm.common import run_hashes, slices, stored, word_hashes
 #: lengths of the character n-grams
 LENGTHS = (3, 5)
 #: labelled rows of each label, terms and neighbours of a model
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS = 8192, 4096, 24
+MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS = 8192, 512, 24
 #: least document frequency of a term
 LEAST_DOCS = 4
 #: examples of a block of the index, and documents that are looked up together
@@ -45,6 +45,8 @@ PRIOR = 1.0
 #: score from which a text is toxic
 THRESHOLD = 0.7
 _PARTIAL = 200_000
+#: vectors that a task scores, about
+_ROWS = 10_000
 _VECTORS = "terms array<int>, tfs array<int>"
 
 
@@ -443,7 +445,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
     held = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toPandas()  # at most max_terms rows
     df = np.zeros(len(terms))
     df[held["term"].to_numpy(np.int64)] = held["count"]
-    idf = np.log((1 + vectors.count()) / (1 + df)) + 1
+    rows = vectors.count()
+    idf = np.log((1 + rows) / (1 + df)) + 1
     model = spark.sparkContext.broadcast(learn(spark, examples, terms, idf))  # max_examples, max_terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,7 +481,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
                 ["doc_id", "held_out", "score", "predicted", "evidence"],
             )
 
-    return vectors.mapInArrow(
+    # vectors are small beside the work they make: deal them out by rows, not by bytes
+    return vectors.repartition(1 + rows // _ROWS).mapInArrow(
         run,
         "doc_id long, held_out boolean, score double, predicted int, "
         "evidence array<struct<doc_id: long, cosine: double, toxic: double>>",
