@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     in_parallel = ("--parallelism", {"type": int})
     job("create")
     job("compact", ("table", {"help": "name of the table"}))
-    job("import-metadata", ("path", {}), ("--max-records", {"type": int}), ("--failfast", {"action": "store_true"}))
+    job("import-metadata", ("path", {}), ("--max-records", {"type": int}), ("--failfast", {"action": "store_true"}), ("--strict", {"action": "store_true", "help": "all or nothing: refuse ids that are stored or repeated"}))
     job("import-labels", ("path", {}))
     job("prepare-papers", ("--limit", {"type": int}))
     job("prepare-labeling", ("question_id", {"type": int}), ("--date-after", {"default": fixed.DEFAULT_DATE_AFTER}))
@@ -39,6 +39,9 @@ def parser() -> argparse.ArgumentParser:
     job("prepare-download", ("label_id", {"type": int}))
     job("run-download", ("available", {"help": "Parquet folder of (artifact_id, kind)"}), ("--limit", {"type": int, "default": fixed.DEFAULT_DOWNLOADS}))
     job("unpack", ("archives", {}))
+    job("resolve-rejected", ("available", {"help": "Parquet folder of (artifact_id, kind)"}), ("unpack_run", {"type": int, "help": "newest unpack run that counts"}))
+    job("delete-metadata", ("ids", {"help": "Parquet folder of (id)"}))
+    job("delete-labels", ("ids", {"type": int, "nargs": "+"}))
     job("convert-md", model, ("tex", {"help": "Parquet folder of (id, text)"}), ("pages", {"help": "Parquet folder of (id, page_no, text)"}), in_parallel)
     for report in ("stats", "metadata-stats", "list-labels", "list-questions", "download-queue", "integrity"):
         job(report)
@@ -56,9 +59,7 @@ def run(args: argparse.Namespace, corpus: Corpus) -> object:
     actions = {
         "create": lambda: corpus.create(),
         "compact": lambda: corpus.compact(args.table, numbered),
-        "import-metadata": lambda: corpus.import_metadata(
-            args.path, numbered, at, args.max_records, "failfast" if args.failfast else "quarantine"
-        ),
+        "import-metadata": lambda: import_metadata(args, corpus),
         "import-labels": lambda: corpus.import_taxonomy(args.path, numbered, at),
         "prepare-papers": lambda: corpus.prepare_papers(numbered, at, args.limit),
         "prepare-labeling": lambda: corpus.prepare_labeling(args.question_id, numbered, args.date_after),
@@ -68,6 +69,11 @@ def run(args: argparse.Namespace, corpus: Corpus) -> object:
         "prepare-download": lambda: corpus.prepare_downloads(args.label_id, numbered, at),
         "run-download": lambda: corpus.resolve_downloads(read(args.available), numbered, at, args.limit),
         "unpack": lambda: corpus.unpack(args.archives, numbered),
+        "resolve-rejected": lambda: corpus.resolve_rejected(read(args.available), args.unpack_run, numbered, at),
+        "delete-metadata": lambda: corpus.delete_metadata(read(args.ids), numbered),
+        "delete-labels": lambda: corpus.delete_labels(
+            corpus.spark.createDataFrame([(i,) for i in args.ids], "id int"), numbered
+        ),
         "convert-md": lambda: corpus.convert(
             read(args.tex), read(args.pages), load(args.model), numbered, parallelism=args.parallelism
         ),
@@ -81,6 +87,15 @@ def run(args: argparse.Namespace, corpus: Corpus) -> object:
     return actions[args.job]()
 
 
+def import_metadata(args: argparse.Namespace, corpus: Corpus) -> dict[str, int]:
+    mode = "failfast" if args.failfast else "quarantine"
+    if not args.strict:
+        return corpus.import_metadata(args.path, args.run_id, args.as_of, args.max_records, mode)
+    if args.max_records is not None:
+        raise SystemExit("--strict loads the whole dump: leave out --max-records")
+    return corpus.insert_strict(args.path, args.run_id, args.as_of, mode)
+
+
 def report(rows: DataFrame, output: str | None) -> None:
     """All rows: as JSON lines in a folder, or one after the other on the console."""
     if output:

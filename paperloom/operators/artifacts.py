@@ -78,6 +78,29 @@ def resolve_downloads(pending: DataFrame, available: DataFrame, refused: DataFra
     )
 
 
+def rejected_choices(choices: DataFrame, rejects: DataFrame) -> DataFrame:
+    """(arxiv_id) whose chosen source is an archive that was rejected.
+
+    ``choices``: (arxiv_id, artifact_id, kind). The artifact may be filed under
+    another id than the paper's own, as that of its previous version.
+    """
+    refused = refused_sources(rejects).select(F.col("artifact_id"), F.col("kind")).distinct()
+    return choices.join(refused, ["artifact_id", "kind"], "left_semi").select("arxiv_id").distinct()
+
+
+def resolve_again(choices: DataFrame, available: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Next choices after some archives were rejected; what was chosen well stays.
+
+    ``rejects`` (id, reason) are all rejected archives so far. An id that falls
+    to another source may be rejected once more, so this is repeated with the
+    rejects of the newly unpacked archives until none of the choices is among
+    them: twice at most, as there are two versions.
+    """
+    again = rejected_choices(choices, rejects)
+    settled = resolve_downloads(again, available, refused_sources(rejects))
+    return choices.join(again, "arxiv_id", "left_anti").unionByName(settled)
+
+
 def download_statistics(resolved: DataFrame, requested: int) -> DataFrame:
     return resolved.agg(
         F.lit(requested).cast("long").alias("requested"),

@@ -100,6 +100,38 @@ def delete_metadata(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, D
     }
 
 
+def removed_with_metadata(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """Keys of all rows that go when papers' metadata (``ids``: column id) is deleted, by table.
+
+    Only keys are read; a stored table is cut to them, not written anew.
+    """
+    gone = ids.select(F.col("id").alias("metadata_id")).distinct()
+    keys = {
+        name: tables[name].select(TABLES[name][1]).join(gone, "metadata_id", "left_semi")
+        for name in ("metadata_labels", "labeling_queue")
+    }
+    return {"metadata": tables["metadata"].select("id").join(ids.select("id"), "id", "left_semi"), **keys}
+
+
+def papers_without_metadata(papers: DataFrame, ids: DataFrame) -> DataFrame:
+    """The papers that lose their reference when metadata (``ids``: column id) is deleted."""
+    gone = ids.select(F.col("id").alias("metadata_id")).distinct()
+    return papers.join(gone, "metadata_id", "left_semi").withColumn("metadata_id", F.lit(None).cast("string"))
+
+
+def removed_with_labels(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """Keys of all rows that go when labels (``ids``: column id) are deleted, by table."""
+    gone = ids.select(F.col("id").alias("label_id")).distinct()
+    questions = tables["questions"].join(gone, "label_id", "left_semi").select("id")
+    asked = questions.select(F.col("id").alias("question_id"))
+    return {
+        "labels": tables["labels"].select("id").join(ids.select("id"), "id", "left_semi"),
+        "questions": questions,
+        "labeling_queue": tables["labeling_queue"].select(TABLES["labeling_queue"][1]).join(asked, "question_id", "left_semi"),
+        "metadata_labels": tables["metadata_labels"].select(TABLES["metadata_labels"][1]).join(gone, "label_id", "left_semi"),
+    }
+
+
 def delete_labels(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """Next state after deleting labels (``ids``: column id): their questions, the
     jobs queued for those questions and the labels given to papers go with them."""

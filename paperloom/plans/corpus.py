@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import fixed_values as fixed
 from ..operators import artifacts, catalog, conversion, ingest, integrity, keyed, labeling, queues
 from ..operators.shared import only_for
-from ..schemas import TABLES
+from ..schemas import RECORDS, TABLES
 from ..sources import archives, files
 from ..sources.changelog import ChangeLog, check_run
 
@@ -55,7 +55,7 @@ class Corpus:
     root: str
 
     def log(self, name: str) -> ChangeLog:
-        schema, keys = TABLES[name]
+        schema, keys = {**TABLES, **RECORDS}[name]
         return ChangeLog(self.spark, f"{self.root}/{name}", schema, keys, name in _INSERT_ONLY)
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
@@ -63,10 +63,16 @@ class Corpus:
         return self.log(name).current(before, self.finished_runs())
 
     def create(self) -> None:
-        for name in TABLES:
+        for name in (*TABLES, *RECORDS):
             self.log(name).create()
         self._finish(-1)
 
+    @_job
+    def load(self, tables: dict[str, DataFrame], run_id: int) -> None:
+        """Store rows that were prepared elsewhere, as they are."""
+        for name, rows in tables.items():
+            self.log(name).append(rows, run_id)
+
     def finished_runs(self) -> list[int]:
         """Numbers of the jobs that have ended: one number per job."""
         marks = self.spark.read.schema("run long").option("recursiveFileLookup", True)
@@ -104,14 +110,7 @@ class Corpus:
         there with their violations; ``failfast`` fails at the first one and
         leaves the table alone.
         """
-        lines = ingest.json_lines(files.read_json_lines(self.spark, path), files.LINE_ORDER, max_records)
-        checked = ingest.validate(lines)
-        extra = (*files.LINE_ORDER, "value", "violations")
-        rows = ingest.reviewed(ingest.metadata_rows(checked, _time(as_of), extra))
-        if mode != "quarantine":
-            rows = ingest.accept(rows, mode)
-        records = self._stored(rows, "records", run_id)
-        good = ingest.accept(records).drop("value", "violations")
+        good = self._records(path, run_id, as_of, max_records, mode)
         stored = only_for(self.table("metadata", run_id).select("id"), good, ["id"])
         conflicts = self._stored(
             ingest.conflicting_ids(stored, good, files.LINE_ORDER), "conflicts", run_id
@@ -123,6 +122,69 @@ class Corpus:
             "rejected": self.quarantine(run_id).count(),
         }
 
+    def _records(self, path: str, run_id: int, as_of: str, max_records: int | None, mode: str) -> DataFrame:
+        """The good records of a dump as rows of the metadata table, in the folder of the run."""
+        lines = ingest.json_lines(files.read_json_lines(self.spark, path), files.LINE_ORDER, max_records)
+        checked = ingest.validate(lines)
+        extra = (*files.LINE_ORDER, "value", "violations")
+        rows = ingest.reviewed(ingest.metadata_rows(checked, _time(as_of), extra))
+        if mode != "quarantine":
+            rows = ingest.accept(rows, mode)
+        return ingest.accept(self._stored(rows, "records", run_id)).drop("value", "violations")
+
+    @_job
+    def insert_strict(self, path: str, run_id: int, as_of: str, mode: str = "quarantine") -> dict[str, int]:
+        """Add all good records of a dump, or none if an id is stored already or occurs twice.
+
+        The records are staged in the folder of the run, where no reader sees
+        them, and audited by their ids alone; only then they are stored, and
+        they show when the run has ended. The refused ids stay with the run.
+        """
+        staged = self._records(path, run_id, as_of, None, mode).drop(*files.LINE_ORDER)
+        stored = only_for(self.table("metadata", run_id).select("id"), staged, ["id"])
+        refused = self._stored(
+            ingest.metadata_conflicts(stored, staged.select("id")), "refused", run_id
+        ).count()
+        if refused:
+            raise ValueError(f"{refused} ids are stored already or occur twice; nothing was inserted")
+        self.log("metadata").append(staged, run_id)
+        return {
+            "inserted": self.log("metadata").written(run_id).count(),
+            "rejected": self.quarantine(run_id).count(),
+        }
+
+    def refused(self, run_id: int) -> DataFrame:
+        """(id, rows, reason) of the ids for which a strict insert stored nothing."""
+        return self.spark.read.parquet(f"{self.root}/_runs/{run_id}/refused")
+
+    # ---- deletes --------------------------------------------------------
+
+    @_job
+    def delete_metadata(self, ids: DataFrame, run_id: int) -> dict[str, int]:
+        """Delete papers' metadata (``ids``: column id) with their labels and queued jobs.
+
+        The papers stay and lose their reference. Returns removed rows by table.
+        """
+        ids = self._stored(ids.select("id").distinct(), "ids", run_id)
+        tables = {name: self.table(name, run_id) for name in ("metadata", "metadata_labels", "labeling_queue")}
+        papers = integrity.papers_without_metadata(self.table("papers", run_id), ids)
+        self.log("papers").append(papers, run_id)
+        return self._remove(integrity.removed_with_metadata(tables, ids), run_id)
+
+    @_job
+    def delete_labels(self, ids: DataFrame, run_id: int) -> dict[str, int]:
+        """Delete labels (``ids``: column id) with their questions, the jobs for these and the given labels."""
+        ids = self._stored(ids.select("id").distinct(), "ids", run_id)
+        names = ("labels", "questions", "labeling_queue", "metadata_labels")
+        return self._remove(integrity.removed_with_labels({n: self.table(n, run_id) for n in names}, ids), run_id)
+
+    def _remove(self, keys: dict[str, DataFrame], run_id: int) -> dict[str, int]:
+        # all keys are looked up before anything is removed: a run reads the tables as of before it
+        stored = {name: self._stored(rows, f"removed-{name}", run_id) for name, rows in keys.items()}
+        for name, rows in stored.items():
+            self.log(name).remove(rows, run_id)
+        return {name: rows.count() for name, rows in stored.items()}
+
     def quarantine(self, run_id: int) -> DataFrame:
         """(value, violations) of the records an import rejected."""
         return ingest.quarantined(self.spark.read.parquet(f"{self.root}/_runs/{run_id}/records"))
@@ -249,18 +311,24 @@ class Corpus:
             "updated_at", _time(as_of)
         )
         self.log("download_queue").append(changed, run_id)
+        self.log("choices").append(resolved, run_id)
         return _counts(artifacts.download_statistics(resolved, requested))
 
     def resolved(self, run_id: int) -> DataFrame:
         """What a download run chose: (arxiv_id, download_status, rank, artifact_id, kind)."""
         return self.spark.read.parquet(f"{self.root}/_runs/{run_id}/resolved")
 
+    @_job
     def unpack(self, archives_path: str, run_id: int) -> int:
-        """Store the main TeX file of every archive in a folder; returns their number."""
+        """Store the main TeX file of every archive in a folder; returns their number.
+
+        The archives that cannot be used are recorded: no later choice takes them.
+        """
         members = self._stored(
             archives.read_members(files.read_archives(self.spark, archives_path)), "members", run_id
         )
-        self._stored(artifacts.rejected_archives(members), "rejects", run_id)
+        rejects = self._stored(artifacts.rejected_archives(members), "rejects", run_id)
+        self.log("rejects").append(rejects, run_id)
         return self._stored(artifacts.main_tex(members), "tex", run_id).count()
 
     def rejects(self, run_id: int) -> DataFrame:
@@ -269,21 +337,28 @@ class Corpus:
 
     @_job
     def resolve_rejected(self, available: DataFrame, unpack_run: int, run_id: int, as_of: str) -> dict[str, int]:
-        """Settle again the completed downloads whose archive an unpack run rejected.
+        """Settle again the downloads whose chosen archive was rejected by unpack runs up to ``unpack_run``.
 
-        The rejected sources count as not on offer, so each id falls through to
-        its PDF, then to the previous version, and fails if there is neither.
+        The record of choices leads from a rejected archive back to the papers
+        that took it, also as their previous version. All rejected sources count
+        as not on offer, so each id falls through to its PDF, then to the
+        previous version, and fails if there is neither. Repeat it after the
+        next unpack run, until nothing is attempted any more.
         """
-        rejects = self.rejects(unpack_run)
+        if run_id <= unpack_run:
+            raise ValueError(f"run {run_id} cannot follow the unpack run {unpack_run}")
+        rejects = self.table("rejects", unpack_run + 1)
         queue = self.table("download_queue", run_id)
-        again = only_for(queue, rejects.select(F.col("id").alias("arxiv_id")), ["arxiv_id"])
-        return self._settle(queue, again, available, artifacts.refused_sources(rejects), run_id, as_of, again.count())
+        lost = self._stored(artifacts.rejected_choices(self.table("choices", run_id), rejects), "again", run_id)
+        again = only_for(queue, lost, ["arxiv_id"])
+        return self._settle(queue, again, available, artifacts.refused_sources(rejects), run_id, as_of, lost.count())
 
     def unpacked(self, run_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/_runs/{run_id}/tex")
 
     # ---- conversion -----------------------------------------------------
 
+    @_job
     def convert(
         self,
         tex: DataFrame,
@@ -304,7 +379,7 @@ class Corpus:
         self.spark.createDataFrame([], "id string, md string, source string").write.mode(
             "overwrite"
         ).parquet(f"{path}/run=-1")
-        done = files.read_markdown(self.spark, path).filter(F.col("run") < run_id).select("id").distinct()
+        done = self._markdown().filter(F.col("run") < run_id).select("id").distinct()
 
         open_tex = tex.join(done, "id", "left_anti")
         converted, refused = None, open_tex
@@ -348,8 +423,12 @@ class Corpus:
         )
         return _counts(conversion.conversion_statistics(plan))
 
+    def _markdown(self) -> DataFrame:
+        """Markdown of the runs that have ended."""
+        return files.read_markdown(self.spark, f"{self.root}/markdown").filter(F.col("run").isin(*self.finished_runs()))
+
     def markdown(self) -> DataFrame:
-        return files.read_markdown(self.spark, f"{self.root}/markdown").select("id", "md", "source")
+        return self._markdown().select("id", "md", "source")
 
     # ---- reports --------------------------------------------------------
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import fixed_values as fixed
-from .queries import AS_OF, CHUNK_CHARS, LABEL_ID, QUESTION_ID
+from .queries import AS_OF, CHUNK_CHARS, LABEL_ID, MANY, QUESTION_ID
 from .views import ansi_views
 
 
@@ -244,6 +244,8 @@ resolved AS (
   SELECT i.arxiv_id, CASE WHEN h.arxiv_id IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS download_status,
     h.rank, h.candidate AS artifact_id, h.kind
   FROM ids i LEFT JOIN hits h ON h.arxiv_id = i.arxiv_id)"""
+# no unusable archive at all: what repeated choices end in
+_RESOLVED_USABLE = _RESOLVED.replace("a.kind = 'src' AND", "a.kind IN ('stored', 'src') AND")
 
 _ARCHIVES = """
 packed AS (
@@ -353,6 +355,13 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN id IN (SELECT id FROM stored) THEN 'stored' ELSE 'repeated' END AS reason
           FROM accepted WHERE update_date IS NOT NULL GROUP BY id
           HAVING count(*) > 1 OR id IN (SELECT id FROM stored)""",
+        "strict_insert": views("metadata_lines", "metadata", "metadata_labels") + f""", {_ROWS},
+          dated AS (SELECT * FROM accepted WHERE update_date IS NOT NULL)
+          SELECT id, title, 'stored' AS outcome FROM metadata WHERE id IN (SELECT id FROM stored)
+          UNION ALL SELECT id, title, 'stored' FROM dated
+            WHERE line_no < 1000000000000 AND id NOT IN (SELECT id FROM stored)
+          UNION ALL SELECT id, CASE WHEN id IN (SELECT id FROM stored) THEN 'stored' ELSE 'repeated' END, 'refused'
+            FROM dated GROUP BY id HAVING count(*) > 1 OR id IN (SELECT id FROM stored)""",
         "taxonomy_seed": views("seed_documents", "taxonomy_labels", "questions")
         + f""", {_SEED} SELECT 'question' AS kind, id, name, prompt, label_id FROM new_questions
           UNION ALL SELECT 'label', id, name, NULL, NULL FROM new_labels""",
@@ -408,6 +417,9 @@ def oracle_sql() -> dict[str, str]:
         "pending_downloads": views("download_queue")
         + f"""SELECT arxiv_id, CAST(created_at AS VARCHAR) AS created_at FROM download_queue
           WHERE download_status = 'PENDING' ORDER BY download_queue.created_at, arxiv_id LIMIT {fixed.DEFAULT_DOWNLOADS}""",
+        "pending_downloads_many": views("download_queue")
+        + f"""SELECT arxiv_id, CAST(created_at AS VARCHAR) AS created_at FROM download_queue
+          WHERE download_status = 'PENDING' ORDER BY download_queue.created_at, arxiv_id LIMIT {MANY}""",
         "failed_downloads": views("download_queue")
         + "SELECT arxiv_id, CAST(created_at AS VARCHAR) AS created_at FROM download_queue WHERE download_status = 'FAILED'",
         "enum_violations": views("raw_papers")
@@ -528,6 +540,26 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT 'labeling_queue', metadata_id || '|' || coalesce(CAST(question_id AS VARCHAR), 'NULL') FROM labeling_queue
             WHERE metadata_id NOT IN (SELECT id FROM gone)
               AND (question_id IS NULL OR question_id NOT IN (SELECT id FROM lost_questions))""",
+        "stored_delete": views(*_TABLE_VIEWS) + """,
+          gone AS (SELECT id FROM metadata WHERE doi = ''), lost AS (SELECT id FROM taxonomy_labels WHERE id < 5),
+          lost_questions AS (SELECT id FROM questions WHERE label_id IN (SELECT id FROM lost))
+          SELECT 'metadata' AS table_name, id AS key FROM metadata WHERE id NOT IN (SELECT id FROM gone)
+          UNION ALL SELECT 'papers', arxiv_id || '|' || coalesce(CASE WHEN metadata_id IN (SELECT id FROM gone) THEN NULL ELSE metadata_id END, 'NULL') FROM papers
+          UNION ALL SELECT 'labels', CAST(id AS VARCHAR) FROM taxonomy_labels WHERE id NOT IN (SELECT id FROM lost)
+          UNION ALL SELECT 'questions', CAST(id AS VARCHAR) FROM questions WHERE label_id NOT IN (SELECT id FROM lost)
+          UNION ALL SELECT 'metadata_labels', metadata_id || '|' || CAST(label_id AS VARCHAR) FROM metadata_labels
+            WHERE metadata_id NOT IN (SELECT id FROM gone) AND label_id NOT IN (SELECT id FROM lost)
+          UNION ALL SELECT 'labeling_queue', metadata_id || '|' || coalesce(CAST(question_id AS VARCHAR), 'NULL') FROM labeling_queue
+            WHERE metadata_id NOT IN (SELECT id FROM gone)
+              AND (question_id IS NULL OR question_id NOT IN (SELECT id FROM lost_questions))""",
+        "insert_log_current": views("metadata") + """,
+          rows AS (SELECT id, md5(abstract) AS digest, CAST(id AS BIGINT) AS n FROM metadata),
+          stored AS (SELECT id, digest, 2 AS run FROM rows WHERE n % 3 = 0
+            UNION ALL SELECT id, digest, 3 + n % 5 FROM rows WHERE n % 3 = 1
+            UNION ALL SELECT id, 'again', 4 + n % 9 FROM rows WHERE n % 8 = 0),
+          removed AS (SELECT id, 3 + n % 7 AS run FROM rows WHERE n % 4 = 0)
+          SELECT id, digest FROM stored s
+          WHERE NOT EXISTS (SELECT 1 FROM removed r WHERE r.id = s.id AND r.run >= s.run)""",
         "max_version": views("metadata") + f", {_VERSIONS} SELECT id, version FROM highest",
         "last_version_id": views("metadata") + f", {_VERSIONS} SELECT id, paper_id FROM paper_ids",
         "prev_version": views("papers") + """SELECT arxiv_id,
@@ -607,6 +639,8 @@ def oracle_sql() -> dict[str, str]:
         "label_stream": views(*_LABELING_VIEWS) + f", {_JOBS}, {_JUDGED}, {_UPSERTED} SELECT {_UPSERT_COLUMNS} FROM upserted",
         "resolve_downloads": views("download_queue", "available") + f""", {_RESOLVED}
           SELECT arxiv_id, download_status, CAST(rank AS INT) AS rank, artifact_id, kind FROM resolved""",
+        "resolve_rejected": views("download_queue", "available") + f""", {_RESOLVED_USABLE}
+          SELECT arxiv_id, download_status, CAST(rank AS INT) AS rank, artifact_id, kind FROM resolved""",
         "papers_prepare": views("metadata") + f""", {_VERSIONS}
           SELECT paper_id AS arxiv_id, 'PENDING' AS download_status, 'PENDING' AS download_type, 'PENDING' AS llm_check_status,
             {_STAMP} AS created_at, {_STAMP} AS updated_at, id AS metadata_id

@@ -21,8 +21,10 @@ from ..operators import (
 from ..session import shared_folder
 from ..operators.shared import only_for
 from ..sources import files
-from ..sources.changelog import merged
+from ..schemas import TABLES
+from ..sources.changelog import merged, without_removed
 from ..streaming.labeling import reply_log, start_labeling
+from .corpus import Corpus
 from .views import BASE_TABLES, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,7 @@ AS_OF = "2025-10-15 12:00:00"
 LABEL_ID = 1
 QUESTION_ID = 3
 CHUNK_CHARS = 500
+MANY = 2500
 
 
 def _as_of() -> Column:
@@ -149,6 +152,22 @@ def metadata_insert_conflicts(v):
     return ingest.metadata_conflicts(_stored_metadata(v), ingest.dated(_accepted_rows(v)))
 
 
+@query
+def strict_insert(v):
+    """A load with ids that are stored or repeated is refused whole, one without them is stored."""
+    stored, lines = _stored_metadata(v), v("metadata_lines")
+    corpus = _scratch_corpus({"metadata": stored})
+    known = stored.select(F.col("id").cast("long").alias("line_no"))
+    for name, rows in (("all", lines), ("new", lines.filter("line_no < 1000000000000").join(known, "line_no", "left_anti"))):
+        rows.select("value").write.text(f"{corpus.root}/_dumps/{name}")
+    try:
+        corpus.insert_strict(f"{corpus.root}/_dumps/all", 2, AS_OF)
+    except ValueError:
+        refused = corpus.refused(2).select("id", F.col("reason").alias("title"), F.lit("refused").alias("outcome"))
+    corpus.insert_strict(f"{corpus.root}/_dumps/new", 3, AS_OF)
+    return corpus.table("metadata").select("id", "title", F.lit("stored").alias("outcome")).unionByName(refused)
+
+
 @query
 def taxonomy_seed(v):
     """Like the job: items and new labels are written, and read by what follows."""
@@ -341,6 +360,12 @@ def pending_downloads(v):
     return catalog.pending_downloads(v("download_queue")).select("arxiv_id", "created_at")
 
 
+@query
+def pending_downloads_many(v):
+    """More rows than any task keeps: the limit is found on ranges of the order columns."""
+    return catalog.pending_downloads(v("download_queue"), MANY).select("arxiv_id", "created_at")
+
+
 @query
 def failed_downloads(v):
     return catalog.failed_downloads(v("download_queue"))
@@ -522,6 +547,48 @@ def cascade_delete(v):
     tables = _tables(v)
     tables = integrity.delete_metadata(tables, tables["metadata"].filter("doi = ''").select("id"))
     tables = integrity.delete_labels(tables, tables["labels"].filter("id < 5").select("id"))
+    return _row_keys(tables)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """As the jobs do between their steps: written and read back."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _scratch_corpus(tables: dict[str, DataFrame]) -> Corpus:
+    """A stored corpus of its own that holds ``tables`` since its run 1."""
+    spark = next(iter(tables.values())).sparkSession
+    corpus = Corpus(spark, shared_folder(spark, "corpus"))
+    corpus.create()
+    corpus.load(tables, 1)
+    return corpus
+
+
+@query
+def stored_delete(v):
+    """The same deletes as jobs on stored tables, one of them after a compaction."""
+    corpus = _scratch_corpus(_tables(v))
+    gone = corpus.table("metadata").filter("doi = ''").select("id")
+    corpus.compact("metadata", 2)
+    corpus.delete_metadata(gone, 3)
+    corpus.delete_labels(corpus.table("labels").filter("id < 5").select("id"), 4)
+    return _row_keys({name: corpus.table(name) for name in TABLES})
+
+
+@query
+def insert_log_current(v):
+    """An insert-only table: a base, later rows, removals, and keys that came back."""
+    rows = v("metadata").select("id", _digest("abstract"), F.col("id").cast("long").alias("n"))
+    base = rows.filter("n % 3 = 0").select("id", "digest", F.lit(2).cast("long").alias("run"))
+    inserted = rows.filter("n % 3 = 1").select("id", "digest", (3 + F.col("n") % 5).alias("run"), F.lit(0).alias("deleted"))
+    removed = rows.filter("n % 4 = 0").select("id", F.lit(None).cast("string").alias("digest"), (3 + F.col("n") % 7).alias("run"), F.lit(1).alias("deleted"))
+    again = rows.filter("n % 8 = 0").select("id", F.lit("again").alias("digest"), (4 + F.col("n") % 9).alias("run"), F.lit(0).alias("deleted"))
+    return without_removed(base, inserted.unionByName(removed).unionByName(again), ["id"])
+
+
+def _row_keys(tables: dict[str, DataFrame]) -> DataFrame:
     keys = {
         "metadata": ["id"], "papers": ["arxiv_id", "metadata_id"], "labels": ["id"],
         "questions": ["id"], "metadata_labels": ["metadata_id", "label_id"],
@@ -742,6 +809,20 @@ def resolve_downloads(v):
     return _resolved(v)
 
 
+@query
+def resolve_rejected(v):
+    """Archives that turn out to be broken: each id falls on, twice at most, to what can be used."""
+    pending, available = v("download_queue").filter("download_status = 'PENDING'"), v("available")
+    choices, rejects = _written(artifacts.resolve_downloads(pending, available), "choices"), None
+    for _ in range(2):
+        unpacked = choices.filter("kind IN ('stored', 'src')").select(F.col("artifact_id").alias("id"))
+        broken = unpacked.filter("md5(id) < '8'").withColumn("reason", F.lit("unreadable"))
+        rejects = broken if rejects is None else rejects.unionByName(broken)
+        rejects = _written(rejects.distinct(), "rejects")
+        choices = _written(artifacts.resolve_again(choices, available, rejects), "choices")
+    return choices
+
+
 @query
 def papers_prepare(v):
     stored = v("metadata").filter("doi = ''").select(

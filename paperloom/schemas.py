@@ -61,6 +61,10 @@ DOWNLOAD_QUEUE = _table(
     ("updated_at", _TS, True),
 )
 
+# What a download run chose for an id, and the archives that could not be used.
+CHOICES = _table(("arxiv_id", _S, False), ("rank", _I, True), ("artifact_id", _S, True), ("kind", _S, True))
+REJECTS = _table(("id", _S, False), ("reason", _S, False))
+
 # table -> (schema, key columns)
 TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "metadata": (METADATA, ["id"]),
@@ -71,3 +75,8 @@ TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "labeling_queue": (LABELING_QUEUE, ["metadata_id", "question_id"]),
     "download_queue": (DOWNLOAD_QUEUE, ["arxiv_id"]),
 }
+# records that jobs keep beside the tables
+RECORDS: dict[str, tuple[T.StructType, list[str]]] = {
+    "choices": (CHOICES, ["arxiv_id"]),
+    "rejects": (REJECTS, ["id"]),
+}

@@ -19,8 +19,6 @@ SETTINGS = {
     # JSON objects with a repeated key keep the last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Beyond this many rows an ordered limit is a range sort, not a heap in each task.
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Long texts travel to the Python workers: bound a batch by bytes, too.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
@@ -53,3 +51,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="paperloom-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of :func:`shared_folder` that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -20,7 +22,11 @@ from ..operators.shared import first_per_key
 
 @dataclass(frozen=True)
 class ChangeLog:
-    """``insert_only`` tables never change a stored row: reading them needs no shuffle."""
+    """``insert_only`` tables never change a stored row.
+
+    Reading them needs no window and no shuffle of their rows: only the removed
+    keys are folded, and the rows are anti-joined with them.
+    """
 
     spark: SparkSession
     path: str
@@ -43,9 +49,7 @@ class ChangeLog:
         self._write(rows.select(columns), run_id, deleted=0)
 
     def remove(self, keys: DataFrame, run_id: int) -> None:
-        """Store the keys of removed rows."""
-        if self.insert_only:
-            raise ValueError("rows of an insert-only table cannot be removed")
+        """Store the keys of removed rows. In an insert-only table they hide the rows of earlier runs."""
         check_run(run_id)
         self._write(keys.select(self.keys), run_id, deleted=1)
 
@@ -63,7 +67,7 @@ class ChangeLog:
         if runs is not None:
             log = log.filter(F.col("run").isin(*[r for r in runs if r > since]))
         if self.insert_only:
-            return base.select(columns).unionByName(log.select(columns))
+            return without_removed(base.select(*columns, F.lit(since).cast("long").alias("run")), log, self.keys)
         return merged(base.select(columns), log, self.keys)
 
     def written(self, run_id: int) -> DataFrame:
@@ -119,6 +123,19 @@ def merged(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
     return untouched.unionByName(newest.filter("deleted = 0").select(base.columns))
 
 
+def without_removed(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of an insert-only table (``base`` with the ``run`` that wrote it, then the log), without removed ones.
+
+    A removal hides the rows of its key that were stored by its run or before;
+    what a later run inserts counts again. Few removals are broadcast.
+    """
+    columns = [c for c in base.columns if c != "run"]
+    rows = base.unionByName(log.filter("deleted = 0").select(*columns, "run"))
+    removed = log.filter("deleted = 1").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("run").alias("_removed"))
+    gone = reduce(and_, [F.col(k) == F.col(f"_{k}") for k in keys]) & (F.col("_removed") >= F.col("run"))
+    return rows.join(removed, gone, "left_anti").select(columns)
+
+
 def check_run(run_id: int) -> None:
     if run_id < 1:
         raise ValueError("run numbers start at 1")

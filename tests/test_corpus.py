@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tarfile
 
 import pytest
@@ -267,6 +268,106 @@ def test_rejected_archives_fall_through(spark, corpus, tmp_path):
     assert counts == {"COMPLETED": 3, "FAILED": 1, "PENDING": 0}
 
 
+def test_a_rejected_fallback_falls_on(spark, corpus, tmp_path):
+    """The archive of a previous version is filed under another id than the paper that took it."""
+    ids = ["25.001v2", "25.002v2", "25.001v1"]
+    queue = spark.createDataFrame([(i, "PENDING") for i in ids], "arxiv_id string, download_status string")
+    corpus.load({"download_queue": queue}, 1)
+    offers = spark.createDataFrame(
+        [("25.001v1", "src"), ("25.001v1", "pdf"), ("25.002v2", "stored"), ("25.002v1", "src")], "artifact_id string, kind string"
+    )
+    corpus.resolve_downloads(offers, 2, WHEN)
+    assert rows(corpus.table("choices"), "arxiv_id", "rank", "artifact_id") == [
+        ("25.001v1", 1, "25.001v1"), ("25.001v2", 3, "25.001v1"), ("25.002v2", 0, "25.002v2"),
+    ]
+    first, second = tmp_path / "first", tmp_path / "second"
+    for folder, names in ((first, ("25.001v1", "25.002v2")), (second, ("25.002v1",))):
+        folder.mkdir()
+        for name in names:
+            (folder / f"{name}.tar.gz").write_bytes(b"no archive")
+    corpus.unpack(str(first), 3)
+    with pytest.raises(ValueError, match="cannot follow"):
+        corpus.resolve_rejected(offers, 4, 4, WHEN)
+    for _ in range(2):  # a repeated run ends alike
+        assert corpus.resolve_rejected(offers, 3, 4, WHEN) == {"requested": 3, "attempted": 3, "completed": 3, "failed": 0}
+    assert rows(corpus.table("choices"), "arxiv_id", "rank", "artifact_id") == [
+        ("25.001v1", 2, "25.001v1"), ("25.001v2", 4, "25.001v1"), ("25.002v2", 3, "25.002v1"),
+    ]
+    corpus.unpack(str(second), 5)
+    assert corpus.resolve_rejected(offers, 5, 6, WHEN) == {"requested": 1, "attempted": 1, "completed": 0, "failed": 1}
+    assert corpus.resolve_rejected(offers, 5, 7, WHEN)["attempted"] == 0
+    assert dict(rows(corpus.download_summary()[0])) == {"COMPLETED": 2, "FAILED": 1, "PENDING": 0}
+
+
+def test_strict_insert_is_all_or_nothing(spark, corpus, tmp_path):
+    def dump(name, ids):
+        return write_dump(tmp_path / name, [record(i) for i in ids])
+
+    assert corpus.insert_strict(dump("a", (1, 2)), 1, WHEN) == {"inserted": 2, "rejected": 0}
+    reader = corpus.table("metadata")
+    for name, ids, wrong in (("b", (2, 3), [("25.002", "stored")]), ("c", (4, 5, 4), [("25.004", "repeated")])):
+        with pytest.raises(ValueError, match="1 ids are stored already or occur twice"):
+            corpus.insert_strict(dump(name, ids), 2, WHEN)
+        assert rows(corpus.refused(2), "id", "reason") == wrong
+        assert reader.count() == corpus.table("metadata").count() == 2 and 2 not in corpus.finished_runs()
+    # rows that were written by a run that did not end are not seen either
+    corpus.log("metadata").append(reader.withColumn("id", F.concat("id", F.lit("x"))), 3)
+    assert corpus.table("metadata").count() == 2
+    assert corpus.insert_strict(dump("d", (3, 4)), 4, WHEN)["inserted"] == 2
+    assert corpus.insert_strict(dump("d", (3, 4)), 4, WHEN)["inserted"] == 2  # repeated run
+    assert corpus.table("metadata").count() == 4
+
+
+def test_deletes_are_jobs(spark, corpus, tmp_path):
+    papers = spark.createDataFrame([("25.001v1", "25.001"), ("25.002v1", "25.002")], "arxiv_id string, metadata_id string")
+    corpus.import_metadata(write_dump(tmp_path / "d.jsonl", [record(i) for i in (1, 2, 3)]), 1, WHEN)
+    corpus.load(
+        {
+            "papers": papers,
+            "labels": spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"),
+            "questions": spark.createDataFrame([(1, "q", "p", 1), (2, "r", "p", 2)], "id int, name string, prompt string, label_id int"),
+            "metadata_labels": spark.createDataFrame([("25.001", 1), ("25.002", 1), ("25.002", 2)], "metadata_id string, label_id int"),
+            "labeling_queue": spark.createDataFrame([("25.001", 1), ("25.002", 2), ("25.003", 1)], "metadata_id string, question_id int"),
+        },
+        2,
+    )
+    corpus.compact("metadata", 3)
+    gone = spark.createDataFrame([("25.001",), ("25.009",), ("25.001",)], "id string")
+    for _ in range(2):  # a repeated run ends alike
+        assert corpus.delete_metadata(gone, 4) == {"metadata": 1, "metadata_labels": 1, "labeling_queue": 1}
+    assert rows(corpus.table("metadata"), "id") == [("25.002",), ("25.003",)]
+    assert rows(corpus.table("papers"), "arxiv_id", "metadata_id") == [("25.001v1", None), ("25.002v1", "25.002")]
+    for _ in range(2):
+        assert corpus.delete_labels(spark.createDataFrame([(1,)], "id int"), 5) == {
+            "labels": 1, "questions": 1, "labeling_queue": 1, "metadata_labels": 1,
+        }
+    assert rows(corpus.table("questions"), "id") == rows(corpus.table("labels"), "id") == [(2,)]
+    assert rows(corpus.table("metadata_labels"), "metadata_id", "label_id") == [("25.002", 2)]
+    assert rows(corpus.table("labeling_queue")) == [("25.002", 2)]
+    assert corpus.integrity_report().count() == 0
+    # the rows themselves are neither windowed nor shuffled, only the removed keys
+    text = corpus.table("metadata")._jdf.queryExecution().executedPlan().toString()
+    shuffled = re.findall(r"Exchange hashpartitioning.*\n.*", text)
+    assert shuffled and all("partial_max(run" in part for part in shuffled) and "BroadcastHashJoin" in text
+    assert not re.search(r"- Window \[|SortMergeJoin", text)
+    # a deleted id can come back, and a compaction leaves nothing of what is gone
+    assert corpus.import_metadata(write_dump(tmp_path / "e.jsonl", [record(1)]), 6, WHEN)["inserted"] == 1
+    corpus.delete_metadata(spark.createDataFrame([("25.003",)], "id string"), 7)
+    corpus.compact("metadata", 8)
+    assert rows(corpus.table("metadata"), "id") == [("25.001",), ("25.002",)]
+    assert spark.read.parquet(f"{corpus.root}/metadata/_bases/8").count() == 2
+
+
+def test_unfinished_conversions_are_not_seen(spark, corpus):
+    tex = spark.createDataFrame([("a", "x")], "id string, text string")
+    pages = spark.createDataFrame([], "id string, page_no int, text string")
+    corpus.convert(tex, pages, lambda chat: "y", 3)
+    with pytest.raises(ValueError, match="older than run 3"):
+        corpus.convert(tex, pages, lambda chat: "y", 2)
+    files.write_markdown(spark.createDataFrame([("b", "z", "tex")], "id string, md string, source string"), f"{corpus.root}/markdown", 4)
+    assert rows(corpus.markdown(), "id") == [("a",)]
+
+
 def test_reports_are_whole(spark, tmp_path, capsys):
     from paperloom.__main__ import report
 

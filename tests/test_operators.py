@@ -38,10 +38,50 @@ def test_first_n_keeps_the_order(spark, n):
     assert top == list(range(999, 999 - min(n, 1000), -1))
 
 
-@pytest.mark.parametrize("n", [99_999, 100_001])
-def test_first_n_is_one_path(spark, n):
-    df = spark.range(120_000).select(((F.col("id") * 7919) % 120_000).alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
-    assert [r["k"] for r in shared.first_n(df, ["k"], n).select("k").collect()] == list(range(n))
+@pytest.mark.parametrize("n", [99_999, 100_001, 1_000_000])
+def test_first_n_of_many_rows(spark, n):
+    """No step brings the keys or the rows to one task, and none joins them back."""
+    total = n + 20_000
+    df = spark.range(total).select(((F.col("id") * 7919) % total).alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
+    first = shared.first_n(df, ["k"], n)
+    assert [r["k"] for r in first.select("k").toLocalIterator()] == list(range(n))
+    text = first._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in text and "Window" not in text and "Join" not in text and text.count("Range (") == 1
+    last = shared.first_n(df, ["-k"], n)
+    assert last.agg(F.min("k"), F.count("k"), F.count_distinct("v")).first()[:] == (total - n, n, n)
+
+
+def test_first_n_leaves_no_folder(spark, tmp_path, monkeypatch):
+    used = []
+    monkeypatch.setattr(shared, "shared_folder", lambda spark, name: used.append(str(tmp_path / name)) or used[-1])
+    assert shared.first_n(spark.range(3000), ["id"], 2000).count() == 2000
+    assert len(used) == 1 and not list(tmp_path.iterdir())
+
+
+@pytest.mark.parametrize("n", [1, 4, 7, 13])
+def test_first_n_by_several_columns_with_ties(spark, n, monkeypatch):
+    monkeypatch.setattr(shared, "SMALL", 0)
+    stamp = "2025-10-15 12:00:0{}.000001"
+    given = [
+        (a, b, c) for a, b, c in (
+            (None, 1.5, "x"), (None, float("nan"), "y"), (None, None, "z"), (1, 1.5, "a"), (1, 1.5, "b"), (1, 1.5, "b"),
+            (1, 2.5, "c"), (1, 2.5, "c"), (2, None, "d"), (2, -1.0, None), (2, -1.0, None), (3, 0.0, "f"),
+        )
+    ]
+    df = spark.createDataFrame(given, "a int, b double, c string").repartition(3)
+    df = df.withColumn("t", F.when(F.col("a") < 9, F.lit(stamp.format(1))).cast("timestamp_ntz"))
+    for order in (["a", "b"], ["a", "-b"], ["-a", "b"], ["t", "-c"], ["t", "a", "b", "c"], ["-t", "-a"]):
+        keys = [F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order]
+        names = [o.removeprefix("-") for o in order]
+        whole = [tuple(map(str, r)) for r in df.orderBy(*keys).select(*names).collect()]
+        mine = shared.first_n(df, order, n)
+        assert [tuple(map(str, r)) for r in mine.select(*names).collect()] == whole[:n]
+        left = [tuple(map(str, r)) for r in df.collect()]
+        for row in mine.collect():  # rows of the table, none more often than there
+            left.remove(tuple(map(str, row)))
+        assert mine.count() == min(n, 12)
+    keys_only = df.select("a")
+    assert [r["a"] for r in shared.first_n(keys_only, ["a"], n).collect()] == ([None] * 3 + [1] * 5 + [2] * 3 + [3])[:n]
 
 
 def test_first_n_with_ties_and_nulls(spark):
