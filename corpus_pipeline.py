@@ -20,12 +20,16 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what is in no language: null texts and texts without a letter.
+    """Drop what is in no language, and name the language of what has no label.
 
-    A table without labels has no language to predict and keeps all other texts.
+    Null texts and texts without a letter go. The verdict becomes ``lang`` where
+    that is null; a table without labels has no language to predict, and there
+    ``lang`` stays null and all other texts stay.
     """
     predict = langid.language_struct(langid.learn_from(docs), spark)
-    return docs.where(predict(F.col("text"))["lettered"])
+    told = docs.withColumn("__verdict", predict(F.col("text"))).where("__verdict.lettered")
+    named = F.coalesce("lang", F.nullif(F.col("__verdict.lang_pred"), F.lit(langid.UNKNOWN)))
+    return told.withColumn("lang", named).select(docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
