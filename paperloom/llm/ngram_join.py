@@ -101,7 +101,7 @@ class _Slice:
         flat, offsets = gram_sets(texts, words)
         sig, _ = _signatures(flat, offsets)
         self.n = np.diff(offsets)
-        self.sig = (sig >> np.uint64(32)).astype(np.uint32)
+        self.sig = sig
         by_id = np.argsort(ids, kind="stable")
         _, first = np.unique(sig[by_id], return_index=True)
         head = np.zeros(len(texts), bool)
@@ -125,6 +125,8 @@ class _Slice:
     def rows(self) -> Iterator[dict]:
         """What each column block gets of this batch."""
         keys = self.key[self.starts]
+        if not len(keys):  # no text with a word, or none of its n-grams in this part
+            return
         sent, begins = np.unique(keys >> np.uint64(32), return_index=True)
         ends = np.append(begins[1:], len(keys))
         for block, begin, end in zip(sent.tolist(), begins.tolist(), ends.tolist(), strict=True):
@@ -145,11 +147,16 @@ def _frequencies(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per batch how many classes hold each of its single and its several keys."""
     single = [np.frombuffer(v, np.uint32) for v in frame["single"]]
     several = [np.frombuffer(v, np.uint32) for v in frame["several"]]
-    sigs = [np.frombuffer(v, np.uint32) for v in frame["sig"]]
+    sigs = np.concatenate([np.frombuffer(v, np.uint64) for v in frame["sig"]])
     times = [np.frombuffer(v, np.uint32) for v in frame["times"]]
-    pairs = np.unique((np.concatenate(single).astype(np.uint64) << np.uint64(32)) | np.concatenate(sigs))
-    keys = np.concatenate([(pairs >> np.uint64(32)).astype(np.uint32), *several])
-    weights = np.concatenate([np.ones(len(pairs), np.int64), *times]).astype(np.int64)
+    alone = np.concatenate(single)
+    order = np.lexsort((sigs, alone))
+    alone, sigs = alone[order], sigs[order]
+    new = np.ones(len(alone), bool)  # one class counts once for a key, in however many batches it is
+    new[1:] = (alone[1:] != alone[:-1]) | (sigs[1:] != sigs[:-1])
+    alone = alone[new]
+    keys = np.concatenate([alone, *several])
+    weights = np.concatenate([np.ones(len(alone), np.int64), *times]).astype(np.int64)
     known, at = np.unique(keys, return_inverse=True)
     total = np.bincount(at, weights=weights, minlength=len(known)).astype(np.int64)
     look = lambda k: total[np.searchsorted(known, k)] if len(k) else np.zeros(0, np.int64)

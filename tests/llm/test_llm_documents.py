@@ -330,6 +330,53 @@ def test_classes_link_when_documents_descend(spark, slices):
     assert rows_of(ngram_join.drop_near_copies(frame, 3, 80), "doc_id") == sorted(((100 * g + 5,) for g in range(6)), key=repr)
 
 
+def tables_without_grams() -> dict[str, list[tuple]]:
+    """Tables of which a batch has no n-gram, or none in the first count."""
+    rng = random.Random(12)
+    near = prose(rng, 80).split()
+    normal = [(i, prose(rng, 60), "en", "a", 9) for i in range(36)]
+    normal += [(40 + i, " ".join([*near[:40], str(i), *near[40:]]), "en", "a", 9) for i in range(4)]
+    blank = [(100, None, "en", "a", 0), (101, "", "en", "a", 0), (102, " \t\n", None, None, 3)]
+    return {
+        "blank": blank,
+        "hello": [(1, "hello", "en", "a", 5)],
+        "blank file": normal + blank,
+        "long": [(1, "word " * 1_200_000, "en", "a", 9), (2, " ", "en", "a", 1), (3, "one two three four five six", "en", "a", 9)],
+    }
+
+
+@pytest.mark.parametrize("name", list(tables_without_grams()))
+def test_slices_without_grams(spark, name, tmp_path):
+    rows = tables_without_grams()[name]
+    blank = spark.createDataFrame([r for r in rows if r[0] >= 100] or rows, SCHEMA).coalesce(1)
+    blank.write.parquet(f"{tmp_path}/t")
+    if len(rows) > 10:
+        spark.createDataFrame(rows[:-3], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    assert docs.count() == len(rows)
+    for words, percent in ((3, 90), (5, 80)):
+        got = rows_of(ngram_join.jaccard_components(docs, words, percent), "doc_id", "n_shingles", "component_id")
+        assert got == naive_components(rows, words, percent)
+    first = {c for _, n, c in naive_components(rows, 5, 80) if n} | {r[0] for r in rows if r[0] >= 100}
+    kept = {r[0] for r in ngram_join.drop_near_copies(docs).select("doc_id").collect()}
+    assert kept == first | {i for i, n, _ in naive_components(rows, 5, 80) if not n}
+
+
+def test_short_documents_alone_in_their_slice(spark):
+    for i in range(5):
+        docs = spark.createDataFrame([(i, f"just {i}", "en", "a", 6)], SCHEMA)
+        assert rows_of(ngram_join.jaccard_components(docs, 5, 80), "doc_id", "n_shingles", "component_id") == [(i, 1, i)]
+
+
+def test_classes_that_share_half_a_signature_are_two():
+    """Two near copies whose signatures agree in 32 bits: their n-grams are shared."""
+    import pandas as pd
+
+    sig = np.array([7 << 32 | 1, 7 << 32 | 2], np.uint64)
+    posted = [{"single": np.array([5], np.uint32).tobytes(), "several": b"", "sig": sig[i : i + 1].tobytes(), "times": b""} for i in (0, 1, 1)]
+    assert [one.tolist() for one, _ in ngram_join._frequencies(pd.DataFrame(posted))] == [[2], [2], [2]]
+
+
 def test_near_copies_of_nothing(spark, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
     assert ngram_join.drop_near_copies(empty).columns == empty.columns

@@ -267,6 +267,12 @@ def test_pipeline_keeps_documents_without_labels(spark, tmp_path):
     for lang in (lambda i: None, held_out):
         docs = spark.createDataFrame(labelled(lang), SCHEMA)
         assert rows_of(corpus_pipeline.language(spark, docs, ""), "doc_id", "text") == want
+    # with labels, what has none gets the verdict and what has one keeps it
+    given = [(i, ("ab " if i % 2 else "cd ") * 30, ("x", "y")[i % 2] if i < 40 else None, "a", 9) for i in range(50)]
+    given.append((60, "ab ab ab ab", "z", "a", 9))
+    named = corpus_pipeline.language(spark, spark.createDataFrame(given, SCHEMA), "")
+    assert named.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert {(r.doc_id, r.lang) for r in named.collect()} == {(i, ("x", "y")[i % 2]) for i in range(50)} | {(60, "z")}
     rows = [(i, f"a plain text number {i} of a table without labels", None, "a", 9) for i in range(3)] + [(3, "123 --", None, "a", 9)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     packed = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
