@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import exact_dedup, langid, mixing, ngram_join, packing
 from paperloom.llm.common import stored
 from paperloom.llm.registry import byte_bpe
+from paperloom.operators.shared import with_computed
 
 # the mix follows a hash order that SQL shares, but languages, components of
 # near copies and packing are no SQL: tests/llm compares the stages instead
@@ -27,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``lang`` stays null and all other texts stay.
     """
     predict = langid.language_struct(langid.learn_from(docs), spark)
-    told = docs.withColumn("__verdict", predict(F.col("text"))).where("__verdict.lettered")
+    told = with_computed(docs, "__verdict", predict(F.col("text"))).where("__verdict.lettered")
     named = F.coalesce("lang", F.nullif(F.col("__verdict.lang_pred"), F.lit(langid.UNKNOWN)))
     return told.withColumn("lang", named).select(docs.columns)
 
