@@ -42,7 +42,12 @@ def parser() -> argparse.ArgumentParser:
     job("resolve-rejected", ("available", {"help": "Parquet folder of (artifact_id, kind)"}), ("unpack_run", {"type": int, "help": "newest unpack run that counts"}))
     job("delete-metadata", ("ids", {"help": "Parquet folder of (id)"}))
     job("delete-labels", ("ids", {"type": int, "nargs": "+"}))
-    job("convert-md", model, ("tex", {"help": "Parquet folder of (id, text)"}), ("pages", {"help": "Parquet folder of (id, page_no, text)"}), in_parallel)
+    job(
+        "convert-md", model, ("--tex-files", {"help": "folder of *.tex files; only new ones are read"}),
+        ("--unpack-run", {"type": int, "help": "take the texts that this run unpacked"}),
+        ("--pages", {"help": "Parquet folder of (id, page_no, text)"}), in_parallel,
+    )
+    job("list-artifacts", ("folder", {}), ("--pattern", {"default": "*"}))
     for report in ("stats", "metadata-stats", "list-labels", "list-questions", "download-queue", "integrity"):
         job(report)
     return main
@@ -74,9 +79,11 @@ def run(args: argparse.Namespace, corpus: Corpus) -> object:
         "delete-labels": lambda: corpus.delete_labels(
             corpus.spark.createDataFrame([(i,) for i in args.ids], "id int"), numbered
         ),
-        "convert-md": lambda: corpus.convert(
-            read(args.tex), read(args.pages), load(args.model), numbered, parallelism=args.parallelism
+        "convert-md": lambda: corpus.convert_files(
+            load(args.model), numbered, args.tex_files, args.unpack_run,
+            read(args.pages) if args.pages else None, parallelism=args.parallelism,
         ),
+        "list-artifacts": lambda: corpus.artifacts(args.folder, args.pattern),
         "stats": corpus.table_counts,
         "metadata-stats": corpus.metadata_statistics,
         "list-labels": corpus.list_labels,

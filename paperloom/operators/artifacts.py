@@ -17,13 +17,17 @@ def already_downloaded(ids: DataFrame, files: DataFrame, literal_prefix: bool =
 
     ``files`` has a ``path``. By default the id must be the whole file name up
     to an archive suffix. With ``literal_prefix`` any file name that starts
-    with the id counts (so ``v10`` also serves ``v1``): every file name is
-    spelled out into its prefixes, which turns the test into an equi-join.
+    with the id counts (so ``v10`` also serves ``v1``): a file name is cut to
+    those lengths that occur among the ids, which turns the test into an equi-join.
     """
     name = last_segment(F.col("path"))
     if literal_prefix:
-        prefix = F.transform(F.sequence(F.lit(1), F.char_length(name)), lambda n: F.substring(name, F.lit(1), n))
-        known = files.filter(F.char_length(name) > 0).select(F.explode(prefix).alias("arxiv_id"))
+        # one array, as long as ids have different lengths
+        lengths = ids.agg(F.collect_set(F.char_length("arxiv_id")).alias("lengths")).scalar()
+        named = files.select(name.alias("_name"), lengths.alias("_lengths"))
+        fitting = F.filter("_lengths", lambda n: n <= F.char_length("_name"))
+        prefix = F.transform(fitting, lambda n: F.substring(F.col("_name"), F.lit(1), n))
+        known = named.filter("_name <> ''").select(F.explode(prefix).alias("arxiv_id"))
     else:
         known = files.select(archive_id(F.col("path")).alias("arxiv_id"))
     return only_for(ids, known, ["arxiv_id"])

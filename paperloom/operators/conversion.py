@@ -54,6 +54,17 @@ def join_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def newest_files(listing: DataFrame, done: DataFrame) -> DataFrame:
+    """Of each id without Markdown the file that came last: (id, batch, path).
+
+    ``listing``: (id, batch, path), the batch in which a file was first seen;
+    of several files of one batch the greatest path. ``done``: (id).
+    """
+    newest = listing.groupBy("id").agg(F.max(F.struct("batch", "path")).alias("_file"))
+    chosen = newest.select("id", F.col("_file.batch").alias("batch"), F.col("_file.path").alias("path"))
+    return chosen.join(done.select("id"), "id", "left_anti")
+
+
 def conversion_plan(artifacts: DataFrame) -> DataFrame:
     """What happens to each id: (id, tex_action, pdf_action), NULL without a source.
 

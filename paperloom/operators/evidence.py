@@ -27,12 +27,34 @@ def evidence_records(replies: DataFrame) -> DataFrame:
     return rows.select("id", "_record.*", (F.col("_object") & (known | ~found)).alias("valid"))
 
 
+# distinct quotes of one document that are looked up side by side
+QUOTES = 1024
+
+
 def verify_quotes(records: DataFrame, texts: DataFrame) -> DataFrame:
-    """Keep the records and add ``quote_found``: is the quote literally in the source text?"""
-    sources = texts.select("id", F.col("text").alias("_text"))
-    quote = F.coalesce("direct_citaat", F.lit(""))
-    found = (quote != "") & F.coalesce(F.contains("_text", quote), F.lit(False))
-    return records.join(sources, "id", "left").withColumn("quote_found", found).drop("_text")
+    """Keep the records and add ``quote_found``: is the quote literally in the source text?
+
+    ``texts``: (id, text), one row per id. The distinct quotes of a document are
+    brought together first, so its text meets one row with all of them, not a row
+    per record; only a document with more than ``QUOTES`` distinct quotes is met
+    by one row for each ``QUOTES`` of them.
+    """
+    quotes = records.filter("direct_citaat <> ''").select("id", "direct_citaat").distinct()
+    many = quotes.groupBy("id").agg(F.count(F.lit(1)).alias("_quotes")).filter(F.col("_quotes") > QUOTES)
+    parts = F.coalesce(F.ceil(F.col("_quotes") / QUOTES), F.lit(1))
+    asked = (
+        quotes.join(many, "id", "left")
+        .groupBy("id", F.pmod(F.xxhash64("direct_citaat"), parts).alias("_part"))
+        .agg(F.collect_list("direct_citaat").alias("_asked"))
+    )
+    held = F.filter("_asked", lambda quote: F.contains(F.col("_text"), quote))
+    found = (
+        asked.join(texts.select("id", F.col("text").alias("_text")), "id")
+        .select("id", F.explode(held).alias("direct_citaat"))
+        .withColumn("_found", F.lit(True))
+    )
+    kept = records.join(found, ["id", "direct_citaat"], "left")
+    return kept.select(*records.columns, F.coalesce("_found", F.lit(False)).alias("quote_found"))
 
 
 def theme_of(data_point: Column) -> Column:

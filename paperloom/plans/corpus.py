@@ -423,6 +423,39 @@ class Corpus:
         )
         return _counts(conversion.conversion_statistics(plan))
 
+    def convert_files(
+        self,
+        model: labeling.ChatModel,
+        run_id: int,
+        tex_files: str | None = None,
+        unpack_run: int | None = None,
+        pages: DataFrame | None = None,
+        **options: object,
+    ) -> dict[str, int]:
+        """Markdown from a folder of ``*.tex`` files, from what an unpack run found, or both.
+
+        Files that earlier runs saw are not read again: their texts are kept, and
+        those that have their Markdown are left out before any text is looked at.
+        An unpacked text goes before a file of the same id, the file that came
+        last before others. ``options`` as for :meth:`convert`.
+        """
+        check_run(run_id)
+        spark, none = self.spark, self.spark.createDataFrame([], "id string, text string")
+        tex = none if unpack_run is None else self.unpacked(unpack_run).select("id", "text")
+        if tex_files is not None:
+            table = f"{self.root}/_texts/tex"
+            files.collect_texts(spark, tex_files, "*.tex", table, f"{self.root}/_texts/tex-seen")
+            collected = files.read_collected(spark, table)
+            chosen = conversion.newest_files(collected, tex.select("id"))
+            tex = tex.unionByName(collected.join(chosen, ["id", "batch", "path"], "left_semi").select("id", "text"))
+        if pages is None:
+            pages = spark.createDataFrame([], "id string, page_no int, text string")
+        return self.convert(tex, pages, model, run_id, **options)
+
+    def artifacts(self, path: str, pattern: str) -> DataFrame:
+        """(id, path, size) of the files in a folder; their content is not read."""
+        return files.list_artifacts(self.spark, path, pattern)
+
     def _markdown(self) -> DataFrame:
         """Markdown of the runs that have ended."""
         return files.read_markdown(self.spark, f"{self.root}/markdown").filter(F.col("run").isin(*self.finished_runs()))

@@ -560,6 +560,10 @@ def oracle_sql() -> dict[str, str]:
           removed AS (SELECT id, 3 + n % 7 AS run FROM rows WHERE n % 4 = 0)
           SELECT id, digest FROM stored s
           WHERE NOT EXISTS (SELECT 1 FROM removed r WHERE r.id = s.id AND r.run >= s.run)""",
+        "files_to_convert": views("files") + """
+          SELECT id, batch, path FROM (SELECT id, path, length(path) % 3 AS batch,
+              row_number() OVER (PARTITION BY id ORDER BY length(path) % 3 DESC, path DESC) AS rn FROM files)
+          WHERE rn = 1 AND id NOT IN (SELECT id FROM files WHERE path LIKE '%7.tex')""",
         "max_version": views("metadata") + f", {_VERSIONS} SELECT id, version FROM highest",
         "last_version_id": views("metadata") + f", {_VERSIONS} SELECT id, paper_id FROM paper_ids",
         "prev_version": views("papers") + """SELECT arxiv_id,
@@ -650,6 +654,9 @@ def oracle_sql() -> dict[str, str]:
             bronvermelding, valid FROM records""",
         "quote_check": views("evidence_replies", "metadata")
         + f", {_EVIDENCE} SELECT id, direct_citaat, quote_found FROM verified",
+        "quote_check_many": views("quotes", "metadata") + """
+          SELECT q.id, direct_citaat, coalesce(direct_citaat <> '' AND contains(m.abstract, direct_citaat), false) AS quote_found
+          FROM quotes q LEFT JOIN metadata m ON m.id = q.id""",
         "evidence_verdicts": views("evidence_verdicts") + f""", {_VERDICTS}
           SELECT id, datapunt_id, passed, remarks FROM verdicts""",
         "evidence_summary": views("evidence_replies", "metadata", "evidence_verdicts") + f""", {_EVIDENCE}, {_VERDICTS}, {_COUNTED}

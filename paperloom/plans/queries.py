@@ -729,6 +729,15 @@ def tex_fallback(v):
     ).select("id", "way", _digest("md"))
 
 
+@query
+def files_to_convert(v):
+    """The last file of each id, from a listing in batches, for ids without Markdown."""
+    listing = v("files").select(
+        artifacts.archive_id(F.col("id")).alias("id"), "path", (F.char_length("path") % 3).alias("batch")
+    )
+    return conversion.newest_files(listing, v("files").filter("path LIKE '%7.tex'"))
+
+
 @query
 def conversion_plan(v):
     return conversion.conversion_plan(v("sources"))
@@ -847,6 +856,13 @@ def quote_check(v):
     return evidence.verify_quotes(records, source).select("id", "direct_citaat", "quote_found")
 
 
+@query
+def quote_check_many(v):
+    """Several quotes of each document, repeated ones, and one document with very many."""
+    source = v("metadata").select("id", F.col("abstract").alias("text"))
+    return evidence.verify_quotes(v("quotes"), source)
+
+
 def _validated(v) -> DataFrame:
     records = evidence.evidence_records(v("evidence_replies"))
     source = v("metadata").select("id", F.col("abstract").alias("text"))

@@ -233,6 +233,21 @@ VIEWS: dict[str, str] = {
               replace(replace(split_part(text, ' ', 3), chr(34), ''), chr(92), '') END
             || '","bronvermelding":"' || source || '"}}' || chr(10) || '```' END AS reply
         FROM @documents""",
+    "quotes": " UNION ALL ".join(
+        f"""
+        SELECT lpad(CAST(doc_id AS STRING), 12, '0') AS id, {quote} AS direct_citaat FROM @documents"""
+        for quote in (
+            "split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)",
+            "split_part(text, ' ', 5)",
+            "split_part(text, ' ', 5)",
+            "split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 2)",
+            "CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN source ELSE 'not in the text' END",
+            "CAST(NULL AS STRING)",
+        )
+    )
+    + """
+        UNION ALL
+        SELECT '000000000007', split_part(text, ' ', 4) FROM @documents""",
     "evidence_verdicts": f"""
         SELECT lpad(CAST(doc_id AS STRING), 12, '0') AS id, {_DATA_POINT} AS datapunt_id, CASE CAST(doc_id % 11 AS INT)
           WHEN 0 THEN 'no verdict' WHEN 1 THEN '{{"validatie_geslaagd":false,"opmerkingen":"wrong value"}}'

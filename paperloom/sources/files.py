@@ -50,6 +50,37 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.tex") -> DataFr
     return files.select(file_stem(F.col("path")).alias("id"), utf8(F.col("content")).alias("text"))
 
 
+def collect_texts(
+    spark: SparkSession, path: str, pattern: str, table: str, checkpoint: str, max_bytes: int = 64 << 30
+) -> None:
+    """Add the text files of a folder that were not seen before to the Parquet folder ``table``.
+
+    The checkpoint keeps which files were seen, so a later run lists the folder
+    and reads the new ones only, about ``max_bytes`` of them at a time. Readers
+    of a batch get files by their sizes. A batch that is repeated replaces itself.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = (
+        spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern)
+        .option("maxBytesPerTrigger", str(max_bytes)).option("maxFileAge", "36500d").load(path)
+    )
+    rows = found.select(
+        file_stem(F.col("path")).alias("id"), "path", F.col("length").alias("size"), utf8(F.col("content")).alias("text")
+    )
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    empty = spark.createDataFrame([], rows.schema)
+    empty.write.mode("overwrite").parquet(f"{table}/batch=-1")
+    rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_collected(spark: SparkSession, table: str) -> DataFrame:
+    """(id, path, size, text, batch) of all files that :func:`collect_texts` has added."""
+    return spark.read.schema("id string, path string, size long, text string, batch long").parquet(table)
+
+
 def utf8(content: Column) -> Column:
     raw = content.cast("string")
     # genuine replacement characters step aside while bad bytes become and leave as such

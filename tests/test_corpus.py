@@ -192,6 +192,35 @@ def test_files_to_markdown(spark, corpus, tmp_path):
     assert corpus.markdown().count() == 3
 
 
+def test_conversion_from_folders(spark, corpus, tmp_path):
+    archives, folder = tmp_path / "archives", tmp_path / "tex"
+    archives.mkdir(), folder.mkdir()
+    with tarfile.open(archives / "25.001v1.tar.gz", "w:gz") as tar:
+        entry = tarfile.TarInfo("main.tex")
+        entry.size = 6
+        tar.addfile(entry, io.BytesIO(b"packed"))
+    (folder / "25.001v1.tex").write_text("file")
+    (folder / "25.002v1.tex").write_text("two")
+    (folder / "notes.txt").write_text("no")
+    asked = lambda chat: chat[-1]["content"][-6:].strip()
+    corpus.unpack(str(archives), 1)
+    stats = corpus.convert_files(asked, 2, str(folder), 1)
+    assert stats["converted_tex"] == 2 and rows(corpus.markdown(), "id", "md") == [("25.001v1", "packed"), ("25.002v1", "two")]
+    table = f"{corpus.root}/_texts/tex"
+    seen = files.read_collected(spark, table)
+    assert rows(seen, "id", "size") == [("25.001v1", 4), ("25.002v1", 3)]
+    first = {r["batch"] for r in seen.collect()}
+    (folder / "25.003v1.tex").write_text("three")
+    (folder / "sub").mkdir()
+    stats = corpus.convert_files(asked, 3, str(folder))
+    assert stats == corpus.convert_files(asked, 3, str(folder))  # a repeated run
+    assert stats["tex_found"] == 3 and stats["converted_tex"] == 1 and stats["skipped_existing"] == 2
+    new = files.read_collected(spark, table).filter(~F.col("batch").isin(*first))
+    assert rows(new, "id", "text") == [("25.003v1", "three")]  # only the new file was read
+    assert rows(corpus.markdown(), "id") == [("25.001v1",), ("25.002v1",), ("25.003v1",)]
+    assert rows(corpus.artifacts(str(folder), "*.tex"), "id", "size") == [("25.001v1", 4), ("25.002v1", 3), ("25.003v1", 5)]
+
+
 def test_texts_drop_broken_bytes(spark, tmp_path):
     (tmp_path / "a.tex").write_bytes(b"ok \xff\xfe end")
     (tmp_path / "b.tex").write_bytes("é".encode())

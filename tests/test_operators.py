@@ -542,3 +542,23 @@ def test_only_validated_evidence_counts(spark):
     assert rows(evidence.evidence_metrics(counted), "datapunt_id", "place", "waarde") == [
         ("CODE_CHURN", 0, "1"), ("CODE_CHURN", 1, "2"), ("ONBOARDING", 0, "1"), ("ONBOARDING", 1, "2")
     ]
+
+
+def test_quotes_of_a_document_with_very_many(spark, monkeypatch):
+    from paperloom.operators import evidence
+
+    monkeypatch.setattr(evidence, "QUOTES", 10)
+    text = " ".join(f"w{i}" for i in range(200))
+    quotes = [("a", f"w{i} w{i + 1}") for i in range(150)] + [("a", f"x{i}") for i in range(50)] + [("a", "w1 w2")] * 3
+    quotes += [("b", "only"), ("b", ""), ("b", None), ("none", "w1"), (None, "w1")]
+    records = spark.createDataFrame(quotes, "id string, direct_citaat string").withColumn("n", F.lit(1))
+    found = evidence.verify_quotes(records, spark.createDataFrame([("a", text), ("b", None)], "id string, text string"))
+    assert found.columns == ["id", "direct_citaat", "n", "quote_found"] and found.count() == len(quotes)
+    for r in found.collect():
+        assert r.quote_found == (r.id == "a" and r.direct_citaat in text)
+
+
+def test_prefix_rule_with_ids_of_many_lengths(spark):
+    ids = spark.createDataFrame([("a",), ("ab",), ("abcdef",), ("x",), ("",)], "arxiv_id string")
+    paths = spark.createDataFrame([("s/abc.tar",), ("t/",), ("x",)], "path string")
+    assert rows(artifacts.already_downloaded(ids, paths, literal_prefix=True)) == [("",), ("a",), ("ab",), ("x",)]

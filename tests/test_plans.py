@@ -87,3 +87,15 @@ def test_stream_keeps_seen_jobs_in_state(spark, tmp_path):
     assert [s["operatorName"] for s in state] == ["dedupe"] and state[0]["numRowsTotal"] == 2
     assert any("rocksdb" in name for name in state[0]["customMetrics"])
     assert [s["description"].count("log") for s in stream.recentProgress[0]["sources"]] == [0]
+
+
+def test_a_text_meets_all_its_quotes_at_once(spark):
+    """The distinct quotes of a document are one row before its text is joined; records never meet texts."""
+    text = plan(spark, "quote_check_many")
+    assert text.count("abstract") == 0 or len(re.findall(r"contains\(_text", text)) == 1
+    assert "collect_list(direct_citaat" in text and len(re.findall(r"text#\d+ AS _text", text)) == 1
+
+
+def test_prefixes_are_as_many_as_id_lengths(spark):
+    text = plan(spark, "already_downloaded")
+    assert "collect_set(char_length" in text and "sequence(1" not in text
