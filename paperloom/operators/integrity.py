@@ -23,12 +23,70 @@ UNIQUE = (("labels", ("name",)), ("questions", ("name", "label_id")))
 
 
 def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, rule, key, rows): every key that breaks a rule, with its row count."""
-    checks = [_row_rules(name, df) for name, df in tables.items()]
-    for child, column, parent in FOREIGN_KEYS:
-        if child in tables and parent in tables:
-            checks.append(_orphans(child, tables[child], column, tables[parent]))
-    return reduce(DataFrame.unionByName, checks)
+    """(table_name, rule, key, rows): every key that breaks a rule, with its row count.
+
+    Each table is read once. A row names the keys it takes part in, each with the
+    rule or the parent table it belongs to; all tables are put together and
+    counted by key, side by side and with one shuffle. Copies of a key are
+    counted before they are shuffled.
+    """
+    domains: list[tuple[str, str]] = []  # (table, rule) of own rules, (parent, "") of references
+    unique: list[int] = []
+    references = [fk for fk in FOREIGN_KEYS if fk[0] in tables and fk[2] in tables]
+
+    def domain(table: str, rule: str) -> Column:
+        if (table, rule) not in domains:
+            domains.append((table, rule))
+        return F.lit(domains.index((table, rule)))
+
+    def entry(where: Column, key: Column, role: int) -> Column:
+        return F.struct(where.alias("domain"), key.alias("key"), F.lit(role).alias("role"))
+
+    def entries(table: str, df: DataFrame) -> DataFrame:
+        named = []
+        for rule, columns, broken in _row_rules(table):
+            named.append(entry(domain(table, rule), _key(columns), -1))
+            if broken is None:
+                unique.append(domains.index((table, rule)))
+            else:
+                named[-1] = F.when(broken, named[-1])
+        if any(parent == table for _, _, parent in references):
+            named.append(entry(domain(table, ""), F.col("id").cast("string"), -1))
+        for number, (child, column, parent) in enumerate(references):
+            if child == table:
+                given = F.col(column).cast("string")
+                named.append(F.when(given.isNotNull(), entry(domain(parent, ""), given, number)))
+        return df.select(F.inline(F.array_compact(F.array(*named))))
+
+    put_together = reduce(DataFrame.unionByName, [entries(name, df) for name, df in tables.items()])
+    role = F.col("role")
+    counted = put_together.groupBy("domain", "key").agg(
+        F.count_if(role == -1).alias("own"),
+        F.array(*[F.count_if(role == number) for number in range(len(references))]).alias("children"),
+    )
+    # a reference is broken where no parent has the key, a uniqueness rule from two rows on
+    parents = [number for number, (_, rule) in enumerate(domains) if not rule]
+    broken = (F.col("own") > 1) | ~F.col("domain").isin(*unique)
+    own = F.when(
+        broken & ~F.col("domain").isin(*parents) if parents else broken,
+        F.struct(
+            F.element_at(F.array(*[F.lit(t) for t, _ in domains]), F.col("domain") + 1).alias("table_name"),
+            F.element_at(F.array(*[F.lit(r) for _, r in domains]), F.col("domain") + 1).alias("rule"),
+            "key",
+            F.col("own").alias("rows"),
+        ),
+    )
+    lost = [
+        F.when(
+            (F.col("own") == 0) & (F.col("children")[number] > 0),
+            F.struct(
+                F.lit(child).alias("table_name"), F.lit(f"foreign key {column}").alias("rule"), "key",
+                F.col("children")[number].alias("rows"),
+            ),
+        )
+        for number, (child, column, _) in enumerate(references)
+    ]
+    return counted.select(F.inline(F.array_compact(F.array(own, *lost))))
 
 
 def _key(columns: Sequence[str]) -> Column:
@@ -36,46 +94,17 @@ def _key(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *texts)
 
 
-def _row_rules(table: str, df: DataFrame) -> DataFrame:
-    """Key, NOT NULL, domain and length rules of a table in one scan and one shuffle.
-
-    Each row names the rules it takes part in; a uniqueness rule is broken by
-    keys seen more than once, any other rule by every row that names it.
-    """
+def _row_rules(table: str) -> list[tuple[str, Sequence[str], Column | None]]:
+    """(rule, key columns, broken): without ``broken`` the rule is that no key occurs twice."""
     schema, key = TABLES[table]
-    uniques = {f"primary key {'+'.join(key)}": key}
-    uniques |= {f"unique {'+'.join(cols)}": cols for t, cols in UNIQUE if t == table}
-    broken = {f"not null {f.name}": F.col(f.name).isNull() for f in schema.fields if not f.nullable}
+    rules = [(f"primary key {'+'.join(key)}", key, None)]
+    rules += [(f"unique {'+'.join(columns)}", columns, None) for t, columns in UNIQUE if t == table]
+    rules += [(f"not null {f.name}", key, F.col(f.name).isNull()) for f in schema.fields if not f.nullable]
     if table == "download_queue":
-        broken["check download_status"] = ~F.col("download_status").isin(*fixed.QUEUE_STATUSES)
+        rules.append(("check download_status", key, ~F.col("download_status").isin(*fixed.QUEUE_STATUSES)))
     if table == "labels":
-        broken["length name"] = F.char_length("name") > fixed.LABEL_NAME_MAX_CHARS
-
-    def entry(rule: str, columns: Sequence[str]) -> Column:
-        return F.struct(F.lit(rule).alias("rule"), _key(columns).alias("key"))
-
-    named = [entry(rule, columns) for rule, columns in uniques.items()]
-    named += [F.when(test, entry(rule, key)) for rule, test in broken.items()]
-    counted = (
-        df.select(F.inline(F.array_compact(F.array(*named))))
-        .groupBy("rule", "key")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    return counted.filter((F.col("rows") > 1) | ~F.col("rule").isin(*uniques)).select(
-        F.lit(table).alias("table_name"), "rule", "key", "rows"
-    )
-
-
-def _orphans(child: str, df: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    """Child values without a parent; values are counted first, so hot ones are one row."""
-    values = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    lost = values.join(parent.select(F.col("id").alias(column)), column, "left_anti")
-    return lost.select(
-        F.lit(child).alias("table_name"),
-        F.lit(f"foreign key {column}").alias("rule"),
-        F.col(column).cast("string").alias("key"),
-        "rows",
-    )
+        rules.append(("length name", key, F.char_length("name") > fixed.LABEL_NAME_MAX_CHARS))
+    return rules
 
 
 def delete_metadata(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -14,6 +14,9 @@ from ..functions.text import is_blank_input, user_prompt
 from .queues import JOB_KEY
 from .shared import only_for, with_computed
 
+# Answered rows that leave a task together.
+_ROWS_OUT = 64
+
 # A model call: chat messages in, reply text out. It must be picklable.
 ChatModel = Callable[[list[dict[str, str]]], str]
 
@@ -63,9 +66,12 @@ def ask_model(
 
     ``parallelism`` spreads the rows over that many tasks, each with at most
     ``in_flight`` calls at a time, so the two multiply to the load on the model.
-    Select only what is needed first: all columns travel to Python and back.
+    By default it is the number of cores: rows are few and calls are slow, and a
+    plan that merges small partitions would leave them to one task. Rows come in
+    the order in which they are answered. Select only what is needed first: all
+    columns travel to Python and back.
     """
-    source = df.repartition(parallelism) if parallelism else df
+    source = df.repartition(parallelism or df.sparkSession.sparkContext.defaultParallelism)
     kept_fields = [f for f in df.schema.fields if f.name != prompt]
     result = T.StructType(kept_fields).add("reply", "string").add("error", "string")
     preamble = [{"role": "system", "content": system}] if system is not None else []
@@ -79,17 +85,56 @@ def ask_model(
             return None, f"{type(failure).__name__}: {failure}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
-                outcomes = list(pool.map(call, batch.column(prompt).to_pylist()))
-                kept = batch.drop_columns([prompt])
-                replies = pa.array([reply for reply, _ in outcomes], pa.string())
-                errors = pa.array([error for _, error in outcomes], pa.string())
-                yield kept.append_column("reply", replies).append_column("error", errors)
+        return answered(batches, prompt, call, in_flight)
 
     return source.mapInArrow(run, result)
 
 
+def answered(
+    batches: Iterator[pa.RecordBatch],
+    prompt: str,
+    call: Callable[[str | None], tuple[str | None, str | None]],
+    in_flight: int,
+) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches with ``reply`` and ``error`` for ``prompt``, in the order of the answers.
+
+    Whenever a call ends, the next row is asked, also one of a later batch: a
+    slow call holds up itself only. Batches are read when their rows are needed.
+    """
+
+    def rows() -> Iterator[tuple[pa.RecordBatch, int, str | None]]:
+        for batch in batches:
+            kept = batch.drop_columns([prompt])
+            for place, text in enumerate(batch.column(prompt).to_pylist()):
+                yield kept, place, text
+
+    def out(done: list[tuple[pa.RecordBatch, int, str | None, str | None]]) -> pa.RecordBatch:
+        kept = pa.concat_batches([batch.slice(place, 1) for batch, place, _, _ in done])
+        replies = pa.array([reply for *_, reply, _ in done], pa.string())
+        errors = pa.array([error for *_, error in done], pa.string())
+        return kept.append_column("reply", replies).append_column("error", errors)
+
+    asked: dict = {}
+    done: list[tuple[pa.RecordBatch, int, str | None, str | None]] = []
+    with ThreadPoolExecutor(in_flight) as pool:
+
+        def settle() -> None:
+            for call_ in wait(asked, return_when=FIRST_COMPLETED).done:
+                done.append((*asked.pop(call_), *call_.result()))
+
+        for kept, place, text in rows():
+            if len(asked) >= in_flight:
+                settle()
+            asked[pool.submit(call, text)] = (kept, place)
+            if len(done) >= _ROWS_OUT:
+                yield out(done)
+                done.clear()
+        while asked:
+            settle()
+        for begin in range(0, len(done), _ROWS_OUT):
+            yield out(done[begin : begin + _ROWS_OUT])
+
+
 def classify_jobs(
     enriched: DataFrame,
     model: ChatModel,

@@ -562,3 +562,52 @@ def test_prefix_rule_with_ids_of_many_lengths(spark):
     ids = spark.createDataFrame([("a",), ("ab",), ("abcdef",), ("x",), ("",)], "arxiv_id string")
     paths = spark.createDataFrame([("s/abc.tar",), ("t/",), ("x",)], "path string")
     assert rows(artifacts.already_downloaded(ids, paths, literal_prefix=True)) == [("",), ("a",), ("ab",), ("x",)]
+
+
+# ---- model calls --------------------------------------------------------
+
+
+def _batches(texts, size):
+    import pyarrow as pa
+
+    for begin in range(0, len(texts), size):
+        part = texts[begin : begin + size]
+        yield pa.RecordBatch.from_pydict({"n": list(range(begin, begin + len(part))), "ask": part})
+
+
+def test_a_slow_call_holds_up_itself_only():
+    import threading
+    import time
+
+    running, most, lock = 0, 0, threading.Lock()
+
+    def call(text):
+        nonlocal running, most
+        with lock:
+            running, most = running + 1, max(most, running + 1)
+        time.sleep(0.4 if text == "slow" else 0.002)
+        with lock:
+            running -= 1
+        return text, None
+
+    # ten slow calls, each in another batch
+    texts = ["slow" if i % 100 == 50 else "fast" for i in range(1000)]
+    started = time.perf_counter()
+    rows = [r for b in labeling.answered(_batches(texts, 100), "ask", call, 12) for r in b.to_pylist()]
+    assert time.perf_counter() - started < 2  # one after the other they take 4 s
+    assert 8 <= most <= 12
+    assert sorted(r["n"] for r in rows) == list(range(1000))
+    assert all(r["reply"] == texts[r["n"]] and r["error"] is None for r in rows)
+    assert next(i for i, r in enumerate(rows) if r["reply"] == "slow") > 60  # answers leave as they come
+
+
+def test_answers_of_no_rows_and_of_one():
+    assert list(labeling.answered(iter([]), "ask", lambda t: (t, None), 3)) == []
+    assert list(labeling.answered(_batches([None], 5), "ask", lambda t: (None, "e"), 1))[0].to_pylist() == [
+        {"n": 0, "reply": None, "error": "e"}
+    ]
+
+
+def test_calls_are_spread_over_the_cores(spark):
+    asked = labeling.ask_model(spark.createDataFrame([("a",)] * 40, "ask string"), "ask", lambda chat: "x")
+    assert asked.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

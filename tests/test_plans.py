@@ -99,3 +99,11 @@ def test_a_text_meets_all_its_quotes_at_once(spark):
 def test_prefixes_are_as_many_as_id_lengths(spark):
     text = plan(spark, "already_downloaded")
     assert "collect_set(char_length" in text and "sequence(1" not in text
+
+
+def test_integrity_reads_each_table_once(spark):
+    """Seven views over five base tables: one scan per view's use of a base table, and one shuffle."""
+    text = plan(spark, "integrity_report")
+    assert len(re.findall(r"Exchange hashpartitioning\(domain", text)) == 1
+    assert not re.search(r"Join", text)
+    assert text.count("Generate inline") == 8
