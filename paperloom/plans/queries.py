@@ -18,7 +18,7 @@ from ..operators import (
     artifacts, catalog, conversion, evidence, ingest, integrity, keyed, labeling, messages,
     queues, search,
 )
-from ..session import shared_folder
+from ..session import remove_folder, shared_folder
 from ..operators.shared import only_for
 from ..sources import files
 from ..schemas import TABLES
@@ -796,8 +796,10 @@ def label_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule_model(),
         f"{folder}/replies",
         f"{folder}/checkpoint",
+        remember="30 days",
     )
     stream.awaitTermination()
+    remove_folder(spark, f"{folder}/checkpoint")  # what is left is the log that the result reads
     judged = labeling.judge_replies(reply_log(spark, f"{folder}/replies"))
     labels = view(spark, sf_dir, "metadata_labels")
     return _plain(keyed.upsert_labels(labels, labeling.positive_labels(judged), _as_of()))

@@ -7,12 +7,13 @@ of the reply log, so replays neither lose nor repeat rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import fixed_values as fixed
 from ..operators.labeling import ChatModel, classify_jobs, enrich_jobs
 from ..operators.queues import JOB_KEY
+from ..session import remove_folder
 
 REPLY_LOG = (
     "metadata_id string, question_id int, label_id int, skip_reason string, "
@@ -37,6 +38,7 @@ def start_labeling(
     *,
     in_flight: int = fixed.HOSTED_IN_FLIGHT,
     parallelism: int | None = None,
+    remember: str | None = None,
 ) -> StreamingQuery:
     """Drain what the queue stream holds now, and return the running query.
 
@@ -45,6 +47,13 @@ def start_labeling(
     raw replies are written once per batch and parsed by whoever reads the log,
     so no later action repeats a model call. A batch is what a failure repeats:
     bound it where the queue is read (``maxFilesPerTrigger``).
+
+    ``remember`` (an interval, as ``30 days``) bounds the state: a key is forgotten
+    that long after the batch in which it was first seen, by the time that the
+    checkpoint notes for a batch, so a batch that is run again decides alike. A
+    job that comes back later than that is asked anew, and its answer replaces
+    the earlier one where replies become labels. Without it no key is forgotten.
+    It stays with a checkpoint, as does the number of partitions:
     ``spark.sql.shuffle.partitions`` of the first start stays with the state.
     """
     spark = queue.sparkSession
@@ -61,14 +70,19 @@ def start_labeling(
             in_flight=in_flight, parallelism=parallelism,
         )
         replies.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        remove_folder(batch.sparkSession, fresh)
 
+    jobs = queue.select(*JOB_KEY)
+    if remember is None:
+        unseen = jobs.dropDuplicates(JOB_KEY)
+    else:
+        stamped = jobs.withColumn("_seen", F.current_timestamp()).withWatermark("_seen", remember)
+        unseen = stamped.dropDuplicatesWithinWatermark(JOB_KEY).select(*JOB_KEY)
     before = spark.conf.get(_STATE_STORE, None)
     spark.conf.set(_STATE_STORE, _ROCKSDB)
     try:
         return (
-            queue.select(*JOB_KEY)
-            .dropDuplicates(JOB_KEY)
-            .writeStream.foreachBatch(label)
+            unseen.writeStream.foreachBatch(label)
             .option("checkpointLocation", checkpoint_path)
             .trigger(availableNow=True)
             .start()

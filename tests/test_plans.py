@@ -107,3 +107,26 @@ def test_integrity_reads_each_table_once(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(domain", text)) == 1
     assert not re.search(r"Join", text)
     assert text.count("Generate inline") == 8
+
+
+def test_stream_state_ends(spark, tmp_path):
+    """Keys are forgotten some time after they were seen: the state does not grow with the batches."""
+    from paperloom.plans.queries import rule_model
+    from paperloom.streaming.labeling import reply_log, start_labeling
+
+    source = str(tmp_path / "queue")
+    jobs = spark.range(120).selectExpr("concat('p', id % 100) AS metadata_id", "1 AS question_id", "id")
+    jobs.repartitionByRange(12, "id").drop("id").write.parquet(source)
+    stream = start_labeling(
+        spark.readStream.schema("metadata_id string, question_id int").option("maxFilesPerTrigger", 1).parquet(source),
+        spark.createDataFrame([(1, "Q?", 5)], "id int, prompt string, label_id int"),
+        spark.range(100).selectExpr("concat('p', id) AS id", "'t' AS title", "'x' AS abstract"),
+        rule_model(), str(tmp_path / "log"), str(tmp_path / "checkpoint"), remember="1 second",
+    )
+    stream.awaitTermination()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in stream.recentProgress if p["stateOperators"]]
+    assert len(state) >= 12 and max(state) < 100 and state[-1] < 60
+    replies = reply_log(spark, str(tmp_path / "log"))
+    assert {r[0] for r in replies.select("metadata_id").distinct().collect()} == {f"p{i}" for i in range(100)}
+    assert 100 <= replies.count() <= 120
+    assert not [f for f in (tmp_path / "log-jobs").iterdir() if not f.name.startswith(".")]
