@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     model = ("--model", {"required": True, "help": "module:function that makes the model"})
     in_parallel = ("--parallelism", {"type": int})
     job("create")
+    job("clean", ("before", {"type": int, "help": "runs below this number give up what is no longer needed"}))
     job("compact", ("table", {"help": "name of the table"}))
     job("import-metadata", ("path", {}), ("--max-records", {"type": int}), ("--failfast", {"action": "store_true"}), ("--strict", {"action": "store_true", "help": "all or nothing: refuse ids that are stored or repeated"}))
     job("import-labels", ("path", {}))
@@ -63,6 +64,7 @@ def run(args: argparse.Namespace, corpus: Corpus) -> object:
     numbered, at = args.run_id, args.as_of
     actions = {
         "create": lambda: corpus.create(),
+        "clean": lambda: corpus.clean(args.before),
         "compact": lambda: corpus.compact(args.table, numbered),
         "import-metadata": lambda: import_metadata(args, corpus),
         "import-labels": lambda: corpus.import_taxonomy(args.path, numbered, at),

@@ -20,6 +20,7 @@ from .. import fixed_values as fixed
 from ..operators import artifacts, catalog, conversion, ingest, integrity, keyed, labeling, queues
 from ..operators.shared import only_for
 from ..schemas import RECORDS, TABLES
+from ..session import remove_folder
 from ..sources import archives, files
 from ..sources.changelog import ChangeLog, check_run
 
@@ -87,6 +88,19 @@ class Corpus:
         """Make the current rows of a table its base: later reads skip all earlier changes."""
         self.log(name).compact(run_id, self.finished_runs())
 
+    def clean(self, before: int) -> dict[str, int]:
+        """Remove what finished runs below ``before`` no longer need; returns folders by kind.
+
+        These are their intermediate tables (with the records, rejects and texts
+        that can be asked for by run number) and the changes that a base holds.
+        Nothing of a run that has not finished is touched, nor any current row.
+        """
+        finished = [r for r in self.finished_runs() if 1 <= r < before]
+        for run in finished:
+            remove_folder(self.spark, f"{self.root}/_runs/{run}")
+        logs = [self.log(name).clean(finished) for name in (*TABLES, *RECORDS)]
+        return {"runs": len(finished), "changes": sum(map(len, logs))}
+
     def _stored(self, df: DataFrame, name: str, run_id: int) -> DataFrame:
         """Write an intermediate result and read it back: later steps do not repeat its work."""
         path = f"{self.root}/_runs/{run_id}/{name}"

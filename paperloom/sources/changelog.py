@@ -18,6 +18,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.shared import first_per_key
+from ..session import remove_folder
 
 
 @dataclass(frozen=True)
@@ -79,13 +80,28 @@ class ChangeLog:
     def compact(self, run_id: int, runs: Sequence[int] | None = None) -> None:
         """Write the rows that run ``run_id`` finds as the base, then publish it.
 
-        The runs that the base holds stay where they are until their owner
-        removes them; nothing reads them any more.
+        The base is sorted by the keys, so a reader that asks for some keys skips
+        the row groups without them. The runs that the base holds stay until
+        :meth:`clean`; nothing reads them any more.
         """
         check_run(run_id)
-        self.current(run_id, runs).write.mode("overwrite").parquet(f"{self.path}/_bases/{run_id}")
+        rows = self.current(run_id, runs).repartitionByRange(*self.keys).sortWithinPartitions(*self.keys)
+        rows.write.mode("overwrite").parquet(f"{self.path}/_bases/{run_id}")
         self._publish(run_id)
 
+    def clean(self, runs: Sequence[int]) -> list[int]:
+        """Remove what the newest base has replaced: those of ``runs`` that it holds, and older bases.
+
+        Returns the numbers whose folders went. Readers that started before the
+        newest base was published must have ended.
+        """
+        newest, _ = self._base(None)
+        old = sorted(r for r in runs if 1 <= r < newest)
+        for run in old:
+            for folder in (f"run={run}", f"_bases/{run}", f"_manifests/{run}"):
+                remove_folder(self.spark, f"{self.path}/{folder}")
+        return old
+
     def _publish(self, run_id: int) -> None:
         row = self.spark.createDataFrame([(run_id,)], "base long").coalesce(1)
         row.write.mode("overwrite").parquet(f"{self.path}/_manifests/{run_id}")

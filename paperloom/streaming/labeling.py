@@ -19,6 +19,8 @@ REPLY_LOG = (
     "metadata_id string, question_id int, label_id int, skip_reason string, "
     "reply string, error string"
 )
+# Papers of a batch that are looked up by a filter.
+LOOKED_UP = 1000
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,6 +30,17 @@ def reply_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{REPLY_LOG}, batch long").parquet(path)
 
 
+def papers_of(jobs: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The metadata that a batch of jobs can need.
+
+    Of a batch with up to ``LOOKED_UP`` papers their ids reach the scan as a
+    filter, so a table sorted by id is read only where they are. A larger batch
+    reads the ids of the whole table, and its join picks the papers.
+    """
+    ids = [r[0] for r in jobs.filter("metadata_id IS NOT NULL").select("metadata_id").distinct().limit(LOOKED_UP + 1).collect()]
+    return metadata.filter(F.col("id").isin(ids)) if len(ids) <= LOOKED_UP else metadata
+
+
 def start_labeling(
     queue: DataFrame,
     questions: DataFrame,
@@ -66,7 +79,7 @@ def start_labeling(
         batch.write.mode("overwrite").parquet(fresh)
         jobs = batch.sparkSession.read.schema(batch.schema).parquet(fresh)
         replies = classify_jobs(
-            enrich_jobs(jobs, questions, metadata), model,
+            enrich_jobs(jobs, questions, papers_of(jobs, metadata)), model,
             in_flight=in_flight, parallelism=parallelism,
         )
         replies.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")

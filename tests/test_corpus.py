@@ -404,3 +404,22 @@ def test_reports_are_whole(spark, tmp_path, capsys):
     assert len(capsys.readouterr().out.splitlines()) == 1500
     report(spark.range(1500).select("id"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1500
+
+
+def test_clean_leaves_the_tables_as_they_are(spark, corpus, tmp_path):
+    for run in (1, 2, 4):
+        corpus.import_metadata(write_dump(tmp_path / f"{run}.jsonl", [record(run), record(run + 10)]), run, WHEN)
+    before = rows(corpus.table("metadata"))
+    corpus.compact("metadata", 5)
+    corpus.compact("metadata", 6)
+    corpus.import_metadata(write_dump(tmp_path / "7.jsonl", [record(30)]), 7, WHEN)
+    after = rows(corpus.table("metadata"))
+    assert len(after) == len(before) + 1
+    assert corpus.clean(3) == {"runs": 2, "changes": 2}  # only the one table with a base gives up changes
+    assert rows(corpus.table("metadata")) == after and corpus.quarantine(4).count() == 0
+    corpus.clean(8)
+    assert rows(corpus.table("metadata")) == after
+    folder = tmp_path / "corpus" / "metadata"
+    assert sorted(f.name for f in folder.iterdir() if f.name.startswith("run=")) == ["run=-1", "run=7"]
+    assert [f.name for f in (folder / "_bases").iterdir() if f.is_dir()] == ["6"]
+    assert corpus.import_metadata(write_dump(tmp_path / "8.jsonl", [record(1), record(31)]), 8, WHEN)["inserted"] == 1

@@ -130,3 +130,18 @@ def test_stream_state_ends(spark, tmp_path):
     assert {r[0] for r in replies.select("metadata_id").distinct().collect()} == {f"p{i}" for i in range(100)}
     assert 100 <= replies.count() <= 120
     assert not [f for f in (tmp_path / "log-jobs").iterdir() if not f.name.startswith(".")]
+
+
+def test_a_batch_reads_the_papers_of_its_jobs(spark, tmp_path):
+    from paperloom.streaming import labeling as stream
+
+    papers = spark.range(40_000).selectExpr("lpad(id, 6, '0') AS id", "'t' AS title", "repeat(md5(cast(id as string)), 20) AS abstract")
+    folder = str(tmp_path / "papers")
+    papers.repartitionByRange(8, "id").sortWithinPartitions("id").write.parquet(folder)
+    jobs = spark.createDataFrame([(f"{i:06}", 1) for i in range(9000, 9030)] + [(None, 1)], "metadata_id string, question_id int")
+    read = stream.papers_of(jobs, spark.read.parquet(folder))
+    assert read.count() == 30
+    physical = read._jdf.queryExecution().executedPlan()
+    assert "PushedFilters: [In(id" in physical.toString()
+    many = jobs.unionByName(spark.range(2000).selectExpr("cast(id as string) AS metadata_id", "1 AS question_id"))
+    assert stream.papers_of(many, spark.read.parquet(folder)).count() == 40_000
