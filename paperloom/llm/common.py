@@ -89,10 +89,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    texts: list[str | None], lower: bool = False, key: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and the offset of each text's first word.
 
     ``lower`` folds A-Z only. The offsets have one entry more than the texts.
+    With a random ``key`` nobody can write words beforehand whose hashes agree.
     """
     parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     if lower:
@@ -107,7 +110,7 @@ def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarra
     offsets[-1] = len(starts)
     sizes = ends - starts
     eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
-    hashes = mix(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    hashes = mix((sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(key))
     live = np.flatnonzero(sizes <= _LONG_WORD)
     at = starts[live]
     left = sizes[live]
@@ -120,7 +123,7 @@ def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarra
         more = left > 8
         live, at, left = live[more], at[more] + 8, left[more] - 8
     for i in np.flatnonzero(sizes > _LONG_WORD):
-        digest = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        digest = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, key=key.to_bytes(8) if key else b"").digest()
         hashes[i] = int.from_bytes(digest, "little")
     return hashes, offsets
 

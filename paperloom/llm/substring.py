@@ -15,12 +15,16 @@ the cut with suffixes of several documents is a maximal repeat.
 3. Subtrees. A group sorts its paths; runs of equal paths are the nodes at the
    cut, and each batch learns which of its paths start in a smaller document.
 
-Paths are compared by 64-bit fingerprints of all their words.
+Paths are compared by 128 bits made of all their words: a fixed 64-bit fingerprint
+by which they are sorted, and a second one under a random key of the run, which
+no text can have been written for. The trees are kept as sorted arrays: paths all
+have the depth of the cut, so the nodes above it would decide nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +46,9 @@ _PLACE = np.uint64((1 << 24) - 1)
 
 
 class _Suffixes:
-    """All windows of a batch: row, first word, path fingerprint and prefix."""
+    """All windows of a batch: row, first word, path fingerprint and prefix; with a ``key`` the second fingerprint."""
 
-    def __init__(self, texts: list[str | None], window: int) -> None:
+    def __init__(self, texts: list[str | None], window: int, key: int = 0) -> None:
         prefix = min(PREFIX, window)
         hashes, self.offsets = word_hashes(texts)
         path = run_hashes(hashes, window)
@@ -63,10 +67,11 @@ class _Suffixes:
         name = inside + ((place - inside.astype(np.uint64)) & _PLACE).astype(np.int64)
         self.row, self.first, self.path = row[inside], inside - self.offsets[row[inside]], path[inside]
         self.prefix, self.name = runs[name] if len(inside) else np.zeros(0, np.uint64), name
+        self.check = run_hashes(word_hashes(texts, key=key)[0], window)[inside] if key else self.path
 
     def only(self, keep: np.ndarray) -> None:
         self.row, self.first, self.path = self.row[keep], self.first[keep], self.path[keep]
-        self.prefix, self.name = self.prefix[keep], self.name[keep]
+        self.prefix, self.name, self.check = self.prefix[keep], self.name[keep], self.check[keep]
 
 
 def prefixes(docs: DataFrame, window: int) -> DataFrame:
@@ -84,9 +89,11 @@ def prefixes(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "prefix long, doc_id long")
 
 
-def _shared_suffixes(texts: list, window: int, shared: list[np.ndarray], long: list[np.ndarray]) -> tuple[_Suffixes, np.ndarray]:
+def _shared_suffixes(
+    texts: list, window: int, key: int, shared: list[np.ndarray], long: list[np.ndarray]
+) -> tuple[_Suffixes, np.ndarray]:
     """The suffixes with a shared prefix, and the prefix by which each is dealt out."""
-    found = _Suffixes(texts, window)
+    found = _Suffixes(texts, window, key)
     keep, extended = np.zeros(len(found.row), bool), np.zeros(len(found.row), bool)
     bounds = np.searchsorted(found.row, np.arange(len(texts) + 1))
     for i, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -100,23 +107,23 @@ def _shared_suffixes(texts: list, window: int, shared: list[np.ndarray], long: l
 
 
 def _paths(found: _Suffixes, dealt: np.ndarray, ids: np.ndarray, groups: int) -> tuple[np.ndarray, ...]:
-    """Distinct paths in order of (group, path): group, path, smallest document, and where each suffix went."""
+    """Distinct paths in order: group, both fingerprints, smallest document, and where each suffix went."""
     group = ((dealt >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-    order = np.lexsort((ids[found.row], found.path, group))
-    path, group = found.path[order], group[order]
+    order = np.lexsort((ids[found.row], found.check, found.path, group))
+    path, check, group = found.path[order], found.check[order], group[order]
     new = np.ones(len(path), bool)
-    new[1:] = (path[1:] != path[:-1]) | (group[1:] != group[:-1])
+    new[1:] = (path[1:] != path[:-1]) | (check[1:] != check[:-1]) | (group[1:] != group[:-1])
     number = np.empty(len(path), np.int64)
     number[order] = np.cumsum(new) - 1
-    return group[new].astype(np.int64), path[new], ids[found.row][order][new], number
+    return group[new].astype(np.int64), path[new], check[new], ids[found.row][order][new], number
 
 
-def deep_nodes(path: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def deep_nodes(path: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Per path the smallest document of its node at the cut of the subtree."""
-    order = np.lexsort((doc, path))
-    path, doc = path[order], doc[order]
+    order = np.lexsort((doc, check, path))
+    path, check, doc = path[order], check[order], doc[order]
     new = np.ones(len(path), bool)
-    new[1:] = path[1:] != path[:-1]
+    new[1:] = (path[1:] != path[:-1]) | (check[1:] != check[:-1])
     least = np.empty(len(path), doc.dtype)
     least[order] = doc[new][np.cumsum(new) - 1]
     return least
@@ -202,29 +209,34 @@ def _repeated(docs: DataFrame, window: int, with_text: bool) -> tuple[DataFrame,
     # neighbouring windows share a prefix: about half the words between two prefixes
     groups = max(1, round(total * (window - PREFIX + 2) / 2 / GROUP_PATHS))
     texts = candidates.select("doc_id", "text", "shared", "long")
+    key = secrets.randbits(64) | 1
 
     names = [*_COLUMNS, "kept_text"][: 4 + with_text]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [("group", pa.int64()), ("batch", pa.int64()), ("path", pa.binary()), ("least", pa.binary())]
+            [("group", pa.int64()), ("batch", pa.int64()), ("path", pa.binary()), ("check", pa.binary()), ("least", pa.binary())]
         )
         for number, batch in numbered_slices(batches, "text"):
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
-            found, dealt = _shared_suffixes(batch.column("text").to_pylist(), window, *_lists(batch))
-            group, path, least, _ = _paths(found, dealt, ids, groups)
+            found, dealt = _shared_suffixes(batch.column("text").to_pylist(), window, key, *_lists(batch))
+            group, path, check, least, _ = _paths(found, dealt, ids, groups)
             sent, begins = np.unique(group, return_index=True)
             ends = np.append(begins[1:], len(group))
             rows = [
-                {"group": g, "batch": number, "path": path[b:e].tobytes(), "least": least[b:e].tobytes()}
+                {
+                    "group": g, "batch": number, "path": path[b:e].tobytes(), "check": check[b:e].tobytes(),
+                    "least": least[b:e].tobytes(),
+                }
                 for g, b, e in zip(sent.tolist(), begins.tolist(), ends.tolist(), strict=True)
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def subtree(frame: pd.DataFrame) -> pd.DataFrame:
         paths = [np.frombuffer(v, np.uint64) for v in frame["path"]]
+        check = np.concatenate([np.frombuffer(v, np.uint64) for v in frame["check"]])
         doc = np.concatenate([np.frombuffer(v, np.int64) for v in frame["least"]])
-        earlier = np.split(deep_nodes(np.concatenate(paths), doc) < doc, np.cumsum([len(p) for p in paths])[:-1])
+        earlier = np.split(deep_nodes(np.concatenate(paths), check, doc) < doc, np.cumsum([len(p) for p in paths])[:-1])
         return pd.DataFrame(
             {
                 "batch": frame["batch"],
@@ -240,8 +252,8 @@ def _repeated(docs: DataFrame, window: int, with_text: bool) -> tuple[DataFrame,
         texts = texts.reset_index(drop=True)
         ids = texts["doc_id"].to_numpy(np.int64)
         lists = [[np.asarray(v, np.int64).view(np.uint64) for v in texts[c]] for c in ("shared", "long")]
-        found, dealt = _shared_suffixes(texts["text"].tolist(), window, *lists)
-        _, path, least, number = _paths(found, dealt, ids, groups)
+        found, dealt = _shared_suffixes(texts["text"].tolist(), window, key, *lists)
+        *_, least, number = _paths(found, dealt, ids, groups)
         replies = replies.sort_values("group")
         flags = [
             np.unpackbits(np.frombuffer(v, np.uint8), count=n).astype(bool)
@@ -263,7 +275,7 @@ def _repeated(docs: DataFrame, window: int, with_text: bool) -> tuple[DataFrame,
         return pd.DataFrame(result, columns=[*_COLUMNS, "kept_text"])[names]
 
     replies = (
-        texts.mapInArrow(send, "group long, batch long, path binary, least binary")
+        texts.mapInArrow(send, "group long, batch long, path binary, check binary, least binary")
         .groupBy("group")
         .applyInPandas(subtree, "batch long, group long, size long, earlier binary")
     )

@@ -404,6 +404,18 @@ def naive_removal(rows, window):
     return sorted(result, key=repr)
 
 
+def test_words_whose_hashes_agree_are_not_taken_for_repeats(spark):
+    """Two texts that differ in one word, written so that the fixed hash of both words is the same."""
+    twins = ["mntyadvywordtail", "tfxhqggjdqrMhTAF"]
+    assert len(set(common.word_hashes(twins)[0].tolist())) == 1
+    assert len(set(common.word_hashes(twins, key=5)[0].tolist())) == 2
+    words = [f"w{i}" for i in range(59)]
+    texts = [" ".join([*words[:25], twin, *words[25:]]) for twin in twins]
+    rows = [(1, texts[0], "en", "a", 9), (2, texts[1], "en", "a", 9), (3, texts[1], "en", "a", 9)]
+    got = rows_of(substring.remove_repeats(spark.createDataFrame(rows, SCHEMA)), "doc_id", "n_removed")
+    assert got == [(1, 0), (2, 0), (3, 60)]
+
+
 @pytest.mark.parametrize("window", [50, 7, 1])
 def test_repeated_windows_are_removed(spark, docs, window):
     got = substring.remove_repeats(docs, window, with_text=True)
