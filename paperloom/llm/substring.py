@@ -41,7 +41,7 @@ PREFIX = 16
 #: suffixes of one prefix beyond which it is made longer
 GROUP_SUFFIXES = 10_000
 #: paths that a group holds, on average
-GROUP_PATHS = 400_000
+GROUP_PATHS = 200_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -50,6 +50,7 @@ class _Suffixes:
 
     def __init__(self, texts: list[str | None], window: int, key: int = 0) -> None:
         prefix = min(PREFIX, window)
+        check = run_hashes(word_hashes(texts, key=key)[0], window) if key else None
         hashes, self.offsets = word_hashes(texts)
         path = run_hashes(hashes, window)
         row = np.repeat(np.arange(len(texts)), np.diff(self.offsets))
@@ -67,7 +68,7 @@ class _Suffixes:
         name = inside + ((place - inside.astype(np.uint64)) & _PLACE).astype(np.int64)
         self.row, self.first, self.path = row[inside], inside - self.offsets[row[inside]], path[inside]
         self.prefix, self.name = runs[name] if len(inside) else np.zeros(0, np.uint64), name
-        self.check = run_hashes(word_hashes(texts, key=key)[0], window)[inside] if key else self.path
+        self.check = self.path if check is None else check[inside]
 
     def only(self, keep: np.ndarray) -> None:
         self.row, self.first, self.path = self.row[keep], self.first[keep], self.path[keep]
