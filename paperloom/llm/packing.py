@@ -32,8 +32,8 @@ from paperloom.llm.common import slices
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-#: tokens, segments and loss-bearing tokens of one sequence
-LIMITS = (1024, 64, 1024)
+#: tokens, segments and loss-bearing tokens of one sequence; from two tokens a piece on, segments leave no room empty
+LIMITS = (1024, 512, 1024)
 #: pieces that are open for placement at once in one task
 WINDOW = 1 << 15
 #: characters whose classes are the same in every version of Unicode
@@ -194,9 +194,10 @@ def pack_pieces(pieces: DataFrame, limits: tuple[int, int, int] = LIMITS, window
     """Give each piece (``length`` tokens, ``loss`` loss-bearing ones) a place.
 
     Adds ``sequence_id`` and ``offset`` (gapless from 0 in every sequence). A
-    task sorts its share, so it places the same pieces alike when it is repeated,
-    and holds ``window`` pieces at most; fuller sequences are closed window by
-    window. An empty table gives an empty result.
+    task sorts its share, so it places the same pieces alike when it is repeated.
+    It packs about ``window`` pieces at a time and closes the full sequences; of
+    the others those wait for pieces that still fit, up to half a window of
+    pieces, the fullest are closed beyond that. An empty table gives an empty result.
     """
     schema = pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
@@ -207,12 +208,12 @@ def pack_pieces(pieces: DataFrame, limits: tuple[int, int, int] = LIMITS, window
             held.append(frame)
             if sum(map(len, held)) >= window:
                 chunk = pd.concat(held, ignore_index=True)
-                done, left = _place(chunk, limits, base + made, closing=False)
+                done, left = _place(chunk, limits, base + made, waiting=window // 2)
                 made += int(done["sequence_id"].nunique())
                 held = [left]
                 yield done
         if held:
-            yield _place(pd.concat(held, ignore_index=True), limits, base + made, closing=True)[0]
+            yield _place(pd.concat(held, ignore_index=True), limits, base + made, waiting=0)[0]
 
     return (
         pieces.repartition(F.xxhash64("doc_id", "start", "ids_crc32"))
@@ -222,17 +223,21 @@ def pack_pieces(pieces: DataFrame, limits: tuple[int, int, int] = LIMITS, window
 
 
 def _place(
-    chunk: pd.DataFrame, limits: tuple[int, int, int], base: int, closing: bool
+    chunk: pd.DataFrame, limits: tuple[int, int, int], base: int, waiting: int
 ) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Place a window of pieces; what shares a sequence with much free room waits, unless closing."""
+    """Place a window of pieces; up to ``waiting`` pieces in sequences with much free room are left."""
     lengths = chunk["length"].to_numpy(np.int64)
     demands = np.stack([lengths, np.ones_like(lengths), chunk["loss"].to_numpy(np.int64)], axis=1)
     number, offset = np.full(len(chunk), -1, np.int64), np.zeros(len(chunk), np.int64)
-    made = 0
-    for items in pack_vectors(demands, limits):
-        sizes = lengths[items]
-        if not closing and made and sizes.sum() < limits[0] - limits[0] // 64:
+    made, left = 0, 0
+    bins = pack_vectors(demands, limits)
+    fill = np.array([int(lengths[items].sum()) for items in bins], np.int64)
+    for place in np.argsort(fill, kind="stable").tolist():  # the emptiest wait first
+        items = bins[place]
+        if left + len(items) <= waiting and fill[place] < limits[0] - limits[0] // 64:
+            left += len(items)
             continue
+        sizes = lengths[items]
         number[items] = base + made
         offset[items] = np.cumsum(sizes) - sizes
         made += 1

@@ -143,6 +143,34 @@ def test_packing_places_every_id_once(spark, docs, empty):
     check_packing(odd_rows(), packing.pack_pieces(packing.tokenised_pieces(docs, byte_bpe()), window=8).collect())
 
 
+def pieces_of(spark, lengths):
+    rows = [(i, 0, n, n, i, n) for i, n in enumerate(lengths)]
+    ddl = "doc_id long, start long, length long, loss long, ids_crc32 long, doc_tokens long"
+    return spark.createDataFrame(rows, ddl).coalesce(1)
+
+
+def test_pieces_that_leave_room_do_not_pile_up(spark):
+    """600 of 1024 tokens: no second piece fits, so what waits is bounded, and nothing is packed again and again."""
+    import pandas as pd
+
+    chunk = pd.DataFrame({"length": [600] * 100, "loss": [600] * 100})
+    done, left = packing._place(chunk, packing.LIMITS, 0, waiting=32)
+    assert len(left) == 32 and done["sequence_id"].nunique() == len(done) == 68
+    placed = packing.pack_pieces(pieces_of(spark, [600] * 3000), window=64).collect()
+    assert len(placed) == len({r.sequence_id for r in placed}) == 3000
+    # small pieces that come later still fill the room of those that wait
+    mixed = packing.pack_pieces(pieces_of(spark, ([600] * 20 + [400] * 20) * 50), window=256).collect()
+    assert len(mixed) == 2000 and len({r.sequence_id for r in mixed}) < 1100
+
+
+@pytest.mark.parametrize("lengths", [[2] * 6000, [3, 5, 11] * 1500, [7, 400, 13, 300, 2] * 800])
+def test_short_documents_leave_little_padding(spark, lengths):
+    placed = packing.pack_pieces(pieces_of(spark, lengths).repartition(1)).collect()
+    sequences = len({r.sequence_id for r in placed})
+    full = sum(lengths) / 1024
+    assert sequences <= full / 0.95 + spark.sparkContext.defaultParallelism + 8
+
+
 def test_vector_packing_keeps_all_limits():
     rng = np.random.default_rng(4)
     demands = np.stack([rng.integers(1, 400, 3000), np.ones(3000, int), rng.integers(0, 200, 3000)], axis=1)
