@@ -163,7 +163,7 @@ def test_pieces_that_leave_room_do_not_pile_up(spark):
     assert len(mixed) == 2000 and len({r.sequence_id for r in mixed}) < 1100
 
 
-@pytest.mark.parametrize("lengths", [[2] * 6000, [3, 5, 11] * 1500, [7, 400, 13, 300, 2] * 800])
+@pytest.mark.parametrize("lengths", [[2] * 6000, [3, 5, 11] * 1500, [7, 40, 13, 30, 2] * 2000])
 def test_short_documents_leave_little_padding(spark, lengths):
     placed = packing.pack_pieces(pieces_of(spark, lengths).repartition(1)).collect()
     sequences = len({r.sequence_id for r in placed})
