@@ -3,13 +3,18 @@
 Every source is a queue whose documents wait in shuffled order, once per epoch.
 A document's virtual finish time is the cumulative size of its queue up to its
 end, divided by the queue's target; virtual time 1 is where the total budget
-runs out, for all queues at once. The mix is the range-sorted order of finish
-times, cut at virtual time 1; the document that a queue is serving then is
-taken in part.
+runs out, for all queues at once. A document that is in service at time 1 waits
+as two pieces, up to that time and after it.
+
+The mix is the queue of all pieces, range-sorted by finish time and truncated at
+the total budget: the words of each range of the sorted queue are added up, whole
+ranges before the budget's end are taken, and only the range that holds the end
+is summed piece by piece.
 
 The running sums never gather a source in one task: a queue is cut into buckets
 of hash order, bucket sums are added up first, and only the few documents of a
-bucket are summed row by row. The number of buckets follows the number of rows.
+bucket are summed row by row. The number of buckets and of ranges follows the
+number of rows.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from paperloom.llm.common import WORD, stored
 
 #: documents of one queue that share a bucket, on average
 BUCKET_ROWS = 4096
+#: pieces of the sorted queue that share a range, on average
+RANGE_ROWS = 65536
 #: epochs per document
 EPOCHS = 2
 
@@ -76,15 +83,16 @@ def fair_queue(
     epochs: int = EPOCHS,
     seed: int = 17,
 ) -> DataFrame:
-    """Serve ``(doc_id, source, size)`` rows: one row per document and epoch.
+    """Line up ``(doc_id, source, size)`` rows: one piece per document and epoch, or two.
 
     Adds ``copy`` (numbers rows that repeat all three values), ``epoch``,
-    ``source_size``, ``target``, ``start`` and ``finish`` (virtual times) and
-    ``served`` (words taken, partly for the last document of a queue). Rows of
-    size 0 take no time and serve nothing; null sizes count 0; a source of size
-    0 has target 0. Equal hash order falls to doc_id, size and copy. Null ids
-    and sources are ordinary values. An empty table gives an empty result.
-    ``docs`` is read several times: pass a stored table.
+    ``source_size``, ``target``, ``words`` of the piece and its ``start`` and
+    ``finish`` (virtual times: words of the queue per whole word of its target);
+    ``late`` tells a piece that begins when the budget has run out. Rows of size
+    0 are one piece without words; null sizes count 0; a source of size 0 has
+    target 0 and null times. Equal hash order falls to doc_id, size and copy.
+    Null ids and sources are ordinary values. An empty table gives an empty
+    result. ``docs`` is read several times: pass a stored table.
     """
     docs = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
     targets = source_targets(docs, weights, share, epochs)
@@ -113,26 +121,80 @@ def fair_queue(
         .orderBy("turn", "doc_id", "size", "copy")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    left = F.round("target").cast("long") - (F.col("done") - F.col("size"))
-    per_time = F.when(F.col("target") > 0, F.col("target"))
+    budget = F.round("target").cast("long")  # of the queue, in whole words
+    ahead = F.col("done") - F.col("size")
+    until = F.least(F.col("done"), F.greatest(ahead, budget))
+    piece = lambda begin, end, late: F.struct(
+        begin.alias("begin"), end.alias("end"), F.lit(late).alias("late")
+    )
+    pieces = F.filter(
+        F.array(piece(ahead, until, False), piece(until, F.col("done"), True)),
+        lambda p: (p["end"] > p["begin"]) | ((F.col("size") == 0) & ~p["late"]),
+    )
+    per_time = F.when(budget > 0, budget)
     return (
         shuffled.withColumn("inside", F.sum("size").over(inside))
         .join(begins, same[0] & same[1] & same[2])
         .withColumn("done", F.col("begin") + F.col("inside"))
-        .withColumn("served", F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), left)))
-        .withColumn("start", (F.col("done") - F.col("size")) / per_time)
-        .withColumn("finish", F.col("done") / per_time)
+        .withColumn("piece", F.explode(pieces))
         .select(
-            "doc_id", "source", "size", "copy", "epoch", "source_size", "target", "start", "finish", "served"
+            *("doc_id", "source", "size", "copy", "epoch", "source_size", "target"),
+            (F.col("piece.end") - F.col("piece.begin")).alias("words"),
+            (F.col("piece.begin") / per_time).alias("start"),
+            (F.col("piece.end") / per_time).alias("finish"),
+            "piece.late",
         )
     )
 
 
-def mix_order(queue: DataFrame) -> DataFrame:
-    """The mix itself: served rows, range-sorted by virtual finish time."""
-    return queue.where("served > 0").orderBy(
-        "finish", F.col("source").asc_nulls_last(), "doc_id", "copy", "epoch"
+def _turn() -> list[Column]:
+    """Order of service: finish time, then what is due at time 1, then names."""
+    return [
+        F.col("finish").asc_nulls_last(),
+        F.col("late").asc(),
+        F.col("source").asc_nulls_last(),
+        *(F.col(c).asc() for c in ("doc_id", "size", "copy", "epoch")),
+    ]
+
+
+def truncated(queue: DataFrame, budget: Column) -> DataFrame:
+    """The first ``budget`` words of the queue in order of service, as ``served``.
+
+    Every piece is returned; ``served`` is 0 after the end of the budget and a
+    part of ``words`` for the piece that crosses it. The pieces are dealt into
+    ranges of the order and written once, so that a range keeps its rows; sums
+    of the ranges (one row per ``RANGE_ROWS`` pieces) meet in one task. The
+    ranges are disjoint and their numbers ascend, as Spark's range partitions do.
+    """
+    queue = stored(queue, "queue")
+    count = max(1, -(-queue.count() // RANGE_ROWS))
+    dealt = stored(
+        queue.repartitionByRange(count, *_turn()).withColumn("range", F.spark_partition_id()), "ranges"
     )
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("range").agg(F.sum("words").alias("range_words"))
+    left = F.greatest(F.lit(0).cast("long"), budget - F.coalesce(F.sum("range_words").over(before), F.lit(0)))
+    limits = sums.select(F.col("range").alias("r_range"), "range_words", left.alias("room"))
+    ranged = dealt.join(limits, F.col("range") == F.col("r_range"))
+    ends = (F.col("room") > 0) & (F.col("room") < F.col("range_words"))
+    # at most one range holds the end of the budget
+    inside = Window.partitionBy("range").orderBy(*_turn()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = F.col("room") - (F.sum("words").over(inside) - F.col("words"))
+    whole = ranged.where(~ends).withColumn("served", F.when(F.col("room") > 0, F.col("words")).otherwise(F.lit(0)))
+    crossed = ranged.where(ends).withColumn("served", F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), part)))
+    return whole.unionByName(crossed).drop("range", "r_range", "range_words", "room")
+
+
+def serve(sizes: DataFrame, **options) -> DataFrame:
+    """The queue of ``(doc_id, source, size)`` rows with what the total budget serves of each piece."""
+    shares = {k: v for k, v in options.items() if k != "seed"}
+    budget = source_targets(sizes, **shares).agg(F.coalesce(F.sum(F.round("target").cast("long")), F.lit(0)))
+    return truncated(fair_queue(sizes, **options), budget.scalar())
+
+
+def mix_order(served: DataFrame) -> DataFrame:
+    """The mix itself: served pieces, range-sorted by virtual finish time."""
+    return served.where("served > 0").orderBy(*_turn())
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -144,7 +206,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     return (
-        fair_queue(sizes, **options)
+        serve(sizes, **options)
         .groupBy("doc_id", "source", "size", "copy", "source_size", "target")
         .agg(
             F.sum("served").alias("taken"),

@@ -491,10 +491,25 @@ def test_mixing_meets_its_targets(spark, docs, empty, monkeypatch):
 
 def test_mix_order_is_fair(spark, docs):
     sizes = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    queue = mixing.mix_order(mixing.fair_queue(sizes)).collect()
+    queue = mixing.mix_order(mixing.serve(sizes)).collect()
     assert [r.finish for r in queue] == sorted(r.finish for r in queue) and all(r.start < 1 for r in queue)
 
 
+def test_the_queue_is_cut_at_the_budget(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    sizes = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    queue = mixing.fair_queue(sizes)
+    ordered = queue.orderBy(*mixing._turn()).collect()
+    total = sum(r.words for r in ordered)
+    for budget in (0, 1, total // 3, total - 1, total, total + 5):
+        left, want = budget, Counter()
+        for r in ordered:
+            want[(r.doc_id, r.source, r.copy, r.epoch, r.finish, min(left, r.words))] += 1
+            left -= min(left, r.words)
+        got = mixing.truncated(queue, F.lit(budget).cast("long")).collect()
+        assert Counter((r.doc_id, r.source, r.copy, r.epoch, r.finish, r.served) for r in got) == want
+
+
 def test_mixed_rows_repeat_documents(spark, docs, empty):
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns and mixing.mixed_rows(empty).columns == empty.columns
