@@ -1,11 +1,18 @@
 """Token counts of a SentencePiece BPE vocabulary by rank-synchronous merging.
 
 A batch's distinct pre-tokens are held as one ragged array of symbol ids. In
-each round every pre-token applies its best pair (best score, then leftmost),
-all pre-tokens at the same time; pairs are looked up in a sorted table of all
-pairs that the vocabulary can merge. When no pre-token has a pair left, the
-surviving symbols are counted: one token per known symbol, one per UTF-8 byte
-of an unknown character.
+each round every row applies its best pair (best score, then leftmost), all rows
+at the same time; pairs are looked up in a sorted table of all pairs that the
+vocabulary can merge. When no row has a pair left, the surviving symbols are
+counted: one token per known symbol, one per UTF-8 byte of an unknown character.
+
+Two things keep long rows short and few, without changing what is merged:
+
+* A row is cut between two characters that stand side by side in no piece of the
+  vocabulary: no merged symbol can ever hold both.
+* A round applies all occurrences of the best rank up to the first whose merged
+  symbol makes a pair of the same or a better rank with a neighbour. Until then
+  the next merge of the sequential order is the next occurrence to the right.
 
 Pre-tokens end before a word mark that follows another character, and around
 line feeds; no piece of the vocabulary reaches over these places, which is
@@ -14,7 +21,6 @@ checked when the table is built.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,8 +33,6 @@ from pyspark.sql import DataFrame
 from paperloom.llm.common import slices
 
 MARK = "▁"
-#: symbols beyond which a pre-token is merged with a heap instead of in rounds
-LONG = 400
 _CACHE = 1 << 20
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -57,7 +61,13 @@ class PairTable:
                 left, right = ids.get(piece[:cut]), ids.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left * self.size + right] = entry
-        self.pairs = pairs
+        beside = {
+            self.single[a] * self.size + self.single[b]
+            for piece in many
+            for a, b in zip(piece, piece[1:], strict=False)
+            if a in self.single and b in self.single
+        }
+        self.beside = np.array(sorted(beside), np.int64)
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
@@ -68,6 +78,12 @@ class PairTable:
         single = self.single
         return [single[c] if c in single else -len(c.encode("utf-8", "surrogatepass")) for c in word]
 
+    def joinable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether two characters stand side by side in some piece."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+        return (self.beside[at] == key) & (left >= 0) & (right >= 0)
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (a large value: no merge) and merged piece of each pair."""
         key = left.astype(np.int64) * self.size + right
@@ -86,17 +102,7 @@ def pair_table(model_file: str) -> PairTable:
 
 def merged_counts(table: PairTable, words: list[str]) -> list[int]:
     """Tokens of each pre-token."""
-    counts = np.zeros(len(words), np.int64)
-    short, lists = [], []
-    for i, word in enumerate(words):
-        if len(word) > LONG:
-            counts[i] = _heap_count(table, word)
-        else:
-            short.append(i)
-            lists.append(table.symbols(word))
-    if short:
-        counts[short] = _rounds(table, lists)
-    return counts.tolist()
+    return _rounds(table, [table.symbols(w) for w in words]).tolist()
 
 
 def _weight(symbols: np.ndarray) -> np.ndarray:
@@ -104,42 +110,43 @@ def _weight(symbols: np.ndarray) -> np.ndarray:
 
 
 def _rounds(table: PairTable, lists: list[list[int]]) -> np.ndarray:
-    """Merge ragged rows in rounds; each row applies one pair per round."""
-    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    symbols = np.fromiter((s for row in lists for s in row), np.int32, int(lengths.sum()))
+    """Tokens of ragged rows of symbols, merged in rounds."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    symbols = np.fromiter((s for row in lists for s in row), np.int32, int(sizes.sum()))
     result = np.zeros(len(lists), np.int64)
-    row_ids = np.flatnonzero(lengths > 0)
-    lengths = lengths[row_ids]
-    row_of = np.repeat(np.arange(len(row_ids)), lengths)
-    last = np.zeros(len(symbols), bool)
-    if len(symbols):
-        last[np.cumsum(lengths) - 1] = True
+    if not len(symbols):
+        return result
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    # rows end where no merge can cross, and where a pre-token ends
+    last = np.ones(len(symbols), bool)
+    last[:-1] = (owner[1:] != owner[:-1]) | ~table.joinable(symbols[:-1], symbols[1:])
+    ends = np.flatnonzero(last)
+    lengths = np.diff(ends, prepend=-1)
+    row_ids = owner[ends]  # the pre-token of each row
+    row_of = np.repeat(np.arange(len(ends)), lengths)
     following = np.append(symbols[1:], np.int32(-1))
     ranks, merged = table.lookup(symbols, following)
-    ranks = np.where(last, _NONE, ranks)
+    ranks[last] = _NONE
     while len(symbols):
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        starts = np.cumsum(lengths) - lengths
         best = np.minimum.reduceat(ranks, starts)
         over = best == _NONE
         if over.any():  # finished rows leave the arrays
-            totals = np.add.reduceat(_weight(symbols), starts)
-            result[row_ids[over]] = totals[over]
+            np.add.at(result, row_ids[over], np.add.reduceat(_weight(symbols), starts)[over])
             keep = ~over[row_of]
             symbols, ranks, merged, last = symbols[keep], ranks[keep], merged[keep], last[keep]
             row_ids, lengths, best = row_ids[~over], lengths[~over], best[~over]
             row_of = np.repeat(np.arange(len(row_ids)), lengths)
             if not len(symbols):
                 break
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        hit = np.flatnonzero(ranks == np.repeat(best, lengths))
-        at = hit[np.searchsorted(hit, starts)]  # the leftmost best pair of each row
+        at = _applied(table, symbols, ranks, merged, row_of, last, best)
         symbols[at] = merged[at]
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
+        lengths = lengths - np.bincount(row_of[at], minlength=len(lengths))
         at = at - np.arange(len(at))  # where the merged symbols end up
         symbols, ranks, merged, last = symbols[keep], ranks[keep], merged[keep], last[keep]
-        lengths = lengths - 1
         row_of = row_of[keep]
         for place in (at, at - 1):  # the pairs on both sides of a merged symbol are new
             place = place[place >= 0]
@@ -149,36 +156,41 @@ def _rounds(table: PairTable, lists: list[list[int]]) -> np.ndarray:
     return result
 
 
-def _heap_count(table: PairTable, word: str) -> int:
-    """The same merges for one long pre-token, in n log n steps."""
-    symbols = table.symbols(word)
-    n, pairs, size = len(symbols), table.pairs, table.size
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    queue: list[tuple[int, int, int, int]] = []
-
-    def push(i: int) -> None:
-        j = after[i]
-        if j < n and symbols[i] >= 0 and symbols[j] >= 0:
-            entry = pairs.get(symbols[i] * size + symbols[j])
-            if entry:
-                heapq.heappush(queue, (entry[0], i, symbols[i], symbols[j]))
-
-    for i in range(n):
-        push(i)
-    while queue:
-        _, i, left, right = heapq.heappop(queue)
-        j = after[i]
-        if not alive[i] or j >= n or symbols[i] != left or symbols[j] != right:
-            continue
-        symbols[i] = pairs[left * size + right][1]
-        alive[j] = False
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        push(i)
-        if before[i] >= 0:
-            push(before[i])
-    return sum(1 if s >= 0 else -s for s, a in zip(symbols, alive, strict=True) if a)
+def _applied(
+    table: PairTable,
+    symbols: np.ndarray,
+    ranks: np.ndarray,
+    merged: np.ndarray,
+    row_of: np.ndarray,
+    last: np.ndarray,
+    best: np.ndarray,
+) -> np.ndarray:
+    """Places of the pairs that a round merges: those of best rank that come next in each row."""
+    at = np.flatnonzero(ranks == best[row_of])
+    # of pairs that overlap in a chain, every second is gone once the one before it is merged
+    chain = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    behind = np.arange(len(at)) - np.repeat(chain, np.diff(chain, append=len(at)))
+    at = at[behind % 2 == 0]
+    row = row_of[at]
+    first = np.ones(len(at), bool)
+    first[1:] = row[1:] != row[:-1]
+    if first.all():
+        return at
+    # the neighbours as they are when the pair's turn comes: the left one may just have been merged
+    new = merged[at]
+    left = symbols[np.maximum(at - 1, 0)].copy()
+    touching = np.zeros(len(at), bool)
+    touching[1:] = (at[1:] - at[:-1] == 2) & ~first[1:]
+    left[touching] = new[np.flatnonzero(touching) - 1]
+    has_left = (at > 0) & ~last[np.maximum(at - 1, 0)]
+    has_right = ~last[at + 1]
+    right = symbols[np.minimum(at + 2, len(symbols) - 1)]
+    limit = best[row]
+    stops = (has_left & (table.lookup(left, new)[0] <= limit)) | (has_right & (table.lookup(new, right)[0] <= limit))
+    # a pair is merged now if none before it in its row stops the round
+    stopped = np.cumsum(stops) - stops
+    begin = np.flatnonzero(first)
+    return at[stopped == np.repeat(stopped[begin], np.diff(begin, append=len(at)))]
 
 
 def _pretokens(table: PairTable, text: str) -> tuple[list[str], int]:
