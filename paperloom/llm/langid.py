@@ -7,8 +7,15 @@ character wins.
 
 Learning takes a bounded sample of labelled rows (``sample_docs`` documents and
 ``sample_chars`` characters a language, both parameters). Parsing covers whole
-texts: a batch is cut into strips of ``STRIP`` characters that all step through
-all automata at the same time, so one very long text is only many strips.
+texts and phrases end nowhere else: a batch is cut into strips of ``STRIP``
+characters that all step through an automaton at the same time, each as if a
+text began there. Strips are then parsed again from the state in which the strip
+before them ended, only until they meet their first parse (most do within a
+phrase or two), and so on until no end changes.
+
+Automata are kept as packed rows: the steps of a state lie where its place and
+the symbol add up, in gaps that other states leave. Their size grows with the
+characters learned from, not with the letters of a language.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from paperloom.llm.common import slices
 UNKNOWN = "und"
 STRIP = 512
 #: characters that are parsed at once
-BATCH = 1_000_000
+BATCH = 1 << 20
 #: labelled documents and characters of each that a language learns from, and characters in all
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 100, 300, 25_000
 #: characters over all languages; many languages share it
@@ -35,12 +42,16 @@ TOTAL_CHARS = 300_000
 MAX_LANGUAGES = 1000
 
 
-def fold(text: str) -> np.ndarray:
-    """Code points of the lower-cased text; all but letters are one space each run."""
+def fold(text: str, after_letter: bool = False) -> np.ndarray:
+    """Code points of the lower-cased text; all but letters are one space each run, none at the begin.
+
+    ``after_letter`` tells that the text goes on behind a letter.
+    """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     points = np.where(points < len(_LETTER), points, 0xFFFF)
     letters = np.where(_LETTER[points], points, 32)
     keep = letters != 32
+    keep[:1] |= after_letter
     keep[1:] |= letters[:-1] != 32
     return letters[keep]
 
@@ -93,15 +104,83 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return after
 
 
+def _packed_rows(after: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of each state's row, and owner and next state of each slot.
+
+    A step of a state with symbol c is in slot ``place + c``. Places are tried at
+    random, in rounds for all states that have none, states with many steps
+    first; no two states share a place, so a slot's owner tells whose it is.
+    """
+    degree = np.fromiter(map(len, after), np.int64, len(after))
+    state_of = np.repeat(np.arange(len(after)), degree)
+    symbol = np.fromiter((c for edges in after for c in edges), np.int64, int(degree.sum()))
+    to = np.fromiter((t for edges in after for t in edges.values()), np.int32, len(symbol))
+    room = 3 * len(symbol) + len(after)
+    owner = np.full(room + width, -1, np.int32)
+    target = np.zeros(room + width, np.int32)
+    place = np.full(len(after), -1, np.int64)
+    taken = np.zeros(room, bool)
+    begin = np.concatenate([[0], np.cumsum(degree)])
+    rng = np.random.default_rng(1)
+    # large rows one by one into a nearly empty table, the first one at 0
+    large = [s for s in np.argsort(-degree, kind="stable").tolist() if degree[s] > 8]
+    for s in large:
+        edges = slice(begin[s], begin[s + 1])
+        at = 0
+        while taken[at] or (owner[at + symbol[edges]] >= 0).any():
+            at = int(rng.integers(room))
+        place[s], taken[at] = at, True
+        owner[at + symbol[edges]], target[at + symbol[edges]] = s, to[edges]
+    while (place < 0).any():
+        edges = np.flatnonzero(place[state_of] < 0)
+        states = np.flatnonzero(place < 0)
+        tried = np.zeros(len(after), np.int64)
+        tried[states] = rng.integers(room, size=len(states))
+        slots = tried[state_of[edges]] + symbol[edges]
+        fails = np.zeros(len(after), bool)
+        fails[states[taken[tried[states]]]] = True
+        fails[state_of[edges[owner[slots] >= 0]]] = True
+        # of states that want the same place or slot in this round, the first has it
+        for wanted, who in ((tried[states], states), (slots, state_of[edges])):
+            order = np.argsort(wanted, kind="stable")
+            again = np.zeros(len(order), bool)
+            again[1:] = wanted[order][1:] == wanted[order][:-1]
+            fails[who[order[again]]] = True
+        place[states] = np.where(fails[states], -1, tried[states])
+        taken[tried[states[~fails[states]]]] = True
+        won = ~fails[state_of[edges]]
+        owner[slots[won]], target[slots[won]] = state_of[edges[won]], to[edges[won]]
+    return place, owner, target
+
+
+class _Automaton:
+    """Packed steps of one language.
+
+    States are named by their places. A step that a state lacks begins a new
+    phrase with the root's step; where the root has none either, and before a
+    text, the state is ``start``, which owns no slot.
+    """
+
+    def __init__(self, after: list[dict[int, int]], width: int) -> None:
+        place, owner, target = _packed_rows(after, width)
+        self.start = len(owner) - width + 1  # beyond all places; its slots belong to nobody
+        self.owner = np.concatenate([np.where(owner >= 0, place[owner], -1), np.full(width, -1)]).astype(np.int32)
+        self.target = np.concatenate([place[target], np.zeros(width)]).astype(np.int32)
+        self.root = np.full(width, self.start, np.int32)
+        for c, to in after[0].items():
+            self.root[c] = place[to]
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and where a new phrase begins."""
+        slots = states + symbols
+        fresh = self.owner.take(slots) != states
+        return np.where(fresh, self.root.take(symbols), self.target.take(slots)), fresh
+
+
 class LanguageModel:
-    """All automata in one table of steps.
-
-    ``steps[state * width + symbol]`` is twice the place of the next state, plus
-    one where the automaton has no such step and a new phrase begins at its root.
-    Each automaton has one more state, where every step begins a phrase: texts
-    start there, and a character that the language does not have leads there.
-    Symbol 0 is padding and changes nothing; symbol 1 is every character that no
-    language has seen.
+    """One automaton for each language, over one numbering of letters.
+
+    Symbol 0 is padding; symbol 1 is every character that no language has seen.
     """
 
     def __init__(self, samples: dict[str, list[str]], total_chars: int = TOTAL_CHARS) -> None:
@@ -112,80 +191,109 @@ class LanguageModel:
             for lang, parts in samples.items()
         }
         seen = np.unique(np.concatenate([*texts.values(), np.zeros(0, np.uint32)])).astype(np.int64)
-        self.width = len(seen) + 2
+        width = len(seen) + 2
         self.symbol = np.ones(0x10000, np.int32)
-        self.symbol[seen] = np.arange(len(seen)) + 2
-        tables, self.starts, base = [], [], 0
-        for lang in self.languages:
-            after = suffix_automaton(self.symbol[texts[lang]].tolist())
-            start = base + len(after)
-            root = np.full(self.width, start * 2 * self.width + 1, np.int64)
-            for c, to in after[0].items():
-                root[c] = (base + to) * 2 * self.width + 1
-            table = np.tile(root, (len(after) + 1, 1))
-            states = [s for s, edges in enumerate(after) for _ in edges]
-            symbols = [c for edges in after for c in edges]
-            table[states, symbols] = (np.array([t for e in after for t in e.values()], np.int64) + base) * 2 * self.width
-            table[:, 0] = (np.arange(len(table)) + base) * 2 * self.width
-            tables.append(table)
-            self.starts.append(start * self.width)
-            base += len(table)
-        kind = np.int32 if base * self.width * 2 < 2**31 else np.int64
-        self.steps = np.concatenate(tables).astype(kind).ravel() if tables else np.zeros(0, kind)
+        self.symbol[seen] = np.arange(len(seen), dtype=np.int32) + 2
+        self.automata = [
+            _Automaton(suffix_automaton(self.symbol[texts[lang]].tolist()), width) for lang in self.languages
+        ]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrase counts: one row per text, one column per language."""
-        folded = [self.symbol[fold(t)] for t in texts]
-        sizes = np.fromiter(map(len, folded), np.int64, len(folded))
-        strips = -(-sizes // STRIP)
-        owner = np.repeat(np.arange(len(texts)), strips)
-        flat = np.zeros(int(strips.sum()) * STRIP, np.int32)
-        at = 0
-        for text, n in zip(folded, strips.tolist(), strict=True):
-            flat[at : at + len(text)] = text
-            at += n * STRIP
-        grid = flat.reshape(-1, STRIP)
-        used = np.minimum(sizes[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(strips) - strips, strips)) * STRIP, STRIP)
-        order = np.argsort(-used, kind="stable")  # full strips first: short ones drop out
-        columns = np.ascontiguousarray(grid[order].T)
-        live = np.searchsorted(-used[order], -np.arange(STRIP), side="left")
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
-        for number, start in enumerate(self.starts):
-            state = np.full(len(owner), start, self.steps.dtype)
-            found = np.zeros(len(owner), np.int32)
-            for step in range(STRIP):
-                n = live[step]
-                if not n:
-                    break
-                value = self.steps.take(state[:n] + columns[step, :n])
-                found[:n] += value & 1
-                np.right_shift(value, 1, out=state[:n])
-            counts[:, number] = np.bincount(owner[order], weights=found, minlength=len(texts))
-        return counts
-
-    def _counts(self, texts: list[str]) -> np.ndarray:
-        """Phrase counts of whole texts, ``BATCH`` characters at a time."""
-        counts = np.zeros((len(texts), len(self.languages)), np.int64)
-        parts, owners, held = [], [], 0
+        ends = [a.start for a in self.automata]
+        parts: list[np.ndarray] = []
+        owners: list[int] = []
+        held = 0
         for i, text in enumerate(texts):
+            after_letter = False
             for begin in range(0, len(text), BATCH):
-                parts.append(text[begin : begin + BATCH])
+                folded = fold(text[begin : begin + BATCH], after_letter)
+                after_letter = bool(len(folded)) and folded[-1] != 32
+                parts.append(self.symbol[folded])
                 owners.append(i)
-                held += len(parts[-1])
+                held += len(folded)
                 if held >= BATCH:
-                    np.add.at(counts, owners, self.phrases(parts))
+                    ends = self._parse(parts, owners, ends, counts)
+                    if begin + BATCH >= len(text):  # else the text goes on from where it is
+                        ends = [a.start for a in self.automata]
                     parts, owners, held = [], [], 0
         if parts:
-            np.add.at(counts, owners, self.phrases(parts))
+            self._parse(parts, owners, ends, counts)
         return counts
 
+    def _parse(self, parts: list[np.ndarray], owners: list[int], begins: list[int], counts: np.ndarray) -> list[int]:
+        """Add the phrases of ``parts`` to the rows ``owners`` of ``counts``.
+
+        The first part goes on in the states ``begins``, a part of the same owner
+        as the one before goes on behind it. Returns the states in which the last
+        part ends.
+        """
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        strips = -(-sizes // STRIP)
+        part_of = np.repeat(np.arange(len(parts)), strips)
+        if not len(part_of):
+            return begins
+        flat = np.zeros(len(part_of) * STRIP, np.int32)
+        at = 0
+        for part, n in zip(parts, strips.tolist(), strict=True):
+            flat[at : at + len(part)] = part
+            at += n * STRIP
+        number = np.arange(len(part_of)) - np.repeat(np.cumsum(strips) - strips, strips)
+        used = np.minimum(sizes[part_of] - number * STRIP, STRIP)
+        symbols = np.ascontiguousarray(flat.reshape(-1, STRIP).T)
+        row_of = np.asarray(owners)[part_of]
+        goes_on = np.flatnonzero(row_of[1:] == row_of[:-1]) + 1
+        order = np.argsort(-used, kind="stable")  # full strips first: short ones drop out
+        live = np.searchsorted(-used[order], -np.arange(STRIP), side="left")
+        columns = np.ascontiguousarray(symbols[:, order])
+        result = []
+        for language, automaton in enumerate(self.automata):
+            start = np.full(len(order), automaton.start, np.int32)
+            start[0] = begins[language]
+            states = np.empty((STRIP, len(order)), np.int32)
+            fresh = np.zeros((STRIP, len(order)), bool)
+            now = start[order]
+            for step in range(int(used.max())):
+                n = live[step]
+                now[:n], fresh[step, :n] = automaton.step(now[:n], columns[step, :n])
+                states[step] = now
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            ends = now[back]
+            again = goes_on
+            while len(again):
+                again = again[ends[again - 1] != start[again]]
+                start[again] = ends[again - 1]
+                before = ends[again].copy()
+                now, todo = start[again], np.arange(len(again))
+                for step in range(STRIP):
+                    todo = todo[used[again[todo]] > step]
+                    if not len(todo):
+                        break
+                    at = back[again[todo]]
+                    new, begun = automaton.step(now[todo], symbols[step, again[todo]])
+                    met = states[step, at] == new
+                    states[step, at], fresh[step, at] = new, begun
+                    now[todo] = ends[again[todo]] = new
+                    # what follows is as in the parse before: its end stands
+                    ends[again[todo[met]]] = before[todo[met]]
+                    todo = todo[~met]
+                changed = again[ends[again] != before] + 1
+                again = changed[np.isin(changed, goes_on)]
+            counts[:, language] += np.bincount(
+                row_of[order], weights=fresh.sum(axis=0), minlength=len(counts)
+            ).astype(np.int64)
+            result.append(int(ends[-1]))
+        return result
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; the score is how much clearer than the runner-up."""
         told = [i for i, t in enumerate(texts) if lettered(t)]
         languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not told or not self.languages:
             return languages, scores
-        counts = self._counts([texts[i] for i in told])
+        counts = self.phrases([texts[i] for i in told])
         ranked = np.sort(counts, axis=1)
         least = ranked[:, 0].astype(float)
         second = ranked[:, 1].astype(float) if ranked.shape[1] > 1 else np.inf
@@ -240,7 +348,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ``und`` and 0. Ties go to the first language in code point order. Rows are
     independent; other columns are ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TOTAL_CHARS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by TOTAL_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):

@@ -103,11 +103,43 @@ def test_token_counts_equal_the_library(spark, docs, empty):
     assert tokens.token_counts(empty, path).count() == 0
 
 
-def test_rounds_and_heap_merge_alike():
+def in_turn(table, pairs, symbols):
+    """The merges one after another: best rank, then leftmost."""
+    symbols = list(symbols)
+    while True:
+        found = [
+            (*pairs[a * table.size + b], i)
+            for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))
+            if a >= 0 and b >= 0 and a * table.size + b in pairs
+        ]
+        if not found:
+            return sum(1 if s >= 0 else -s for s in symbols)
+        _, piece, i = min(found, key=lambda f: (f[0], f[2]))
+        symbols[i : i + 2] = [piece]
+
+
+def test_rounds_merge_as_in_turn():
     table = tokens.pair_table(public.path("piece_bpe_32k.model"))
     rng = random.Random(5)
-    words = ["▁" + "".join(rng.choice("theingaé日 \t") for _ in range(rng.randint(0, 60))) for _ in range(400)]
-    assert tokens._rounds(table, [table.symbols(w) for w in words]).tolist() == [tokens._heap_count(table, w) for w in words]
+    kinds = ("theingaé日 \t", "a", "ab", "etaoinshr", "=-", "01", "the", "zq")
+    words = ["▁" + "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    words += ["".join(rng.choice(kind) for _ in range(rng.randint(1, 200))) for kind in kinds for _ in range(30)]
+    pairs = dict(zip(table.keys.tolist(), zip(table.ranks.tolist(), table.merged.tolist(), strict=True), strict=True))
+    assert tokens._rounds(table, [table.symbols(w) for w in words]).tolist() == [
+        in_turn(table, pairs, table.symbols(w)) for w in words
+    ]
+
+
+def test_long_pretokens_stay_in_the_arrays():
+    import sentencepiece
+
+    path = public.path("piece_bpe_32k.model")
+    library, table = sentencepiece.SentencePieceProcessor(model_file=path), tokens.pair_table(path)
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["a" * 30_001, draw("ab", 9000), draw("0123456789abcdef", 20_000), draw("日本語中文字", 20_000)]
+    texts += [draw("abcdefghijklmnopqrstuvwxyz", 20_000), "=" * 5000 + draw("etaoin", 5000), "-=" * 4000]
+    assert tokens.count_tokens(table, texts) == [len(library.encode(t)) for t in texts]
 
 
 # --- packing ---------------------------------------------------------------
@@ -200,32 +232,50 @@ def test_fast_ids_equal_the_tokenizer_file():
 
 
 def naive_phrases(sample: str, text: str) -> int:
-    """Greedy longest phrases of text that occur in sample (strips as in the model)."""
+    """Greedy longest phrases of the whole text that occur in sample."""
     fold = lambda t: re.sub(r"[^a-zéä]+", " ", t.lower())
-    sample, text, count = fold(sample), fold(text), 0
-    for begin in range(0, len(text), langid.STRIP):
-        strip, at = text[begin : begin + langid.STRIP], 0
-        while at < len(strip):
-            end = at + 1
-            while end <= len(strip) and strip[at:end] in sample:
-                end += 1
-            at = max(end - 1, at + 1)
-            count += 1
+    sample, text, count, at = fold(sample), fold(text).lstrip(" "), 0, 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in sample:
+            end += 1
+        at = max(end - 1, at + 1)
+        count += 1
     return count
 
 
-def test_phrases_equal_naive_cross_parsing():
+@pytest.mark.parametrize("strip, batch", [(512, 1 << 20), (7, 1 << 20), (1, 40), (16, 100), (5, 3)])
+def test_phrases_equal_naive_cross_parsing(monkeypatch, strip, batch):
+    monkeypatch.setattr(langid, "STRIP", strip)
+    monkeypatch.setattr(langid, "BATCH", batch)
     rng = random.Random(2)
     make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(n))
     samples = {"x": [make("abcé", 200)], "y": [make("bcdä", 200)]}
     model = langid.LanguageModel(samples)
-    texts = [make("abcé", 3), make("bcdä", 150), make("abcdé", 400), "zzz", "a"]
+    texts = [make("abcé", 3), make("bcdä", 150), "", " 1 2", make("abcdé", 400), "zzz", "a", samples["x"][0] * 2, "a" + "1" * 99 + "b"]
     got = model.phrases(texts)
     want = [[naive_phrases(samples[k][0] + " ", t) for k in ("x", "y")] for t in texts]
     assert got.tolist() == want
     assert model.predict(texts[:2])[0] == ["x", "y"]
 
 
+def test_size_of_automata_does_not_grow_with_letters():
+    import pickle
+
+    rng = random.Random(3)
+    letters = lambda n, first: [chr(first + i) for i in range(n)]
+    for count in (1000, 5000):
+        alphabets = [letters(count, 0x4E00 + 700 * k) for k in range(4)]
+        samples = {
+            f"l{k}": ["".join(rng.choice(own) + " " * (rng.random() < 0.2) for _ in range(25_000))]
+            for k, own in enumerate(alphabets)
+        }
+        model = langid.LanguageModel(samples)
+        assert len(pickle.dumps(model)) < 25_000_000
+        texts = [samples[k][0][500:900] for k in sorted(samples)]
+        assert model.predict(texts)[0] == sorted(samples)
+
+
 def test_languages_of_odd_rows(spark, docs, empty):
     got = {(r.doc_id, r.lang_pred) for r in langid.identify(docs).collect()}
     assert {(4, "und"), (5, "und"), (6, "und"), (9, "und"), (None, "und")} <= got
