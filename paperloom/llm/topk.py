@@ -25,6 +25,7 @@ BLOCK_ROWS, BLOCK_QUERIES = 16384, 2048
 TILE = 2048
 LEVELS = (1, 2, 4, 8, 16)
 _EXACT = float(2**53)
+_LONG = float(2**62)
 
 
 def quantised(embedding: Column, scale: int = 1024) -> Column:
@@ -49,12 +50,14 @@ def block_top_k(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query number, row id, score)`` of each query's k best rows of this block."""
     dim = queries.shape[1]
-    peak = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(dim, 1)
-    plain = peak < _EXACT  # float sums of integers are exact below 2**53
     q, x = queries.astype(np.float64), rows.astype(np.float64)
     order = np.lexsort((row_ids, -np.einsum("ij,ij->i", x, x)))  # long vectors first: thresholds rise early
     x, rows, row_ids = x[order], rows[order], row_ids[order]
-    levels = tuple(s for s in LEVELS if s < dim) if plain else ()
+    # no partial sum of a pair's products exceeds the product of these two
+    q_peak = np.abs(q).max(axis=1, initial=0) * max(dim, 1)
+    x_peak = np.abs(x).max(axis=1, initial=0)
+    q_norm, x_norm = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+    levels = tuple(s for s in LEVELS if s < dim)
     q_levels, x_levels = _summaries(q, levels), _summaries(x, levels)
     best_q, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
     best_score = np.zeros(0, np.int64)
@@ -67,21 +70,26 @@ def block_top_k(
             if not len(columns) or np.isinf(threshold).all():
                 break
             bound = q_stats @ x_stats[tile[columns]].T
-            bound += np.abs(bound) * 1e-9 + 0.5  # rounding never hides a tie
+            bound += np.outer(q_norm, x_norm[tile[columns]]) * 1e-9 + 0.5  # rounding never hides a tie
             active[:, columns] &= bound >= threshold[:, None]
         pair_q, pair_x = np.nonzero(active)
         if not len(pair_q):
             continue
         columns = tile[pair_x]
-        if not plain:
-            scores = _wide_scores(queries, rows, pair_q, columns)
-        elif len(pair_q) * 4 > active.size:
-            scores = (q @ x[tile].T)[pair_q, pair_x].astype(np.int64)
+        if len(pair_q) * 4 > active.size:
+            products = (q @ x[tile].T)[pair_q, pair_x]
         else:
-            scores = np.empty(len(pair_q), np.int64)
+            products = np.empty(len(pair_q))
             for at in range(0, len(pair_q), 1 << 16):
                 part = slice(at, at + (1 << 16))
-                scores[part] = np.einsum("ij,ij->i", q[pair_q[part]], x[columns[part]]).astype(np.int64)
+                products[part] = np.einsum("ij,ij->i", q[pair_q[part]], x[columns[part]])
+        # float sums of integers are exact below 2**53; larger pairs are summed as integers
+        large = np.flatnonzero(q_peak[pair_q] * x_peak[columns] >= _EXACT)
+        products[large] = 0
+        scores = products.astype(np.int64)
+        for at in range(0, len(large), 1 << 16):
+            part = large[at : at + (1 << 16)]
+            scores[part] = _large_scores(queries, rows, pair_q[part], columns[part], q_peak, x_peak)
         hopeful = scores >= threshold[pair_q]
         best_q = np.concatenate([best_q, pair_q[hopeful]])
         best_id = np.concatenate([best_id, row_ids[columns[hopeful]]])
@@ -101,14 +109,16 @@ def _first_k(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -
     return queries[keep], ids[keep], scores[keep]
 
 
-def _wide_scores(queries: np.ndarray, rows: np.ndarray, pair_q: np.ndarray, pair_x: np.ndarray) -> np.ndarray:
-    """Exact scores of huge components in Python integers, held to the range of a long."""
+def _large_scores(
+    queries: np.ndarray, rows: np.ndarray, pair_q: np.ndarray, pair_x: np.ndarray, q_peak: np.ndarray, x_peak: np.ndarray
+) -> np.ndarray:
+    """Exact scores in 64-bit integers; of pairs that could exceed them in Python integers, held to the range of a long."""
+    scores = np.einsum("ij,ij->i", queries[pair_q], rows[pair_x])
     low, high = -(2**63) + 1, 2**63 - 1
-    scores = [
-        max(low, min(high, sum(a * b for a, b in zip(queries[i].tolist(), rows[j].tolist(), strict=True))))
-        for i, j in zip(pair_q, pair_x, strict=True)
-    ]
-    return np.array(scores, np.int64)
+    for at in np.flatnonzero(q_peak[pair_q] * x_peak[pair_x] >= _LONG):
+        products = zip(queries[pair_q[at]].tolist(), rows[pair_x[at]].tolist(), strict=True)
+        scores[at] = max(low, min(high, sum(a * b for a, b in products)))
+    return scores
 
 
 def top_k(
@@ -124,8 +134,10 @@ def top_k(
     Returns ``query_id, rank, vec_id, score``; ties go to the smaller vec_id. A
     row takes part if its id and vector are not null and all components are
     finite; vectors of different length never meet. Rows that share a query's
-    vec_id are its own. Rows that repeat an id and a vector are one row. An
-    empty table gives an empty result; other columns are ignored.
+    vec_id are its own. Rows that repeat an id and a vector are one row; of
+    different vectors under one query id the shortest, then the first in component order, asks.
+    Scores beyond the range of a long are held to it. An empty table gives an
+    empty result; other columns are ignored.
     """
     usable = F.col("embedding").isNotNull() & F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -142,14 +154,15 @@ def top_k(
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # another seed than the shuffle's own hash
     block = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(n)).cast("int")
-    left = rows.where("q").select("dim", block(n_queries).alias("qb"), number(n_rows).alias("rb"), "vec_id", "v")
+    asking = rows.where("q").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("first")).select("vec_id", "first.*")
+    left = asking.select("dim", block(n_queries).alias("qb"), number(n_rows).alias("rb"), "vec_id", "v")
     right = rows.select("dim", number(n_queries).alias("qb"), block(n_rows).alias("rb"), "vec_id", "v")
 
     def score(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         if q.empty or x.empty:
             return empty
-        q, x = q.drop_duplicates("vec_id"), _distinct(x)
+        x = _distinct(x)
         matrix = lambda f: np.stack([np.asarray(v, np.int64) for v in f["v"]])
         ids = q["vec_id"].to_numpy(np.int64)
         of, found, scores = block_top_k(ids, matrix(q), x["vec_id"].to_numpy(np.int64), matrix(x), k)

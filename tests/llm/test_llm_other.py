@@ -139,6 +139,30 @@ def naive_top_k(rows, k):
     return sorted(result)
 
 
+def test_large_components_slow_no_other_pair(monkeypatch):
+    rng = np.random.default_rng(4)
+    queries, rows = rng.integers(-2000, 2000, (30, 32)), rng.integers(-2000, 2000, (4000, 32))
+    rows[7, 3], rows[8, 5], queries[2, 1] = 2**50, -(2**51), 2**45
+    large = []
+    scored = topk._large_scores
+    monkeypatch.setattr(topk, "_large_scores", lambda *a: large.append(len(a[2])) or scored(*a))
+    ids = np.arange(4000)
+    of, found, scores = topk.block_top_k(-1 - np.arange(30), queries, ids, rows, 10)
+    exact = queries.astype(object) @ rows.astype(object).T
+    want = [(i, -s, j) for i in range(30) for s, j in sorted((-exact[i, j], j) for j in range(4000))[:10]]
+    assert list(zip(of.tolist(), scores.tolist(), found.tolist(), strict=True)) == want
+    assert sum(large) < 4000 + 2 * 30 + 1
+
+
+def test_repeated_query_ids_ask_once(spark):
+    schema = "vec_id long, embedding array<float>"
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 3.0]), (0, [1.0, 0.0])]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        table = spark.createDataFrame(order, schema).repartition(3)
+        got = topk.top_k(table, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(2, 3 * 1024 * 1024), (1, 0)]
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 16))
