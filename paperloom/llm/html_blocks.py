@@ -4,6 +4,11 @@ A forgiving reader in one pass: end tags close what they can, a block start
 closes an open paragraph, comments, scripts, styles and templates are skipped. A
 leaf block is the text between two block boundaries; inline markup, formulas,
 drawings and line breaks do not end it. Character references are decoded and white space is folded.
+
+What an ancestor's tag and class words say depends on how much of the page's
+text it holds: a sidebar is small, a page "with sidebar" is everything. So the
+features of an element are named after its share of the text, which is known
+when the page has been read. A class name of one word is told from one of several.
 """
 
 from __future__ import annotations
@@ -50,34 +55,75 @@ _PARAGRAPH = (frozenset(("p",)), frozenset("td th table button caption article s
 
 
 class Block(NamedTuple):
-    """A leaf block: text, share of it inside links, features of its ancestors."""
+    """A leaf block: text, share of it inside links, features of its ancestors.
+
+    ``room`` and ``around`` are the shares of the page's text in the nearest
+    element that holds more than this block, and in the element around that.
+    """
 
     text: str
     link_share: float
     ancestors: frozenset[str]
     parent: str
+    room: float = 1.0
+    around: float = 1.0
 
 
 class _Open(NamedTuple):
     tag: str
-    features: frozenset[str]
+    element: int
     in_link: bool
     inline: bool = False
 
 
-def _tokens(attributes: str) -> list[str]:
-    found = []
-    for _, value in _NAMED.findall(attributes):
-        found += _TOKEN.findall(value.lower())
+#: from which share of the text on an element's features are named so
+SHARES = ((0.85, "whole "), (0.5, "wide "), (0.0, ""))
+
+
+def _own_features(tag: str, attributes: str) -> list[str]:
+    found = [f"in:{tag}"]
+    for _, value in _NAMED.findall(attributes) if attributes else ():
+        for name in value.lower().split():
+            words = _TOKEN.findall(name)
+            kind = "word" if len(words) == 1 else "part"
+            found += [f"{kind}:{w}" for w in words]
     return found
 
 
+def _blocks(found: list[tuple[str, float, int, str]], parents: list[int], own: list[tuple[str, str]]) -> list[Block]:
+    """Blocks with the features of their ancestors, by the shares of text that these hold."""
+    sizes = [0] * len(parents)
+    for text, _, element, _ in found:
+        sizes[element] += len(text)
+    for element in range(len(parents) - 1, 0, -1):  # children come after their parents
+        sizes[parents[element]] += sizes[element]
+    total = max(1, sizes[0])
+    features: list[frozenset[str]] = [frozenset()]
+    for element in range(1, len(parents)):
+        above = features[parents[element]]
+        if sizes[element]:
+            level = next(name for least, name in SHARES if sizes[element] >= least * total)
+            mine = frozenset(level + f for f in _own_features(*own[element]))
+            features.append(above if mine <= above else above | mine)
+        else:
+            features.append(above)
+    blocks = []
+    for text, link_share, element, tag in found:
+        room = element  # an element with this block alone is no container, whatever its tag
+        while room and sizes[room] == len(text):
+            room = parents[room]
+        around = parents[room]
+        blocks.append(Block(text, link_share, features[element], tag, sizes[room] / total, sizes[around] / total))
+    return blocks
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Non-empty leaf blocks of a page in order."""
     page = page or ""
-    stack = [_Open("", frozenset(), False)]
+    stack = [_Open("", 0, False)]
+    parents, own = [0], [("", "")]
     counts: dict[str, int] = {}
-    blocks: list[Block] = []
+    found: list[tuple[str, float, int, str]] = []
     pieces: list[tuple[str, bool]] = []
     owner = stack[0]
     templates: dict[int, int] | None = None
@@ -88,7 +134,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if text:
                 linked = sum(len(p) for p, link in pieces if link)
                 total = sum(len(p) for p, _ in pieces)
-                blocks.append(Block(text, linked / total, owner.features, owner.tag))
+                found.append((text, linked / total, owner.element, owner.tag))
             pieces.clear()
 
     at, size = 0, len(page)
@@ -152,12 +198,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     for gone in _cut(stack, tags, bounds):
                         counts[gone.tag] -= 1
         above = stack[-1]
-        own = frozenset((f"in:{name}", *(f"word:{t}" for t in _tokens(tag[3]))))
-        features = above.features if own <= above.features else above.features | own
-        stack.append(_Open(name, features, above.in_link or name == "a", inline))
+        parents.append(above.element)
+        own.append((name, tag[3]))
+        stack.append(_Open(name, len(own) - 1, above.in_link or name == "a", inline))
         counts[name] = counts.get(name, 0) + 1
     flush()
-    return blocks
+    return _blocks(found, parents, own)
 
 
 def _template_ends(page: str) -> dict[int, int]:

@@ -21,26 +21,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from paperloom.llm.common import slices
-from paperloom.llm.html_blocks import Block, leaf_blocks
+from paperloom.llm.html_blocks import SHARES, Block, leaf_blocks
 
 CONTENT, OTHER = 1, 0
-TRAINING_PAGES, TRAINING_SEED = 1000, 7
+TRAINING_PAGES, TRAINING_SEED = 1600, 5
+#: shares of training pages with names without meaning, with class words of other parts on
+#: what holds the content, and with paragraphs written as div
+VARIED = (0.25, 0.5, 0.35)
 _ENDS = (".", "!", "?", "…", ":", "。", '"', "”", "»")
 
 
-def features(block: Block) -> list[str]:
-    """Names of the features that a block has."""
-    text = block.text
-    words = text.count(" ") + 1
-    return [
-        *block.ancestors,
-        f"parent:{block.parent}",
-        f"words:{min(words.bit_length(), 6)}",
-        f"links:{int(block.link_share * 4)}",
-        "ends" if text.endswith(_ENDS) else "open",
-        "copyright" if "©" in text else "plain",
-        "bare" if not block.ancestors - {"in:html", "in:body", "in:p"} else "nested",
-    ]
+_BARE = frozenset(level + f for _, level in SHARES for f in ("in:html", "in:body", "in:p"))
+
+
+def features(blocks: list[Block]) -> list[list[str]]:
+    """Names of each block's features, but for those of its ancestors."""
+    result = []
+    for block in blocks:
+        words = min((block.text.count(" ") + 1).bit_length(), 6)
+        result.append(
+            [
+                f"parent:{block.parent}",
+                f"words:{words}",
+                f"links:{int(block.link_share * 4)}",
+                "ends" if block.text.endswith(_ENDS) else "open",
+                "copyright" if "©" in block.text else "plain",
+                "bare" if block.ancestors <= _BARE else "nested",
+                # steps that add up, so that more room never counts as something else
+                *(f"room:{step}" for step in range(1, 6) if block.room * 6 > step),
+                *(f"around:{step}" for step in range(1, 6) if block.around * 6 > step),
+            ]
+        )
+    return result
 
 
 class Field:
@@ -63,9 +75,9 @@ class Field:
         """How much each block by itself speaks for content."""
         index, weights = self.index, self.weights
         result = []
-        for block in blocks:
+        for block, names in zip(blocks, features(blocks), strict=True):
             score = self._ancestors(block.ancestors)
-            for name in features(block)[len(block.ancestors) :]:
+            for name in names:
                 if name in index:
                     score += weights[index[name]]
             result.append(score)
@@ -102,16 +114,17 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 400, decay:
     Forward and backward sums run over all pages at once, position by position.
     """
     pages = [p for p in pages if p[0]]
-    names = sorted({f for blocks, _ in pages for b in blocks for f in features(b)})
+    listed = [[[*b.ancestors, *own] for b, own in zip(blocks, features(blocks), strict=True)] for blocks, _ in pages]
+    names = sorted({f for page in listed for block in page for f in block})
     index = {n: i for i, n in enumerate(names)}
     longest = max(len(b) for b, _ in pages)
     cells, columns = [], []
     gold = np.zeros((len(pages), longest), np.int64)
     used = np.zeros((len(pages), longest), bool)
-    for p, (blocks, labels) in enumerate(pages):
+    for p, (_, labels) in enumerate(pages):
         gold[p, : len(labels)], used[p, : len(labels)] = labels, True
-        for t, block in enumerate(blocks):
-            for f in features(block):
+        for t, block in enumerate(listed[p]):
+            for f in block:
                 cells.append(p * longest + t)
                 columns.append(index[f])
     cells, columns = np.array(cells), np.array(columns)
@@ -172,6 +185,8 @@ class _Writer:
 
     def __init__(self, rng: random.Random) -> None:
         self.rng, self.out, self.gold = rng, [], []
+        #: names without meaning; words of any part on what holds the content; paragraphs written as div
+        self.hashed, self.noisy, self.plain = (rng.random() < share for share in VARIED)
         vowels, others = rng.choice(("aeiou", "aeéè", "aiouä")), "bcdfghklmnprstvw"
         self.words = ["".join(rng.choice(others) + rng.choice(vowels) for _ in range(rng.randint(1, 4))) for _ in range(80)]
 
@@ -190,6 +205,17 @@ class _Writer:
         if content:
             self.gold.append(text)
 
+    def hash(self) -> str:
+        return "".join(self.rng.choice("bcdfghjkqvxz0123456789") for _ in range(self.rng.randint(5, 9)))
+
+    def noise(self) -> str:
+        """A class name with a word that marks some part elsewhere."""
+        rng = self.rng
+        word = rng.choice(PARTS[rng.choice(list(PARTS))])
+        return rng.choice(
+            (word, f"has-{word}", f"with-{word}", f"{word}-fixed", f"{word}-{rng.choice(self.words)}", f"{rng.choice(self.words)}-{word}")
+        )
+
     def links(self, low: int, high: int) -> None:
         items = "".join(
             f'<li><a href="/{i}">{self.phrase(1, 3, "")}</a></li>' for i in range(self.rng.randint(low, high))
@@ -204,6 +230,11 @@ class _Writer:
         word = rng.choice(names)
         if marked and rng.random() < 0.5:
             word = f"{word} {rng.choice(names)}" if rng.random() < 0.5 else f"{rng.choice(('c', 'box', 'block', 'l'))}-{word}"
+        if self.hashed:
+            tag = "div" if tag in ("nav", "aside", "header", "footer", "section", "dialog") and rng.random() < 0.7 else tag
+            word = self.hash()
+        elif part == "content" and self.noisy and rng.random() < 0.8:
+            word, marked = rng.choice((self.noise(), f"{word} {self.noise()}")), True
         attribute = f' {rng.choice(("class", "class", "id"))}="{word}"' if marked else ""
         self.out.append(f"<{tag}{attribute}>")
         return tag
@@ -263,7 +294,8 @@ class _Writer:
         for _ in range(rng.randint(1, 7)):
             kind = rng.random()
             if kind < 0.66:
-                self.put("p", self.phrase(1, rng.choice((4, 20, 90))), content=True)
+                end = rng.choice((".", ".", ".", "!", "", "", " |", "***"))
+                self.put("div" if self.plain else "p", self.phrase(1, rng.choice((4, 20, 90)), end), content=True)
             elif kind < 0.76:
                 self.put(rng.choice(("h2", "h3")), self.phrase(1, 8, ""), content=True)
             elif kind < 0.82:
@@ -289,9 +321,15 @@ class _Writer:
     def page(self) -> tuple[str, list[str]]:
         rng, out = self.rng, self.out
         title = self.phrase(2, 9, "")
-        out.append(f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>")
-        wrap = rng.random() < 0.3
-        if wrap:
+        noise = " ".join(self.noise() for _ in range(rng.randint(1, 4))) if self.noisy and not self.hashed else ""
+        body = f' class="{noise}"' if noise and rng.random() < 0.6 else ""
+        out.append(f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body{body}>")
+        wrap = rng.choice(("div", "div", "div", "form")) if rng.random() < 0.4 else ""
+        if wrap == "form":
+            out.append('<form method="post" id="aspnetForm">')
+        elif wrap and noise:
+            out.append(f'<div class="{noise}">')
+        elif wrap:
             out.append(rng.choice(('<div class="wrapper">', '<div id="page">', "<div>")))
         if rng.random() < 0.2:
             self.boilerplate("notice")
@@ -323,7 +361,7 @@ class _Writer:
         if rng.random() < 0.85:
             self.boilerplate("footer")
         if wrap:
-            out.append("</div>")
+            out.append(f"</{wrap}>")
         if rng.random() < 0.85:
             out.append("</body></html>")
         return "".join(out), self.gold
@@ -341,7 +379,7 @@ def labelled(pages: list[tuple[str, list[str]]]) -> list[tuple[list[Block], list
     for page, gold in pages:
         blocks, labels, at = leaf_blocks(page), [], 0
         for block in blocks:
-            hit = at < len(gold) and block.text == gold[at] and "in:title" not in block.ancestors
+            hit = at < len(gold) and block.text == gold[at] and block.parent != "title"
             at += hit
             labels.append(CONTENT if hit else OTHER)
         result.append((blocks, labels))
